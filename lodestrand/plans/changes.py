@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestrand.operators import history, snapshots
+from lodestrand.operators import drift, history, nested, snapshots
 from lodestrand.session import table
 
 
@@ -22,10 +23,33 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.snapshot_changes(table(spark, d, "tool_snapshots"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return nested.required_and_hints(table(spark, d, "captures"))
+
+
+def p4_tools(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of tools, linked to their capture."""
+    split = nested.split_by_tag(nested.tagged_emission(table(spark, d, "captures")), ["tool"])
+    return nested.flat_table(split, "tool").select("capture_id", F.col("tool_no").cast("bigint").alias("tool_no"), "name", "description")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.schema_changes(table(spark, d, "captures"))
+
+
+def p5_tools(spark: SparkSession, d: str) -> DataFrame:
+    """One consistent table of tools over all versions."""
+    return drift.consistent_tools(table(spark, d, "captures"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_satellite_sizes": p1_satellite_sizes,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_tools": p4_tools,
+    "p5_found": p5_found,
+    "p5_tools": p5_tools,
 }
 
 SAME_TEXT = r"regexp_replace(replace(replace(nfc_normalize({0}), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
@@ -78,4 +102,42 @@ UNION ALL
 SELECT p.package, p.name, p.next_no, 'removed'
 FROM fine p LEFT JOIN fine c ON p.package = c.package AND p.name = c.name AND c.snap_no = p.next_no
 WHERE p.next_no IS NOT NULL AND c.name IS NULL""",
+    "p4_tools": """
+SELECT DISTINCT capture_id, i AS tool_no, json_extract_string(tool, '$.name') AS name, json_extract_string(tool, '$.description') AS description
+FROM (
+  SELECT capture_id, unnest(listing) AS tool, generate_subscripts(listing, 1) - 1 AS i
+  FROM (
+    SELECT capture_id, CASE WHEN json_type(tools) = 'ARRAY' THEN json_extract(tools, '$[*]') ELSE json_extract(tools, '$.tools[*]') END AS listing
+    FROM captures WHERE tools IS NOT NULL AND coalesce(trim(error), '') = ''
+  )
+)
+WHERE json_type(tool) = 'OBJECT'""",
+    "p4_found": """
+WITH RECURSIVE listings AS (
+  SELECT DISTINCT capture_id, CASE WHEN json_type(tools) = 'ARRAY' THEN json_extract(tools, '$[*]') ELSE json_extract(tools, '$.tools[*]') END AS listing
+  FROM captures WHERE tools IS NOT NULL AND coalesce(trim(error), '') = ''
+), tools AS (
+  SELECT capture_id, unnest(listing) AS tool, generate_subscripts(listing, 1) - 1 AS tool_no FROM listings
+), walk AS (
+  SELECT capture_id, tool_no, branch, '' AS path, json_extract(tool, '$.' || branch) AS node
+  FROM tools, (VALUES ('inputSchema'), ('outputSchema')) b(branch)
+  UNION ALL
+  SELECT capture_id, tool_no, branch, c.path, c.node FROM walk, LATERAL (
+    SELECT CASE WHEN walk.path = '' THEN k ELSE walk.path || '.' || k END AS path,
+      json_extract(json_extract(walk.node, '$.properties'), '$."' || k || '"') AS node
+    FROM (SELECT unnest(json_keys(json_extract(walk.node, '$.properties'))) AS k)
+    UNION ALL
+    SELECT walk.path || '[]', json_extract(walk.node, '$.items') WHERE json_type(json_extract(walk.node, '$.items')) = 'OBJECT'
+  ) c WHERE json_type(walk.node) = 'OBJECT'
+), lists AS (
+  SELECT capture_id, tool_no, branch, path, json_extract(node, '$.required') AS r FROM walk WHERE json_type(node) = 'OBJECT'
+), entries AS (
+  SELECT capture_id, tool_no, branch, path, unnest(from_json(r, '["VARCHAR"]')) AS entry FROM lists WHERE json_type(r) = 'ARRAY'
+  UNION ALL
+  SELECT capture_id, tool_no, branch, path, json_extract_string(r, '$') FROM lists WHERE json_type(r) = 'VARCHAR'
+  UNION ALL
+  SELECT capture_id, tool_no, 'annotations', '', 'destructiveHint=' || lower(json_extract_string(tool, '$.annotations.destructiveHint'))
+  FROM tools WHERE lower(json_extract_string(tool, '$.annotations.destructiveHint')) IN ('true', 'false')
+)
+SELECT DISTINCT capture_id, tool_no, branch, path, entry FROM entries WHERE entry IS NOT NULL""",
 }
