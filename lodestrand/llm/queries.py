@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.llm import leakage
+from lodestrand.llm import leakage, mixing, packing, truncation
 from lodestrand.session import table
 
 
@@ -14,8 +14,35 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_limits"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens and unused share of each profile."""
+    return packing.fill_report(p6_packing(spark, d), table(spark, d, "pack_limits"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and actual share of each source."""
+    return mixing.share_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncation.truncation_rates(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found}
+    return {f.__name__: f for f in (p2_found, p6_packing, p6_fill, p7_mix, p7_shares, p8_found, p8_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
