@@ -18,12 +18,12 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
 from lodestrand.operators.nested import tools_of, usable
-from lodestrand.operators.segmented import cut_hot_keys, previous
+from lodestrand.operators.segmented import cut_hot_keys, following, previous
 from lodestrand.session import stored
 
 FIELDS = ("title", "execution.taskSupport", "outputSchema.type", "annotations.readOnlyHint")
@@ -106,11 +106,16 @@ def _position(order: Column) -> Column:
     return first * 1e6 + part(1)
 
 
-def consecutive_versions(rows: DataFrame, rows_per_chunk: int = 500_000) -> DataFrame:
-    """(package, version, previous version or null) in version order; spellings of one version order by text."""
+def neighbouring_versions(rows: DataFrame, rows_per_chunk: int = 500_000) -> DataFrame:
+    """(package, version, pair, side): a version is ``cur`` in the pair named by itself and ``prev`` in that of the next version.
+
+    Spellings of one version order by text; a package's first version is ``cur`` in no pair.
+    """
     every = rows.select("package", "version").distinct().withColumn("__order", F.struct(version_order(F.col("version")).alias("o"), F.col("version").alias("v")))
     every, seg = cut_hot_keys(every, "package", "__order", _position(F.col("__order.o")), rows_per_chunk)
-    return previous(every, seg, "version", "previous").select("package", "version", "previous")
+    every = following(previous(every, seg, "version", "__previous"), seg, "version", "__next")
+    sides = F.array(F.when(F.col("__previous").isNotNull(), F.struct(F.col("version").alias("pair"), F.lit("cur").alias("side"))), F.when(F.col("__next").isNotNull(), F.struct(F.col("__next").alias("pair"), F.lit("prev").alias("side"))))
+    return every.select("package", "version", F.explode(F.array_compact(sides)).alias("s")).select("package", "version", "s.*")
 
 
 # --- similarity flooding over one pair of versions -------------------------------------------------
@@ -184,62 +189,55 @@ def select_matches(pairs: list[dict], least_agreement: float) -> list[dict]:
     return kept
 
 
-MATCHES = ArrayType(StructType([StructField("old", StringType()), StructField("new", StringType()), StructField("score", DoubleType())]))
+LINKS = ArrayType(StructType([StructField("old", StringType()), StructField("new", StringType()), StructField("score", DoubleType()), StructField("sure", BooleanType())]))
 
 
-def correspondences(rows: DataFrame, order: DataFrame, least_agreement: float = 0.6) -> DataFrame:
-    """(package, version, old, new, score): paths under which the previous version's values go on."""
-    after = order.filter("previous is not null").select("package", F.col("previous").alias("__v"), F.col("version").alias("__next"))
-    paths = rows.groupBy("package", "version", "path").agg(F.min("type").alias("type"))
-    cur = paths.join(order.filter("previous is not null").select("package", "version"), ["package", "version"])
-    prev = paths.withColumnRenamed("version", "__v").join(after, ["package", "__v"]).select("package", F.col("__next").alias("version"), "path", F.col("type").alias("was"))
-    moved = prev.join(cur, ["package", "version", "path"], "full_outer").filter("was is null or type is null")
-    both = moved.groupBy("package", "version").agg(F.max(F.col("type").isNull()).alias("g"), F.max(F.col("was").isNull()).alias("n")).filter("g and n").select("package", "version")
-    moved = moved.join(both, ["package", "version"])
-    gone, new = moved.filter("type is null").select("package", "version", "path", "was"), moved.filter("was is null").select("package", "version", "path", "type")
-    before = rows.withColumnRenamed("version", "__v").join(after, ["package", "__v"]).select("package", F.col("__next").alias("version"), "path", "tool", F.col("value").alias("__was"))
-    olds = before.join(gone, ["package", "version", "path"]).select("package", "version", "tool", F.col("path").alias("old"), "was", "__was")
-    news = rows.select("package", "version", "path", "tool", "value").join(new, ["package", "version", "path"]).select("package", "version", "tool", F.col("path").alias("new"), "type", "value")
-    pairs = (
-        olds.join(news, ["package", "version", "tool"])
-        .groupBy("package", "version", "old", "new", F.col("was").alias("old_type"), F.col("type").alias("new_type"))
-        .agg(F.avg((F.col("__was") == F.col("value")).cast("double")).alias("agree"))
-    )
-    by_version = pairs.groupBy("package", "version").agg(F.collect_list(F.struct("old", "new", "old_type", "new_type", "agree")).alias("__pairs"))
-    matched = F.udf(lambda ps: [tuple(m.values()) for m in select_matches(sorted((p.asDict() for p in ps), key=lambda p: (p["old"], p["new"])), least_agreement)], MATCHES)
-    links = stored(by_version.select("package", "version", F.explode(matched("__pairs")).alias("m")).select("package", "version", "m.*"), "links")
-    # Where no tool has both paths: values alone say little, so the correspondence must be one that other version pairs have.
-    known = links.select("old", "new").distinct()
-    apart = (
-        olds.select("package", "version", "old").distinct().join(known, "old").join(news.select("package", "version", "new").distinct(), ["package", "version", "new"])
-        .join(links.select("package", "version", "old"), ["package", "version", "old"], "left_anti")
-        .join(links.select("package", "version", "new"), ["package", "version", "new"], "left_anti")
-        .join(pairs.select("package", "version", "old", "new"), ["package", "version", "old", "new"], "left_anti")
-    )
-    had = olds.select("package", "version", "old", F.col("__was").alias("value")).distinct().withColumn("__in", F.lit(1.0))
-    share = (
-        apart.join(news.select("package", "version", "new", "value"), ["package", "version", "new"])
-        .join(had, ["package", "version", "old", "value"], "left")
-        .groupBy("package", "version", "old", "new")
-        .agg(F.avg(F.coalesce("__in", F.lit(0.0))).alias("score"))
-        .filter(F.col("score") >= least_agreement)
-    )
-    return links.unionByName(share)
+def _links(found: list, least_agreement: float) -> list[tuple]:
+    """Links of one pair of versions: sure ones by tools that have both paths, others by their values alone."""
+    by_tool = sorted((f.asDict() for f in found if f["by_tool"]), key=lambda p: (p["old"], p["new"]))
+    kept = [(m["old"], m["new"], m["score"], True) for m in select_matches(by_tool, least_agreement)]
+    old, new = {k[0] for k in kept}, {k[1] for k in kept}
+    together = {(p["old"], p["new"]) for p in by_tool}
+    rest = [f for f in found if not f["by_tool"] and f["agree"] >= least_agreement and f["old"] not in old and f["new"] not in new and (f["old"], f["new"]) not in together]
+    return kept + [(f["old"], f["new"], float(f["agree"]), False) for f in rest]
+
 
+def correspondences(rows: DataFrame, order: DataFrame, least_agreement: float = 0.6) -> DataFrame:
+    """(package, pair, old, new, score): paths under which the previous version's values go on.
 
-def field_paths(rows: DataFrame, links: DataFrame, fields: tuple[str, ...] = FIELDS, most_together: float = 0.3) -> DataFrame:
-    """(package, path, field): the keys that carry each field in each package, by its own spelling or chained links.
+    Where no tool has both paths, values alone say little: such a link counts only if tools of
+    another pair of versions, of any package, confirm the same two paths.
+    """
+    key = ["package", "pair"]
+    sided = rows.join(order, ["package", "version"])
+    paths = sided.groupBy(*key, "path").agg(F.min(F.when(F.col("side") == "prev", F.col("type"))).alias("was"), F.min(F.when(F.col("side") == "cur", F.col("type"))).alias("type"))
+    per_pair = Window.partitionBy(*key)
+    moved = paths.filter("was is null or type is null").withColumns({"__g": F.max(F.col("type").isNull()).over(per_pair), "__n": F.max(F.col("was").isNull()).over(per_pair)}).filter("__g and __n")
+    moved = stored(sided.drop("type", "version").join(moved.select(*key, "path", F.coalesce("was", "type").alias("type")), [*key, "path"]), "moved")
+    olds = moved.filter("side = 'prev'").select(*key, "tool", F.col("path").alias("old"), F.col("type").alias("old_type"), F.col("value").alias("was"))
+    news = moved.filter("side = 'cur'").select(*key, "tool", F.col("path").alias("new"), F.col("type").alias("new_type"), "value")
+    names = [*key, "old", "new", "old_type", "new_type"]
+    by_tool = olds.join(news, [*key, "tool"]).groupBy(*names).agg(F.avg((F.col("was") == F.col("value")).cast("double")).alias("agree")).withColumn("by_tool", F.lit(True))
+    values = olds.groupBy(*key, "old", "old_type", "was").agg(F.count("*").alias("__k"))
+    of_new = news.withColumn("__all", F.count("*").over(Window.partitionBy(*key, "new"))).groupBy(*key, "new", "new_type", "value").agg(F.count("*").alias("__n"), F.max("__all").alias("__all"))
+    by_value = values.join(of_new.withColumnRenamed("value", "was"), [*key, "was"]).groupBy(*names).agg((F.sum("__n") / F.max("__all")).alias("agree")).withColumn("by_tool", F.lit(False))
+    grouped = by_tool.unionByName(by_value).groupBy(*key).agg(F.collect_list(F.struct("old", "new", "old_type", "new_type", "agree", "by_tool")).alias("__found"))
+    links = stored(grouped.select(*key, F.explode(F.udf(lambda f: _links(f, least_agreement), LINKS)("__found")).alias("m")).select(*key, "m.*"), "links")
+    sure = links.filter("sure")
+    unsure = links.filter("not sure").join(sure.select("old", "new").distinct(), ["old", "new"], "left_semi")
+    return sure.unionByName(unsure.select(sure.columns)).drop("sure")
+
+
+def aliases(rows: DataFrame, links: DataFrame, fields: tuple[str, ...] = FIELDS, most_together: float = 0.3) -> DataFrame:
+    """(package, path, field): other keys that carry a field in a package, by links chained from its own spelling.
 
     A path that mostly stands beside the field's own spelling, in whatever package, is another member and no alias.
     """
-    seen = rows.select("package", "version", "path").distinct()
-    own = seen.filter(F.col("path").isin(*fields)).select("package", "version", F.col("path").alias("field"))
-    ends = links.select(F.col("new").alias("path")).distinct()
-    there = seen.join(ends, "path")
-    total = there.groupBy("path").agg(F.count("*").alias("n"))
-    together = there.join(own, ["package", "version"]).groupBy("path", "field").agg(F.count("*").alias("k"))
-    others = together.join(total, "path").filter(F.col("k") > most_together * F.col("n")).groupBy("path").agg(F.collect_set("field").alias("not_of"))
-    edges = links.join(others, links["new"] == others["path"], "left").groupBy("package").agg(F.collect_set(F.struct("old", "new", F.coalesce("not_of", F.array().cast("array<string>")).alias("not_of"))).alias("__edges"))
+    seen = rows.groupBy("package", "version").agg(F.collect_set("path").alias("paths"))
+    beside = seen.select(F.explode("paths").alias("new"), *[F.array_contains("paths", f).alias(f"__{i}") for i, f in enumerate(fields)])
+    counts = beside.groupBy("new").agg(*[(F.count_if(f"__{i}") > most_together * F.count("*")).alias(f"__{i}") for i in range(len(fields))])
+    barred = counts.select("new", F.array_compact(F.array(*[F.when(F.col(f"__{i}"), F.lit(f)) for i, f in enumerate(fields)])).alias("not_of"))
+    edges = links.select("package", "old", "new").distinct().join(barred, "new").groupBy("package").agg(F.collect_list(F.struct("old", "new", "not_of")).alias("__edges"))
 
     def closure(found: list) -> list[tuple[str, str]]:
         out = []
@@ -255,58 +253,60 @@ def field_paths(rows: DataFrame, links: DataFrame, fields: tuple[str, ...] = FIE
         return out
 
     kind = ArrayType(StructType([StructField("path", StringType()), StructField("field", StringType())]))
-    aliases = edges.select("package", F.explode(F.udf(closure, kind)("__edges")).alias("a")).select("package", "a.*")
-    spelled = seen.filter(F.col("path").isin(*fields)).select("package", "path", F.col("path").alias("field")).distinct()
-    return spelled.unionByName(aliases)
+    return edges.select("package", F.explode(F.udf(closure, kind)("__edges")).alias("a")).select("package", "a.*")
+
 
+def held_fields(rows: DataFrame, others: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """``rows`` of paths that carry a field, with ``field``."""
+    named = rows.join(others, ["package", "path"], "left")
+    return named.withColumn("field", F.coalesce("field", F.when(F.col("path").isin(*fields), F.col("path")))).filter("field is not null")
 
-def unified_tools(rows: DataFrame, keys: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+
+def unified_tools(rows: DataFrame, others: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """One consistent table: (package, version, tool, <a column per field>), values cast to text in one spelling."""
-    held = rows.join(keys, ["package", "path"])
-    tools = rows.select("package", "version", "tool").distinct()
-    wide = held.groupBy("package", "version", "tool").agg(*[F.min(F.when(F.col("field") == f, F.col("value"))).alias(f.replace(".", "_")) for f in fields])
-    return tools.join(wide, ["package", "version", "tool"], "left")
+    named = rows.join(others, ["package", "path"], "left").withColumn("field", F.coalesce("field", "path"))
+    return named.groupBy("package", "version", "tool").agg(*[F.min(F.when(F.col("field") == f, F.col("value"))).alias(f.replace(".", "_")) for f in fields])
+
 
+def field_changes(rows: DataFrame, order: DataFrame, others: DataFrame) -> DataFrame:
+    """(package, version, field, kind) against the previous version; a field can be renamed and retyped at once.
 
-def field_changes(rows: DataFrame, order: DataFrame, keys: DataFrame) -> DataFrame:
-    """(package, version, field, kind) against the previous version; a field can be renamed and retyped at once."""
+    Should a version hold a field under several keys or types, its own spelling counts, then the most tools.
+    """
     held = (
-        rows.join(keys, ["package", "path"])
+        held_fields(rows, others)
         .groupBy("package", "version", "field", "path", "type")
         .agg(F.count("*").alias("n"))
         .groupBy("package", "version", "field")
         .agg(F.max(F.struct((F.col("path") == F.col("field")).alias("own"), "n", "path", "type")).alias("m"))
-        .select("package", "version", "field", F.col("m.path").alias("path"), F.col("m.type").alias("type"))
     )
-    pairs = order.filter("previous is not null")
-    cur = held.join(pairs.select("package", "version"), ["package", "version"])
-    prev = held.withColumnRenamed("version", "previous").join(pairs, ["package", "previous"]).select("package", "version", "field", F.col("path").alias("was"), F.col("type").alias("was_type"))
-    both = prev.join(cur, ["package", "version", "field"], "full_outer")
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("m")))
+    both = held.join(order, ["package", "version"]).groupBy("package", "pair", "field").agg(side("prev").alias("p"), side("cur").alias("c"))
     kinds = F.array_compact(
         F.array(
-            F.when(F.col("was").isNull(), "added"),
-            F.when(F.col("path").isNull(), "removed"),
-            F.when(F.col("was") != F.col("path"), "renamed"),
-            F.when(F.col("was_type") != F.col("type"), "retyped"),
+            F.when(F.col("p").isNull(), "added"),
+            F.when(F.col("c").isNull(), "removed"),
+            F.when(F.col("p.path") != F.col("c.path"), "renamed"),
+            F.when(F.col("p.type") != F.col("c.type"), "retyped"),
         )
     )
-    return both.select("package", "version", "field", F.explode(kinds).alias("kind"))
+    return both.select("package", F.col("pair").alias("version"), "field", F.explode(kinds).alias("kind"))
 
 
 def schema_changes(captures: DataFrame) -> DataFrame:
     """(package, version, field, kind) for captures; see TESTDATA problem 5. An empty table gives no row."""
-    rows, order, keys = resolved(captures)
-    return field_changes(rows, order, keys)
+    rows, order, others = resolved(captures)
+    return field_changes(rows, order, others)
 
 
 def resolved(captures: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Profile, version order and field keys; the profile and the order are written once, as all steps read them."""
+    """Profile, neighbouring versions and aliases, each written once, as later steps read them again."""
     rows = stored(profile(captures), "profile")
-    order = stored(consecutive_versions(rows), "versions")
-    return rows, order, field_paths(rows, stored(correspondences(rows, order), "links"))
+    order = stored(neighbouring_versions(rows), "versions")
+    return rows, order, stored(aliases(rows, correspondences(rows, order)), "aliases")
 
 
 def consistent_tools(captures: DataFrame) -> DataFrame:
     """One row per (package, version, tool) with each field under one name and in one spelling."""
-    rows, _, keys = resolved(captures)
-    return unified_tools(rows, keys)
+    rows, _, others = resolved(captures)
+    return unified_tools(rows, others)
