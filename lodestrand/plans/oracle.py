@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestrand.plans import changes
+from lodestrand.plans import changes, evidence, identity
 
 
 def sql() -> dict[str, str]:
-    return {**changes.SQL}
+    return {**changes.SQL, **identity.SQL, **evidence.SQL}

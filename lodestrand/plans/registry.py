@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.plans import changes
+from lodestrand.plans import changes, evidence, identity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**changes.QUERIES}
+    return {**changes.QUERIES, **identity.QUERIES, **evidence.QUERIES}
