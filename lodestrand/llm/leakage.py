@@ -29,6 +29,8 @@ BAND = 128
 TABLE_BITS = 22
 #: Characters folded and hashed at once; longer documents pass in overlapping pieces.
 PIECE = 2_000_000
+#: Words of an exact run that are given up to look for an edit among repeated words.
+RETRACT = 3
 #: Items held by one task at once; more are matched in further passes over the documents.
 ITEMS_PER_PASS = 5_000
 
@@ -302,20 +304,25 @@ def _backward(letters: str, run_at: list[bool], item: Item, w: int, p: int) -> i
 def _longest(letters: str, w_start: list[int], w_end: list[int], run_at: list[bool], item: Item, i: int, j: int, d: int) -> tuple[int, int, int]:
     """The longest passage over the exact run of words i..j that takes at most one edit, on either side: (words, from, to)."""
     best = (j - i, i, j)
-    end, start = item.ends[j - 1] + d, item.starts[i] + d
-    # after the run: the document's next word ends at `over`
-    k = bisect_right(w_end, end)
-    over = w_end[k] if k < len(w_end) else None
-    options = [(j + 1, end)] + ([(j + 1, over), (j, over)] if over is not None else [])
-    for w, p in options:
-        if w <= len(item.starts) and (n := _forward(letters, run_at, item, w, p)):
-            best = max(best, (w + n - i, i, w + n))
-    k = bisect_left(w_start, start) - 1
-    over = w_start[k] if k >= 0 else None
-    options = [(i - 1, start)] + ([(i - 1, over), (i, over)] if over is not None else [])
-    for w, p in options:
-        if w >= 0 and (n := _backward(letters, run_at, item, w, p)):
-            best = max(best, (j - (w - n), w - n, j))
+    # where words repeat, an edit may lie a little inside the run
+    for back in range(min(RETRACT, j - i - 1) + 1):
+        a, b = i + back, j - back
+        if back and (not _between(letters, run_at, item.ends[b - 1] + d) or not _between(letters, run_at, item.starts[a] + d)):
+            continue
+        # after the run: the document's next word ends at `over`
+        end, start = item.ends[b - 1] + d, item.starts[a] + d
+        k = bisect_right(w_end, end)
+        over = w_end[k] if k < len(w_end) else None
+        options = [(b + 1, end)] + ([(b + 1, over), (b, over)] if over is not None else [])
+        for w, p in options:
+            if w <= len(item.starts) and (n := _forward(letters, run_at, item, w, p)):
+                best = max(best, (w + n - i, i, w + n))
+        k = bisect_left(w_start, start) - 1
+        over = w_start[k] if k >= 0 else None
+        options = [(a - 1, start)] + ([(a - 1, over), (a, over)] if over is not None else [])
+        for w, p in options:
+            if w >= 0 and (n := _backward(letters, run_at, item, w, p)):
+                best = max(best, (j - (w - n), w - n, j))
     return best
 
 

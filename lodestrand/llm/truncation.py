@@ -101,12 +101,13 @@ def ending(text: str | None, footers: frozenset[str]) -> tuple[str, int]:
     marked = _MARKER.search(rest)
     if marked and marked.start():
         before = rest[: marked.start()]
-        kind = _kind(before)
+        kind = _kind(before, False)
         return ("marked" if kind in ("unfinished", "open") else kind), len(before)
-    return _kind(rest), len(rest)
+    return _kind(rest, not dropped), len(rest)
 
 
-def _kind(text: str) -> str:
+def _kind(text: str, alone: bool) -> str:
+    """The kind of ending; ``alone`` if nothing was taken off, so that a few words may be all there ever was."""
     at = text.rfind("\n") + 1
     line = text[at:].strip()
     if "```" in text and sum(1 for _ in re.finditer(r"(?m)^\s*```", text)) % 2:
@@ -142,7 +143,7 @@ def _kind(text: str) -> str:
     label = _LABEL.match(line)
     if label and label[1].lower() not in SPEAKERS and not any(o.startswith(label[1] + ":") for o in lines) and len(line) < 80:
         return "apart"
-    if not at and len(line.split()) <= 3:
+    if alone and not at and len(line.split()) <= 3:
         return "apart"
     return "unfinished"
 
