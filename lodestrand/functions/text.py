@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -9,10 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+def _nfc(a: pa.Array) -> pa.Array:
+    """Unicode composition; only texts with other than ASCII characters leave Arrow (its own kernel doesn't compose)."""
+    other = pc.fill_null(pc.invert(pc.string_is_ascii(a)), False)
+    n = pc.sum(other).as_py()
+    if not n:
+        return a
+    composed = pa.array([unicodedata.normalize("NFC", t) for t in a.filter(other).to_pylist()], a.type)
+    return pc.replace_with_mask(a, other, composed)
+
+
 def _same_text(a: pa.Array) -> pa.Array:
     a = pc.replace_substring(a, "\r\n", "\n")
     a = pc.replace_substring(a, "\r", "\n")
-    return pc.utf8_trim_whitespace(pc.utf8_normalize(a, "NFC"))
+    return pc.utf8_trim_whitespace(_nfc(a))
 
 
 @F.arrow_udf(StringType())
@@ -23,7 +35,7 @@ def same_text(a: pa.Array) -> pa.Array:
 
 @F.arrow_udf(StringType())
 def nfc(a: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(a, "NFC")
+    return _nfc(a)
 
 
 def digest(*cols: Column) -> Column:

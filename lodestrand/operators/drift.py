@@ -45,10 +45,11 @@ def core_text(value: object) -> str:
     """The value in one spelling whatever its JSON type: a single member is unwrapped, true, "true" and 1 are alike."""
     while (isinstance(value, list) and len(value) == 1) or (isinstance(value, dict) and len(value) == 1):
         value = value[0] if isinstance(value, list) else next(iter(value.values()))
-    if isinstance(value, bool):
+    if isinstance(value, (bool, int, float)) and value in (0, 1):
         return "true" if value else "false"
     if isinstance(value, str):
-        return value.strip()
+        plain = value.strip()
+        return plain.lower() if plain.lower() in ("true", "false") else plain
     if isinstance(value, list) and value and all(isinstance(x, str) for x in value) and "null" in value and len(value) == 2:
         return next((x for x in value if x != "null"), "null")
     return json.dumps(value, sort_keys=True, ensure_ascii=False)

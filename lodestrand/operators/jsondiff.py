@@ -89,7 +89,7 @@ def added_removed(before: Column | str, after: Column | str) -> tuple[Column, Co
 
 
 def first_different_line(before: Column | str, after: Column | str) -> Column:
-    """struct<line_no (from 1), before, after> of the first line that differs, null if none; a missing line is null."""
+    """struct<line_no (from 1), before, after> of the first line that differs, null if none; a missing line is null, and a null text has no lines."""
     lines = lambda c: F.split(F.regexp_replace(c, "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", "\n"), "\n")
     a, b = lines(before), lines(after)
     at = F.array_min(F.filter(F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b)) - 1), lambda i: ~F.get(a, i).eqNullSafe(F.get(b, i))))
