@@ -157,8 +157,8 @@ QUERIES = {
     )
 }
 
-_SENTENCES = "SELECT {0} AS i, unnest(list_distinct(list_transform(string_split(regexp_replace({1}, '([.!?;])\\s+|\\n', '\\1' || chr(10), 'g'), chr(10)), x -> trim(x)))) AS line FROM {2}"
-_VKEY = "list_transform(string_split(version, '.'), x -> coalesce(try_cast(regexp_extract(x, '^\\d{1,18}') AS BIGINT), 0))"
+_SENTENCES = "SELECT {0} AS i, unnest(list_distinct(list_transform(string_split(regexp_replace({1}, '([.!?;])\\s+|\\n', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)))) AS line FROM {2}"
+_VKEY = "list_transform(string_split(version, '.'), lambda x: coalesce(try_cast(regexp_extract(x, '^\\d{1,18}') AS BIGINT), 0))"
 _USABLE = "tools IS NOT NULL AND coalesce(trim(error), '') = '' AND package IS NOT NULL AND version IS NOT NULL"
 _RELEASES = f"""
 vers AS (

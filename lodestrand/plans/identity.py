@@ -158,11 +158,11 @@ def class_membership(spark: SparkSession, d: str) -> DataFrame:
 
 
 def class_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Rule members (part types of a nation's suppliers) that no shipped line exercised."""
+    """Rule members (parts of a brand) that no late line of an order exercised."""
     part = table(spark, d, "part")
-    rules = part.groupBy(F.col("p_brand").alias("class_id")).agg(F.array_sort(F.collect_set("p_type")).alias("members")).select("class_id", F.lit("tools").alias("component"), F.lit("subset_of").alias("relation"), "members")
-    shipped = table(spark, d, "lineitem").filter(F.col("l_quantity") >= 45).select(F.col("l_partkey").alias("p_partkey")).distinct().join(part, "p_partkey")
-    exercised = shipped.select(F.col("p_brand").alias("class_id"), F.lit("tools").alias("component"), F.col("p_type").alias("member")).distinct()
+    rules = part.groupBy(F.col("p_brand").alias("class_id")).agg(F.array_sort(F.collect_set(F.col("p_partkey").cast("string"))).alias("members")).select("class_id", F.lit("tools").alias("component"), F.lit("subset_of").alias("relation"), "members")
+    shipped = table(spark, d, "lineitem").filter(F.col("l_linenumber") >= 7).select(F.col("l_partkey").alias("p_partkey")).distinct().join(part, "p_partkey")
+    exercised = shipped.select(F.col("p_brand").alias("class_id"), F.lit("tools").alias("component"), F.col("p_partkey").cast("string").alias("member")).distinct()
     return membership.uncovered(rules, exercised).select("class_id", F.size("missing").alias("n_missing"))
 
 
@@ -238,7 +238,7 @@ nodes AS (
   UNION ALL SELECT n_regionkey, 'n' || n_nationkey, ['1','2','3','4','5','6'], 'r' || n_regionkey FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)
   UNION ALL SELECT n_regionkey, 's' || s_suppkey, coalesce(operations, []), 'n' || n_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN ops ON l_suppkey = s_suppkey
 )"""
-_EXTRA = "array_to_string(list_sort(list_filter(operations, x -> NOT list_contains({0}, x))), ',')"
+_EXTRA = "array_to_string(list_sort(list_filter(operations, lambda x: NOT list_contains({0}, x))), ',')"
 
 SQL = {
     "doc_byte_addr": f"SELECT doc_id, {_BYTES} AS addr FROM documents",
@@ -269,8 +269,8 @@ UNION ALL SELECT package, name, 'description', 'changed' FROM pairs WHERE NOT is
 UNION ALL SELECT package, name, 'schema', 'changed' FROM pairs WHERE NOT is_new AND NOT is_gone AND s""",
     "granted_revoked": f"""
 WITH p AS ({_SUPPLIER_PARTS})
-SELECT l_suppkey, len(list_filter(coalesce(running, []), x -> NOT list_contains(coalesce(approved, []), x)))::INT AS n_granted,
-  len(list_filter(coalesce(approved, []), x -> NOT list_contains(coalesce(running, []), x)))::INT AS n_revoked FROM p""",
+SELECT l_suppkey, len(list_filter(coalesce(running, []), lambda x: NOT list_contains(coalesce(approved, []), x)))::INT AS n_granted,
+  len(list_filter(coalesce(approved, []), lambda x: NOT list_contains(coalesce(running, []), x)))::INT AS n_revoked FROM p""",
     "class_membership": """
 WITH flags AS (SELECT l_orderkey, bool_and(l_returnflag || '-' || l_linestatus IN ('A-R', 'N-O', 'R-F', 'A-F')) AS fine FROM lineitem GROUP BY 1), tests AS (
   SELECT o_orderkey, coalesce(o_orderstatus = 'F', false) AS s, coalesce(o_orderpriority IN ('1-URGENT', '2-HIGH'), false) AS p, coalesce(fine, false) AS t
@@ -279,10 +279,10 @@ WITH flags AS (SELECT l_orderkey, bool_and(l_returnflag || '-' || l_linestatus I
 SELECT o_orderkey AS config_id, s AND p AND t AS inside,
   concat_ws(',', CASE WHEN NOT p THEN 'priority' END, CASE WHEN NOT s THEN 'status' END, CASE WHEN NOT t THEN 'tools' END) AS outside FROM tests""",
     "class_coverage": """
-SELECT p_brand AS class_id, count(DISTINCT p_type)::INT AS n_missing FROM part p
-WHERE NOT EXISTS (SELECT 1 FROM part q JOIN lineitem ON l_partkey = q.p_partkey WHERE l_quantity >= 45 AND q.p_brand = p.p_brand AND q.p_type = p.p_type) GROUP BY 1""",
+SELECT p_brand AS class_id, count(DISTINCT p_partkey)::INT AS n_missing FROM part p
+WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_linenumber >= 7 AND l_partkey = p.p_partkey) GROUP BY 1""",
     "class_widening": f"""
-WITH p AS ({_SUPPLIER_PARTS}), g AS (SELECT l_suppkey, len(list_filter(coalesce(running, []), x -> NOT list_contains(coalesce(approved, []), x)))::INT AS n, approved, running FROM p)
+WITH p AS ({_SUPPLIER_PARTS}), g AS (SELECT l_suppkey, len(list_filter(coalesce(running, []), lambda x: NOT list_contains(coalesce(approved, []), x)))::INT AS n, approved, running FROM p)
 SELECT l_suppkey AS class_id, n AS n_gained FROM g WHERE n > 0 OR approved IS NULL OR running IS NULL""",
     "envelope_conditions": "SELECT user_id AS run_id, coalesce(max(json_extract_string(props, '$.k')::INT % 8) = 7, false) AS admissible FROM events GROUP BY 1",
     "authority_root": f"WITH {_NODES} SELECT graph_id, node, {_EXTRA.format("['1','2','3','4','5']")} AS widened FROM nodes",
