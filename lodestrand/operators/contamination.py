@@ -76,33 +76,47 @@ def equal_records(items: DataFrame, corpus: DataFrame, by: str, method: str) ->
 
 # --- level 2 -----------------------------------------------------------------------------------
 
-_word_grams: dict[str, list[str]] = {}
-
-
 def grams_of(word: str) -> list[str]:
-    known = _word_grams.get(word)
-    if known is None:
-        w = f" {word} "
-        known = []
-        for n in GRAMS:
-            if len(w) <= n:
-                known.append(w)
-                break
-            known += [w[i : i + n] for i in range(len(w) - n + 1)]
-        if len(_word_grams) > 200_000:
-            _word_grams.clear()
-        _word_grams[word] = known
-    return known
-
-
-def gram_counts(text: str) -> Counter:
-    out: Counter = Counter()
-    for word, n in Counter(text.lower().split()).items():
-        for g in grams_of(word):
-            out[g] += n
+    w = f" {word} "
+    out: list[str] = []
+    for n in GRAMS:
+        if len(w) <= n:
+            out.append(w)
+            break
+        out += [w[i : i + n] for i in range(len(w) - n + 1)]
     return out
 
 
+class GramNumbers:
+    """Numbers for n-grams, and each word's n-grams as an array of them: texts repeat words, so most cost one look-up."""
+
+    def __init__(self, known: dict[str, int] | None = None):
+        self.fixed = known is not None
+        self.number: dict[str, int] = known or {}
+        self.words: dict[str, np.ndarray] = {}
+
+    def of(self, word: str) -> np.ndarray:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) > 500_000:
+                self.words.clear()
+            if self.fixed:
+                found = np.array([n for g in grams_of(word) if (n := self.number.get(g)) is not None], np.int64)
+            else:
+                found = np.array([self.number.setdefault(g, len(self.number)) for g in grams_of(word)], np.int64)
+            self.words[word] = found
+        return found
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, how often) of the text's n-grams."""
+        c = Counter(text.lower().split())
+        parts = [self.of(w) for w in c]
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids, place = np.unique(np.concatenate(parts), return_inverse=True)
+        return ids, np.bincount(place, np.repeat(list(c.values()), [len(p) for p in parts]), len(ids)).astype(np.int64)
+
+
 def _gram_rows(texts: DataFrame, id_: str) -> DataFrame:
     """(id, gram, tf)."""
     id_type = texts.select(id_).limit(0).toArrow().schema.field(0).type
@@ -110,22 +124,25 @@ def _gram_rows(texts: DataFrame, id_: str) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, grams, tf = [], [], []
+            index = GramNumbers()
+            ids, numbers, tf, size = [], [], [], 0
 
             def full() -> pa.RecordBatch:
-                ids = batch.column(0).take(pa.array(at, pa.int64())).cast(id_type)
-                out_batch = pa.RecordBatch.from_arrays([ids, pa.array(grams, pa.string()), pa.array(tf, pa.int64())], out.names)
-                at.clear(), grams.clear(), tf.clear()
-                return out_batch
+                names = pa.array(list(index.number), pa.string())
+                columns = [batch.column(0).take(pa.array(np.concatenate(ids))).cast(id_type), names.take(pa.array(np.concatenate(numbers))), pa.array(np.concatenate(tf))]
+                ids.clear(), numbers.clear(), tf.clear()
+                return pa.RecordBatch.from_arrays(columns, out.names)
 
             for k, text in enumerate(batch.column(1).to_pylist()):
-                c = gram_counts(text or "")
-                at += [k] * len(c)
-                grams += c.keys()
-                tf += c.values()
-                if len(at) > 100_000:
+                n, c = index.counts(text or "")
+                ids.append(np.full(len(n), k, np.int64))
+                numbers.append(n)
+                tf.append(c)
+                size += len(n)
+                if size > 200_000:
                     yield full()
-            if at:
+                    size = 0
+            if size:
                 yield full()
 
     return texts.mapInArrow(scan, out)
@@ -136,10 +153,10 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            df: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                df.update(gram_counts(text or "").keys())
-            yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], ["gram", "n"])
+            index = GramNumbers()
+            seen = [index.counts(text or "")[0] for text in batch.column(0).to_pylist()]
+            df = np.bincount(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(index.number), pa.string()), pa.array(df.astype(np.int64))], ["gram", "n"])
 
     return texts.mapInArrow(scan, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("df"))
 
@@ -181,13 +198,13 @@ def _matches(spark, rows: list, corpus: DataFrame, idf: DataFrame, least: float)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, index, m, w = sent.value
+        numbers = GramNumbers(index)
         for batch in batches:
             found: list[tuple[int, int, float]] = []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                counts = [(index[g], c) for g, c in gram_counts(text or "").items() if g in index]
-                if not counts:
+                ix, tf = numbers.counts(text or "")
+                if not len(ix):
                     continue
-                ix, tf = np.array(counts).T
                 v = tf * w[ix]
                 dots = v @ m[ix]
                 # the whole norm is at least that over the items' n-grams

@@ -48,12 +48,19 @@ def class_decisions(rules: DataFrame, presented: DataFrame) -> DataFrame:
     ``presented``: class_id, config_id, component, address, present (members). ``outside`` names
     the components that fail, one without a presented value included.
     """
-    claims = presented.select("class_id", "config_id").distinct()
-    wanted = rules.join(claims, "class_id")
-    both = wanted.join(presented, ["class_id", "config_id", "component"], "left")
-    ok = satisfied(F.col("relation"), _members("members"), F.col("address"), F.col("present"))
-    per = both.withColumn("ok", ok).groupBy("class_id", "config_id").agg(F.bool_and("ok").alias("inside"), F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("component")))).alias("outside"))
-    return claims.join(per, ["class_id", "config_id"], "left").select("class_id", "config_id", F.coalesce("inside", F.lit(False)).alias("inside"), F.coalesce("outside", F.array().cast("array<string>")).alias("outside"))
+    shown = presented.groupBy("class_id", "config_id").agg(F.collect_list(F.struct("component", "address", "present")).alias("shown"))
+    wanted = rules.groupBy("class_id").agg(F.collect_list(F.struct("component", "relation", _members("members").alias("members"))).alias("rules"))
+    both = shown.join(wanted, "class_id", "left")
+
+    def fails(rule: Column) -> Column:
+        of = F.get(F.filter("shown", lambda s: s["component"] == rule["component"]), F.lit(0))
+        return ~satisfied(rule["relation"], rule["members"], of["address"], of["present"])
+
+    failed = F.transform(F.filter("rules", fails), lambda r: r["component"])
+    outside = F.coalesce(F.array_sort(failed), F.array().cast("array<string>"))
+    return both.select("class_id", "config_id", F.col("rules").isNotNull().alias("known"), outside.alias("outside")).select(
+        "class_id", "config_id", (F.col("known") & (F.size("outside") == 0)).alias("inside"), "outside"
+    )
 
 
 def uncovered(rules: DataFrame, exercised: DataFrame) -> DataFrame:
