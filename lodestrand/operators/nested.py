@@ -47,7 +47,7 @@ def tools_of(text: str) -> list:
     return listing
 
 
-def visit_schema(schema: object, branch: str, key: dict, parent: str) -> Iterator[tuple[str, str, str, dict]]:
+def visit_schema(schema: object, branch: str, key: dict, parent: str, tags: frozenset[str] = frozenset(TABLES)) -> Iterator[tuple[str, str, str, dict]]:
     """Emits a schema, its ``required`` entries and, depth first, the schemas under ``properties`` and ``items``.
 
     An explicit stack: depth is bounded by memory, not by Python's call depth.
@@ -59,8 +59,9 @@ def visit_schema(schema: object, branch: str, key: dict, parent: str) -> Iterato
             continue
         pk = f"{parent}/{branch}:{path}"
         where = {**key, "branch": branch, "path": path}
-        yield "schema", pk, above, {**where, "type": text_of(node.get("type"))}
-        listed = node.get("required")
+        if "schema" in tags:
+            yield "schema", pk, above, {**where, "type": text_of(node.get("type"))}
+        listed = node.get("required") if "required" in tags else None
         listed = [listed] if isinstance(listed, str) else listed if isinstance(listed, list) else []
         for entry in dict.fromkeys(text_of(e) for e in listed if e is not None):
             yield "required", f"{pk}!{entry}", pk, {**where, "entry": entry}
@@ -73,30 +74,32 @@ def visit_schema(schema: object, branch: str, key: dict, parent: str) -> Iterato
         stack.extend(reversed(below))
 
 
-def visit_capture(capture_id: int | None, text: str) -> Iterator[tuple[str, str, str | None, dict]]:
-    """Emits everything of one listing; one that can't be read gives a single ``reject``."""
+def visit_capture(capture_id: int | None, text: str, tags: frozenset[str] = frozenset(TABLES)) -> Iterator[tuple[str, str, str | None, dict]]:
+    """Emits the rows of ``tags`` of one listing; one that can't be read gives a single ``reject``."""
     top = f"c{capture_id}"
     try:
         listing = tools_of(text)
     except (ValueError, RecursionError) as e:
-        yield "reject", top, None, {"capture_id": capture_id, "reason": type(e).__name__}
+        if "reject" in tags:
+            yield "reject", top, None, {"capture_id": capture_id, "reason": type(e).__name__}
         return
     for no, tool in enumerate(listing):
         if not isinstance(tool, dict):
             continue
         pk = f"{top}/t{no}"
         key = {"capture_id": capture_id, "tool_no": no}
-        yield "tool", pk, top, {**key, **{a: text_of(tool.get(a)) for a in ("name", "description", "title")}}
-        for branch in BRANCHES:
-            yield from visit_schema(tool.get(branch), branch, key, pk)
+        if "tool" in tags:
+            yield "tool", pk, top, {**key, **{a: text_of(tool.get(a)) for a in ("name", "description", "title")}}
+        for branch in BRANCHES if tags & {"schema", "required"} else ():
+            yield from visit_schema(tool.get(branch), branch, key, pk, tags)
         notes = tool.get("annotations")
         hint = notes.get("destructiveHint") if isinstance(notes, dict) else None
         word = str(hint).strip().lower()
-        if isinstance(hint, (bool, str)) and word in ("true", "false"):
+        if "hint" in tags and isinstance(hint, (bool, str)) and word in ("true", "false"):
             yield "hint", f"{pk}/annotations", pk, {**key, "branch": "annotations", "path": "", "entry": f"destructiveHint={word}"}
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit(batches: Iterator[pa.RecordBatch], tags: frozenset[str]) -> Iterator[pa.RecordBatch]:
     columns: list[list] = [[], [], [], []]
 
     def full() -> pa.RecordBatch:
@@ -107,7 +110,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for capture_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for tag, pk, parent, payload in visit_capture(capture_id, text):
+            for tag, pk, parent, payload in visit_capture(capture_id, text, tags):
                 for c, v in zip(columns, (tag, pk, parent, json.dumps(payload, ensure_ascii=False))):
                     c.append(v)
             if len(columns[0]) >= 20_000:
@@ -120,9 +123,9 @@ def usable(captures: DataFrame) -> DataFrame:
     return captures.filter("tools is not null and coalesce(trim(error), '') = ''")
 
 
-def tagged_emission(captures: DataFrame) -> DataFrame:
-    """(tag, pk, parent_pk, payload) of all usable captures. Repeated rows repeat their emission under the same keys."""
-    return usable(captures).select(F.col("capture_id").cast(LongType()), "tools").mapInArrow(_emit, EMISSION)
+def tagged_emission(captures: DataFrame, tags: frozenset[str] = frozenset(TABLES)) -> DataFrame:
+    """(tag, pk, parent_pk, payload) of all usable captures, of the tables in ``tags``. Repeated rows repeat their emission under the same keys."""
+    return usable(captures).select(F.col("capture_id").cast(LongType()), "tools").mapInArrow(lambda batches: _emit(batches, tags), EMISSION)
 
 
 def split_by_tag(emission: DataFrame, tags: list[str]) -> DataFrame:
@@ -142,7 +145,7 @@ def required_and_hints(captures: DataFrame) -> DataFrame:
     Captures that aren't usable or aren't JSON give no row here (the latter are in the table
     ``reject``). A non-string entry counts by its JSON text, a null entry not at all.
     """
-    split = split_by_tag(tagged_emission(captures), ["required", "hint"])
+    split = split_by_tag(tagged_emission(captures, frozenset({"required", "hint"})), ["required", "hint"])
     columns = ["capture_id", "tool_no", "branch", "path", "entry"]
     both = flat_table(split, "required").select(columns).unionByName(flat_table(split, "hint").select(columns))
     return both.withColumn("tool_no", F.col("tool_no").cast("bigint"))

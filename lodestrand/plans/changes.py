@@ -29,7 +29,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_tools(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of tools, linked to their capture."""
-    split = nested.split_by_tag(nested.tagged_emission(table(spark, d, "captures")), ["tool"])
+    split = nested.split_by_tag(nested.tagged_emission(table(spark, d, "captures"), frozenset({"tool"})), ["tool"])
     return nested.flat_table(split, "tool").select("capture_id", F.col("tool_no").cast("bigint").alias("tool_no"), "name", "description")
 
 
