@@ -3,7 +3,7 @@
 Levels 0 and 1 are equi-joins on addresses. Level 2 is the cosine of TF-IDF vectors over
 character n-grams within words (n = 3 to 5, padded by a blank, weights raw count times
 ln((1 + N) / (1 + df)) + 1 over both sides): document frequencies are counted over everything, the
-items' vectors go to the documents as one matrix, an upper bound of the cosine from the items'
+items' vectors go to the documents as one sparse matrix, an upper bound of the cosine from the items'
 own n-grams picks candidates, and only candidates' exact norms are computed.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from lodestrand.functions.canon import EVAL, Refused, column_address, json_canonical, json_value
-from lodestrand.session import stored
+from lodestrand.session import spread, stored
 
 LEAK_RELATIONS = ("exact", "serialization", "structural", "paraphrase")
 TAUS = (0.50, 0.60, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95)
@@ -169,6 +169,7 @@ def lexical_matches(items: DataFrame, corpus: DataFrame, least: float) -> DataFr
     if least <= 0:
         raise ValueError("all pairs have a cosine of 0 or more; state a threshold above 0")
     spark = corpus.sparkSession
+    corpus = spread(corpus.select("record_id", "flat"))
     n = items.count() + corpus.count()
     df = stored(document_frequencies(items.select("flat").unionByName(corpus.select("flat"))), "df")
     idf = df.select("gram", (F.log(F.lit(1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
@@ -187,17 +188,20 @@ def _matches(spark, rows: list, corpus: DataFrame, idf: DataFrame, least: float)
     ids = sorted({r["item_id"] for r in rows})
     at = {x: i for i, x in enumerate(ids)}
     grams = {g: i for i, g in enumerate(sorted({r["gram"] for r in rows}))}
-    matrix, weight = np.zeros((len(grams), len(ids))), np.zeros(len(grams))
-    for r in rows:
-        matrix[grams[r["gram"]], at[r["item_id"]]] = r["tf"] * r["idf"]
-        weight[grams[r["gram"]]] = r["idf"]
-    matrix /= np.maximum(np.sqrt((matrix**2).sum(0)), 1e-300)
-    sent = spark.sparkContext.broadcast((ids, grams, matrix, weight))
+    weight = np.zeros(len(grams))
+    entries = np.array([(grams[r["gram"]], at[r["item_id"]]) for r in rows], np.int64).reshape(-1, 2)
+    values = np.array([r["tf"] * r["idf"] for r in rows])
+    weight[entries[:, 0]] = [r["idf"] for r in rows]
+    values /= np.maximum(np.sqrt(np.bincount(entries[:, 1], values**2, len(ids))), 1e-300)[entries[:, 1]]
+    order = np.argsort(entries[:, 0], kind="stable")
+    first = np.searchsorted(entries[order, 0], np.arange(len(grams) + 1))
+    # by n-gram: the items that have it and their weights
+    sent = spark.sparkContext.broadcast((ids, grams, first, entries[order, 1], values[order], weight))
     id_type = corpus.select("record_id").limit(0).toArrow().schema.field(0).type
     out = StructType([StructField("item_id", StringType()), corpus.schema["record_id"], StructField("dot", DoubleType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, index, m, w = sent.value
+        names, index, starts, owner, value, w = sent.value
         numbers = GramNumbers(index)
         for batch in batches:
             found: list[tuple[int, int, float]] = []
@@ -206,7 +210,9 @@ def _matches(spark, rows: list, corpus: DataFrame, idf: DataFrame, least: float)
                 if not len(ix):
                     continue
                 v = tf * w[ix]
-                dots = v @ m[ix]
+                n = starts[ix + 1] - starts[ix]
+                at = np.repeat(starts[ix] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                dots = np.bincount(owner[at], value[at] * np.repeat(v, n), len(names))
                 # the whole norm is at least that over the items' n-grams
                 for j in np.flatnonzero(dots >= (least - 1e-9) * np.sqrt((v**2).sum())):
                     found.append((int(j), k, float(dots[j])))

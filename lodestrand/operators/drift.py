@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, St
 
 from lodestrand.operators.nested import tools_of, usable
 from lodestrand.operators.segmented import cut_hot_keys, following, previous
-from lodestrand.session import stored
+from lodestrand.session import spread, stored
 
 FIELDS = ("title", "execution.taskSupport", "outputSchema.type", "annotations.readOnlyHint")
 
@@ -92,7 +92,7 @@ def profile(captures: DataFrame) -> DataFrame:
     Captures without package or version, or that aren't JSON, give no row.
     """
     rows = usable(captures).filter("package is not null and version is not null").select("package", "version", "tools")
-    return rows.mapInArrow(_profile, PROFILE).distinct()
+    return spread(rows).mapInArrow(_profile, PROFILE).distinct()
 
 
 def version_order(version: Column) -> Column:

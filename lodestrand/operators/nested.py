@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lodestrand.session import stored
+from lodestrand.session import spread, stored
 
 EMISSION = StructType([StructField(c, StringType()) for c in ("tag", "pk", "parent_pk", "payload")])
 
@@ -125,7 +125,7 @@ def usable(captures: DataFrame) -> DataFrame:
 
 def tagged_emission(captures: DataFrame, tags: frozenset[str] = frozenset(TABLES)) -> DataFrame:
     """(tag, pk, parent_pk, payload) of all usable captures, of the tables in ``tags``. Repeated rows repeat their emission under the same keys."""
-    return usable(captures).select(F.col("capture_id").cast(LongType()), "tools").mapInArrow(lambda batches: _emit(batches, tags), EMISSION)
+    return spread(usable(captures).select(F.col("capture_id").cast(LongType()), "tools")).mapInArrow(lambda batches: _emit(batches, tags), EMISSION)
 
 
 def split_by_tag(emission: DataFrame, tags: list[str]) -> DataFrame:

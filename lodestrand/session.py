@@ -70,6 +70,12 @@ def ship(spark: SparkSession) -> None:
         sc._lodestrand_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores dealt out over the cores, for work in Python; a larger scan stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
