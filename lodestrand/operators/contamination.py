@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from lodestrand.functions.canon import EVAL, Refused, column_address, json_canonical, json_value
-from lodestrand.session import spread, stored
+from lodestrand.session import arrow_type, spread, stored
 
 LEAK_RELATIONS = ("exact", "serialization", "structural", "paraphrase")
 TAUS = (0.50, 0.60, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95)
@@ -119,7 +119,7 @@ class GramNumbers:
 
 def _gram_rows(texts: DataFrame, id_: str) -> DataFrame:
     """(id, gram, tf)."""
-    id_type = texts.select(id_).limit(0).toArrow().schema.field(0).type
+    id_type = arrow_type(texts, id_)
     out = StructType([StructField(id_, texts.schema[id_].dataType), StructField("gram", StringType()), StructField("tf", LongType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,7 @@ def _matches(spark, rows: list, corpus: DataFrame, idf: DataFrame, least: float)
     first = np.searchsorted(entries[order, 0], np.arange(len(grams) + 1))
     # by n-gram: the items that have it and their weights
     sent = spark.sparkContext.broadcast((ids, grams, first, entries[order, 1], values[order], weight))
-    id_type = corpus.select("record_id").limit(0).toArrow().schema.field(0).type
+    id_type = arrow_type(corpus, "record_id")
     out = StructType([StructField("item_id", StringType()), corpus.schema["record_id"], StructField("dot", DoubleType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,9 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def local_session(app: str = "lodestrand", cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -70,6 +72,10 @@ def ship(spark: SparkSession) -> None:
         sc._lodestrand_shipped = True
 
 
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    return to_arrow_type(df.schema[column].dataType)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan of fewer splits than cores dealt out over the cores, for work in Python; a larger scan stays as it is."""
     n = df.sparkSession.sparkContext.defaultParallelism
