@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, StringType
 
 from lodestrand.llm.folding import fold, words
+from lodestrand.session import arrow_type, spread
 
 Q = 8
 #: Bands are twice this wide and overlap by half: any two diagonals this near share a band. Words longer than it aren't bridged.
@@ -338,13 +339,14 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     """
     spark = documents.sparkSession
     wanted = items.select(F.col(item_id).cast("string").alias("id"), F.col(narrative).alias("narrative")).filter("id is not null and narrative is not null").distinct()
-    n_blocks = max(1, -(-wanted.count() // ITEMS_PER_PASS))
+    few = wanted.limit(ITEMS_PER_PASS + 1).collect()
+    n_blocks = 1 if len(few) <= ITEMS_PER_PASS else -(-wanted.count() // ITEMS_PER_PASS)
     out_type = StructType([StructField("doc_id", documents.schema[doc_id].dataType), StructField("eval_id", StringType())])
-    id_type = documents.select(doc_id).limit(0).toArrow().schema.field(0).type
-    shared = stock_sentences(wanted)
+    id_type = arrow_type(documents, doc_id)
+    shared = stock_of(few) if n_blocks == 1 else stock_sentences(wanted)
     result = None
     for block in range(n_blocks):
-        rows = [(r[0], r[1]) for r in wanted.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block).collect()]
+        rows = [(r[0], r[1]) for r in (few if n_blocks == 1 else wanted.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block).collect())]
         index = spark.sparkContext.broadcast(build_index(sorted(rows), shared, min_words))
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
@@ -355,14 +357,27 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
                     [batch.column(0).take(pa.array([p[0] for p in pairs], pa.int64())).cast(id_type), pa.array([ix.items[p[1]].id for p in pairs], pa.string())], ["doc_id", "eval_id"]
                 )
 
-        found = documents.select(doc_id, text).mapInArrow(scan, out_type)
+        found = spread(documents.select(doc_id, text)).mapInArrow(scan, out_type)
         result = found if result is None else result.unionByName(found)
     return result.distinct()
 
 
+def _sentence_words(narrative: str) -> list[str]:
+    return sorted({" ".join(w) for s in sentences(narrative) if (w := words(s))})
+
+
+def stock_of(rows: list) -> set[str]:
+    """Word sequences of the sentences that at least two of these (id, narrative) share."""
+    owners: dict[str, set[str]] = {}
+    for id_, narrative in rows:
+        for s in _sentence_words(narrative):
+            owners.setdefault(s, set()).add(id_)
+    return {s for s, ids in owners.items() if len(ids) > 1}
+
+
 def stock_sentences(items: DataFrame, limit: int = 100_000) -> set[str]:
-    """Word sequences of the sentences that at least two narratives have, of 12 words or more, for which alone they matter."""
-    split = F.udf(lambda t: sorted({" ".join(w) for s in sentences(t) if (w := words(s))}), "array<string>")
+    """``stock_of`` for more items than one pass holds; ``limit`` bounds what is gathered."""
+    split = F.udf(_sentence_words, "array<string>")
     rows = items.select("id", F.explode(split("narrative")).alias("s")).groupBy("s").agg(F.count_distinct("id").alias("n")).filter("n > 1").limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} stock sentences: raise the limit if the driver can hold them")

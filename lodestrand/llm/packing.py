@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestrand.llm.tokens import VOCABULARY, token_counts
-from lodestrand.session import stored
+from lodestrand.session import arrow_type, stored
 
 #: Items of one size ranked in one task at most.
 RANKED_ROWS = 500_000
@@ -135,7 +135,7 @@ def pack(documents: DataFrame, limits: DataFrame, doc_id: str = "doc_id", text:
         )
     )
     out = StructType([StructField("p", LongType()), id_field, *[StructField(c, LongType()) for c in ("full", "cap", "size", "at")]])
-    id_type = sizes.select("doc_id").limit(0).toArrow().schema.field(0).type
+    id_type = arrow_type(sizes, "doc_id")
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, keys, ranks, firsts, each, offsets = sent.value

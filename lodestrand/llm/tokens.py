@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
+from lodestrand.session import arrow_type, spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How this family of vocabularies cuts text before merging (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -62,7 +64,7 @@ def token_counts(documents: DataFrame, keep: list[str], text: str = "text", voca
     with open(vocabulary, "rb") as f:
         content = documents.sparkSession.sparkContext.broadcast(f.read())
     out = StructType([*[documents.schema[k] for k in keep], StructField("n_tokens", LongType())])
-    types = [f.type for f in documents.select(*keep).limit(0).toArrow().schema]
+    types = [arrow_type(documents, k) for k in keep]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(content.value)
@@ -70,4 +72,4 @@ def token_counts(documents: DataFrame, keep: list[str], text: str = "text", voca
             n = pa.array(count(batch.column(len(keep)).to_pylist(), enc), pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(i).cast(t) for i, t in enumerate(types)], n], out.names)
 
-    return documents.select(*keep, text).mapInArrow(scan, out)
+    return spread(documents.select(*keep, text)).mapInArrow(scan, out)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from lodestrand.llm.sources import source_name
-from lodestrand.session import stored
+from lodestrand.session import arrow_type, spread, stored
 
 #: A last line that at least this share of all documents has, and FOOTER_LEAST of them, is a footer, if it has a word; so there are at most 500.
 FOOTER_SHARE = 0.002
@@ -223,7 +223,7 @@ def learned_footers(documents: DataFrame, text: str = "text") -> frozenset[str]:
 def evidence(documents: DataFrame, footers: frozenset[str], doc_id: str = "doc_id", text: str = "text", source: str = "source", declared: str = "n_chars") -> DataFrame:
     """(doc_id, source, kind, chars, rest, declared): what each record shows."""
     known = documents.sparkSession.sparkContext.broadcast(footers)
-    id_type = documents.select(doc_id).limit(0).toArrow().schema.field(0).type
+    id_type = arrow_type(documents, doc_id)
     out = StructType([StructField("doc_id", documents.schema[doc_id].dataType), *EVIDENCE])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +236,7 @@ def evidence(documents: DataFrame, footers: frozenset[str], doc_id: str = "doc_i
                 ["doc_id", *EVIDENCE.names],
             )
 
-    return documents.select(doc_id, text, source_name(F.col(source)).alias("source"), F.col(declared).cast("long").alias("declared")).mapInArrow(look, out)
+    return spread(documents.select(doc_id, text, source_name(F.col(source)).alias("source"), F.col(declared).cast("long").alias("declared"))).mapInArrow(look, out)
 
 
 def _binned(length: Column) -> Column:
