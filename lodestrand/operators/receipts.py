@@ -32,6 +32,19 @@ def integrity(n_eval: Column, n_corpus: Column, structural: Column) -> Column:
     return F.when(unseen, "NOT CHECKED").when(structural == 0, "CLEAN").otherwise("CONTAMINATED")
 
 
+def evaluation_scores(results: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """(config_id, passed, failed, score, gate_passed, dependencies) of evaluation results.
+
+    ``results``: config_id, ok, used (names of documents read). The gate is inclusive; a null outcome failed;
+    dependencies are the union of what was read.
+    """
+    ok = F.coalesce("ok", F.lit(False))
+    used = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("used", F.array().cast("array<string>"))))))
+    per = results.groupBy("config_id").agg(F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"), used.alias("dependencies"))
+    score = F.col("passed") / (F.col("passed") + F.col("failed"))
+    return per.select("config_id", "passed", "failed", score.alias("score"), (score >= threshold).alias("gate_passed"), "dependencies")
+
+
 def signed(payload: Column, secret: bytes) -> Column:
     """struct<payload, signature, public_key, receipt_address> of JSON text, in hex; what can't be canonicalized has a null signature."""
     public = ed25519.public_key(secret).hex()

@@ -101,3 +101,12 @@ def release_summary(versions: DataFrame) -> DataFrame:
 def listing_address(tools: Column) -> Column:
     """Address of a listing's bytes from its tools on."""
     return column_address(listing(tools), "bytes")
+
+
+def evenly_spread(versions: DataFrame, k: int) -> DataFrame:
+    """At most ``k`` >= 2 versions of each package, evenly spaced in version order, the first and the newest among them."""
+    w = Window.partitionBy("package")
+    ranked = versions.select("package", "version").distinct().withColumn("o", version_order(F.col("version")))
+    ranked = ranked.withColumns({"r": F.row_number().over(w.orderBy("o", "version")) - 1, "n": F.count("*").over(w)})
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("n") - 1) / F.lit(k - 1)).cast("int"))
+    return ranked.filter((F.col("n") <= k) | F.array_contains(wanted, F.col("r"))).select("package", "version")

@@ -29,10 +29,16 @@ def lexical_cosine(spark: SparkSession, d: str) -> DataFrame:
     return found.select("item_id", "record_id", F.round("score", 4).alias("score"))
 
 
+#: Copies are made on the driver; the items are few at every scale.
+MOST_PLANTED = 10_000
+
+
 def _planted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The evaluation items, few at any scale, and copies of them under each transformation."""
     items = _items(spark, d)
-    rows = [(r["item_id"], json.loads(r["payload"])) for r in items.orderBy("item_id").limit(10_000).collect()]
+    if items.count() > MOST_PLANTED:
+        raise ValueError(f"copies are planted of at most {MOST_PLANTED} items")
+    rows = [(r["item_id"], json.loads(r["payload"])) for r in items.orderBy("item_id").collect()]
     made = variants.planted(rows)
     corpus = spark.createDataFrame(made or [("", "{}", "unrelated", None)], "record_id string, payload string, relation string, leak_of string").withColumn("raw", F.col("payload"))
     return contamination.addressed(items), contamination.addressed(corpus)
@@ -127,6 +133,18 @@ def receipts_verify(spark: SparkSession, d: str) -> DataFrame:
     return receipts.verify(issued, presented, [ed25519.public_key(secret).hex()])
 
 
+def gate_decision(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as configurations: lines not returned passed, orders' flags are what was read; the gate is at three quarters."""
+    results = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("config_id"), (F.col("l_returnflag") != "R").alias("ok"), F.array("l_linestatus").alias("used"))
+    scores = receipts.evaluation_scores(results)
+    return scores.select("config_id", "passed", "failed", F.round("score", 6).alias("score"), "gate_passed", F.array_join("dependencies", ",").alias("dependencies"))
+
+
+def spread_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Four versions of each package, evenly spaced: a sampling operator."""
+    return releases.evenly_spread(_versions(spark, d), 4)
+
+
 # --- relations ---------------------------------------------------------------------------------------
 
 
@@ -153,7 +171,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         contamination_lines, lexical_cosine, planted_scores, planted_tau_sweep, consecutive_pairs, release_classes, release_summary, description_rewrites, rewrites_topk, capture_counts,
-        package_manifests, package_drift, receipts_verify, relation_conformance, relation_bakeoff, run_gate,
+        package_manifests, package_drift, receipts_verify, gate_decision, spread_versions, relation_conformance, relation_bakeoff, run_gate,
     )
 }
 
@@ -183,5 +201,13 @@ SELECT a.i AS item_id, b.i AS record_id, count(*) AS n_lines FROM a JOIN b USING
     "consecutive_pairs": f"WITH {_RELEASES} SELECT package, version_from, version_to FROM pairs",
     "description_rewrites": f"WITH {_RELEASES} SELECT * FROM rewrites",
     "rewrites_topk": f"WITH {_RELEASES} SELECT * FROM rewrites ORDER BY abs(delta) DESC, package, version_from, tool LIMIT 10",
+    "gate_decision": """
+SELECT l_suppkey AS config_id, count(*) FILTER (l_returnflag <> 'R') AS passed, count(*) FILTER (l_returnflag = 'R') AS failed, round(avg((l_returnflag <> 'R')::INT), 6) AS score,
+  avg((l_returnflag <> 'R')::INT) >= 0.75 AS gate_passed, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS dependencies FROM lineitem GROUP BY 1""",
+    "spread_versions": f"""
+WITH {_RELEASES}, ranked AS (
+  SELECT package, version, row_number() OVER (PARTITION BY package ORDER BY {_VKEY}, version) - 1 AS r, count(*) OVER (PARTITION BY package) AS n FROM vers
+)
+SELECT package, version FROM ranked WHERE n <= 4 OR r IN (0, round_even((n - 1) / 3, 0), round_even(2 * (n - 1) / 3, 0), n - 1)""",
     "capture_counts": "SELECT count(DISTINCT package) AS n_packages, count(DISTINCT (package, version)) AS n_versions, count(*) FILTER (coalesce(trim(error), '') <> '' OR tools IS NULL) AS n_failed, count(raw) AS n_raw, count(*) AS n_rows FROM captures",
 }

@@ -211,3 +211,25 @@ def test_lexical_against_all_pairs(spark):
     assert {(r["item_id"], r["record_id"]): round(r["score"], 6) for r in got.collect()} == {k: v for k, v in want.items() if v >= 0.3}
     with pytest.raises(ValueError):
         contamination.lexical_matches(df_.withColumnRenamed("id", "item_id"), df_.withColumnRenamed("id", "record_id"), 0)
+
+
+def test_evaluation_and_sampling(spark):
+    rows = [("a", True, ["x"]), ("a", True, ["y", "x"]), ("a", True, None), ("a", None, []), ("b", False, None)]
+    got = {r["config_id"]: r for r in receipts.evaluation_scores(spark.createDataFrame(rows, "config_id string, ok boolean, used array<string>")).collect()}
+    assert (got["a"]["passed"], got["a"]["failed"], got["a"]["gate_passed"], got["a"]["dependencies"]) == (3, 1, True, ["x", "y"]) and not got["b"]["gate_passed"]
+    versions = spark.createDataFrame([("p", f"1.{i}") for i in range(11)] + [("q", "1")], "package string, version string")
+    kept = sorted((r["version"] for r in releases.evenly_spread(versions, 3).filter("package = 'p'").collect()), key=lambda v: int(v[2:]))
+    assert kept == ["1.0", "1.5", "1.10"] and releases.evenly_spread(versions, 3).count() == 4
+
+
+def test_four_attempts(spark):
+    """A point receipt and a class receipt judge the same four runtimes differently."""
+    fields = "receipt_id string, agent string, profile string, configuration_address string, passed int, failed int, gate_passed boolean, n_eval int, n_corpus int, structural int, scope string, issued_at string"
+    secret = bytes(32)
+    issued = receipts.issue(spark.createDataFrame([(k, "a", "strict", "A", 6, 0, True, 1, 1, 0, "full", "t") for k in ("same", "dropped", "rewritten", "online")], fields), secret)
+    point = spark.createDataFrame([("same", "A", None), ("dropped", "B", None), ("rewritten", "C", None), ("online", "A", None)], "receipt_id string, configuration_address string, inside boolean")
+    member = spark.createDataFrame([("same", "A", True), ("dropped", "B", True), ("rewritten", "C", False), ("online", "A", False)], point.schema)
+    key = [ed25519.public_key(secret).hex()]
+    verdict = lambda shown: {r["receipt_id"]: r["verdict"].split(" ")[0] for r in receipts.verify(issued, shown, key).collect()}
+    assert verdict(point) == {"same": "VERIFIED", "dropped": "BLOCKED", "rewritten": "BLOCKED", "online": "VERIFIED"}
+    assert verdict(member) == {"same": "ADMISSIBLE", "dropped": "ADMISSIBLE", "rewritten": "OUTSIDE", "online": "OUTSIDE"}
