@@ -74,7 +74,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int
 
 def profiles_of(limits: DataFrame, profile: str = "profile", capacity: str = "capacity_tokens") -> list[tuple[str, int]]:
     """Distinct profiles with a positive capacity, the least of each; others get no containers."""
-    rows = limits.filter(F.col(profile).isNotNull() & (F.col(capacity) > 0)).groupBy(profile).agg(F.min(capacity)).limit(MOST_CAPACITY).collect()
+    rows = limits.filter(F.col(profile).isNotNull() & (F.col(capacity) > 0)).groupBy(profile).agg(F.min(capacity)).limit(MOST_CAPACITY + 1).collect()
     if sum(r[1] for r in rows) > MOST_CAPACITY:
         raise ValueError(f"the capacities add up to more than {MOST_CAPACITY}")
     return sorted((r[0], int(r[1])) for r in rows)

@@ -28,6 +28,8 @@ from lodestrand.session import arrow_type, spread, stored
 FOOTER_SHARE = 0.002
 FOOTER_LEAST = 4
 FOOTER_CHARS = 120
+#: Characters in which an ending's marker, open mark-up or address is looked for.
+TAIL = 500
 #: Lengths counted one by one; longer ones in bins of 1 %.
 EXACT_LENGTHS = 1 << 16
 
@@ -58,21 +60,19 @@ def shape(line: str) -> str:
     return _DIGITS.sub("0", line.strip())
 
 
+_JSON_START = re.compile(r"(?m)^(?=\{|\[\s*[\{\[\"\d])")
+_JSON_TOKEN = re.compile(r"\\.|[\"{}\[\]]", re.DOTALL)
+
+
 def _open_json(text: str) -> bool:
     """Whether a JSON value that begins a line is still open at the end."""
-    for m in re.finditer(r"(?m)^(?=\{|\[\s*[\{\[\"\d])", text):
-        depth, quoted, escaped = 0, False, False
-        for token in re.finditer(r"[\"\\{}\[\]]", text[m.start() :]):
+    for start in _JSON_START.finditer(text):
+        depth, quoted = 0, False
+        for token in _JSON_TOKEN.finditer(text, start.start()):
             c = token[0]
-            if escaped and token.start() == escaped_at:
-                escaped = False
-                continue
-            escaped = False
-            if c == "\\":
-                escaped, escaped_at = quoted, token.start() + 1
-            elif c == '"':
+            if c == '"':
                 quoted = not quoted
-            elif not quoted:
+            elif not quoted and len(c) == 1:
                 depth += 1 if c in "{[" else -1
                 if depth <= 0:
                     break
@@ -98,9 +98,9 @@ def ending(text: str | None, footers: frozenset[str]) -> tuple[str, int]:
             break
     if not dropped and "\n" not in rest and (shape(rest) in footers or _FOOTER.fullmatch(rest)):
         return "whole", len(rest)
-    marked = _MARKER.search(rest)
-    if marked and marked.start():
-        before = rest[: marked.start()]
+    marked = _MARKER.search(rest[-TAIL:])
+    if marked and len(rest) > len(marked[0]):
+        before = rest[: len(rest) - len(marked[0])].rstrip()
         kind = _kind(before, False)
         return ("marked" if kind in ("unfinished", "open") else kind), len(before)
     return _kind(rest, not dropped), len(rest)
@@ -114,7 +114,7 @@ def _kind(text: str, alone: bool) -> str:
         return "open"
     if ("{" in text or "[" in text) and _open_json(text):
         return "open"
-    if _TAG_OPEN.search(line) or _ENTITY_OPEN.search(line) or _LINK_OPEN.search(line):
+    if _TAG_OPEN.search(line[-TAIL:]) or _ENTITY_OPEN.search(line[-TAIL:]) or _LINK_OPEN.search(line[-TAIL:]):
         return "open"
     if line.startswith("|"):
         above = text[:at].rstrip().rpartition("\n")[2].strip()
@@ -130,7 +130,7 @@ def _kind(text: str, alone: bool) -> str:
         return "open"
     if text[-1] in "}]" or line == "```" or line.endswith("____"):
         return "whole"
-    if _HEADING.match(line) or line.startswith(("-- ", "— ", "– ")) or _ADDRESS.search(line):
+    if _HEADING.match(line) or line.startswith(("-- ", "— ", "– ")) or _ADDRESS.search(line[-TAIL:]):
         return "apart"
     lines = text[:at].rstrip().split("\n") if at else []
     if _ITEM.match(text[at:]):
@@ -212,7 +212,7 @@ EVIDENCE = StructType([StructField("source", StringType()), StructField("kind",
 
 def learned_footers(documents: DataFrame, text: str = "text") -> frozenset[str]:
     """Shapes of last lines that many documents end with, from all documents."""
-    whole = F.rtrim(F.regexp_replace(F.col(text), r"\s+$", ""))
+    whole = F.rtrim(F.col(text), F.lit(" \t\n\r\f"))
     line = F.trim(F.substring_index(whole, "\n", -1))
     last = documents.select(F.when(F.length(line).between(1, FOOTER_CHARS), F.regexp_replace(line, "[0-9]+", "0")).alias("line")).filter(F.col("line").rlike(r"\p{L}{3}"))
     n = documents.count()

@@ -18,7 +18,7 @@ FOOTERS = frozenset({"Exported from the store", "Internal use only"})
         ("It ends here.", "whole"), ("Is it so?", "whole"), ("She said “no.”", "whole"), ("終わり。", "whole"), ("", "blank"), (" \n", "blank"), (None, "blank"), ("It stops in the mid", "unfinished"), ("One. Two.\nThree is", "unfinished"), ("It stops in th [...]", "marked"), ("It stops in th…", "marked"),
         ("It stops in\n[end of message]", "unfinished"), ("It ends.\n[end of message]", "whole"), ("It stops in\nExported from the store", "unfinished"), ("Done.\nInternal use only", "whole"), ("Done.\n\n## Limits", "apart"), ("Done.\n\n-- The desk, room 4", "whole"), ("Done.\n\nTotal due: USD 3", "apart"), ("Caller: I have the", "unfinished"),
         ("Done.\n\n- one thing\n- other thing\n- Clause 4.2", "apart"), ("- One is done.\n- Two is", "unfinished"), ("| a | b |\n| c | d |", "apart"), ("| a | b |\n| c | d", "open"), ("| a | b |\n| c |", "open"), ("See the <stro", "open"), ("Text &nbs", "open"), ("the [form](https:/", "open"), ("in **", "open"), ("call `get_", "open"),
-        ("```json\n{}\n```", "whole"), ("```json\n{\n", "open"), ('{"a": [1, {"b": "}"}]}', "whole"), ('{"a": [1, {"b": "x', "open"), ('[{"a": 1}, {"a"', "open"), ("n/a", "apart"), ("Done.\nSee https://a.example/b/3", "apart"), ("Done.\nContact: d@a.example", "apart"), ("Done.\nThe caller said: “It is", "open"),
+        ("```json\n{}\n```", "whole"), ("```json\n{\n", "open"), ('{"a": [1, {"b": "}"}]}', "whole"), ('{"a": [1, {"b": "x', "open"), ('[{"a": 1}, {"a"', "open"), ('{"a": "x\\\\"}', "whole"), ('{"a": "x\\"}', "open"), ('{"a": 1}\n' * 30_000 + '{"a": 1}', "whole"), ("n/a", "apart"), ("Done.\nSee https://a.example/b/3", "apart"), ("Done.\nContact: d@a.example", "apart"), ("Done.\nThe caller said: “It is", "open"),
     ],
 )
 def test_endings(text, kind):
