@@ -300,7 +300,7 @@ def column_text(col: Column | str, rel: str | Relation = STRICT) -> Column:
     c = nfc(F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
     if rel.fold_space:
         return F.regexp_replace(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "), "^ | $", "")
-    return F.concat(F.regexp_replace(c, r"[\n \t]+\z", ""), F.lit("\n"))
+    return F.concat(F.rtrim(c, F.lit("\n \t")), F.lit("\n"))
 
 
 def column_address(content: Column, tag: str) -> Column:

@@ -12,7 +12,7 @@ from lodestrand.session import local_session, ship  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session("tests", cores=4, partitions=4, memory="4g")
+    s = local_session("tests", cores=4, partitions=2, memory="4g")
     s.sparkContext.setLogLevel("ERROR")
     ship(s)
     return s
