@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 P = 2**255 - 19
 L = 2**252 + 27742317777372353535851937790883648493
@@ -19,12 +20,26 @@ def _add(a: Point, b: Point) -> Point:
     return e * f % P, g * h % P, f * g % P, e * h % P
 
 
+@lru_cache(maxsize=64)
+def _windows(a: Point) -> list[list[Point]]:
+    """``[i][j]`` is j * 16**i times the point, for points that are multiplied again and again."""
+    out = []
+    for _ in range(64):
+        row: list[Point] = [(0, 1, 1, 0)]
+        for _ in range(15):
+            row.append(_add(row[-1], a))
+        out.append(row)
+        a = _add(row[-1], a)
+    return out
+
+
 def _times(n: int, a: Point) -> Point:
+    """n times the point; n has at most 256 bits."""
     out: Point = (0, 1, 1, 0)
-    while n:
-        if n & 1:
-            out = _add(out, a)
-        a, n = _add(a, a), n >> 1
+    for row in _windows(a):
+        if n & 15:
+            out = _add(out, row[n & 15])
+        n >>= 4
     return out
 
 
@@ -50,6 +65,11 @@ def _packed(a: Point) -> bytes:
     return (y | (x & 1) << 255).to_bytes(32, "little")
 
 
+@lru_cache(maxsize=64)
+def _known_point(data: bytes) -> Point | None:
+    return _point(data)
+
+
 def _point(data: bytes) -> Point | None:
     y = int.from_bytes(data, "little")
     odd, y = y >> 255, y & ((1 << 255) - 1)
@@ -85,7 +105,7 @@ def sign(secret: bytes, message: bytes) -> bytes:
 def verify(public: bytes, message: bytes, signature: bytes) -> bool:
     if len(public) != 32 or len(signature) != 64:
         return False
-    a, r = _point(public), _point(signature[:32])
+    a, r = _known_point(public), _point(signature[:32])
     s = int.from_bytes(signature[32:], "little")
     if a is None or r is None or s >= L:
         return False

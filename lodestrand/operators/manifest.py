@@ -72,7 +72,8 @@ def _document_rest(col: Column, rel: Relation) -> Column:
 def members(artifacts: DataFrame, rel: str | Relation = STRICT) -> DataFrame:
     """(config_id, component, member, member_addr, canon, refused): every tool, corpus document, eval item."""
     rel = relation(rel)
-    tools = artifacts.filter("component = 'tool'").withColumn("c", json_canonical("content", rel))
+    tools = artifacts.filter("component = 'tool'")
+    tools = tools.join(tools.select("content").filter("content is not null").distinct().withColumn("c", json_canonical("content", rel)), "content", "left")
     tools = tools.select("config_id", F.lit("tools").alias("component"), F.coalesce(F.get_json_object("content", "$.name"), F.lit("")).alias("member"), F.col("c.addr").alias("member_addr"), "c.canon", "c.refused")
     docs = artifacts.filter("component = 'corpus'").select("config_id", F.lit("corpus").alias("component"), F.col("name").alias("member"), column_text_address("content", rel).alias("member_addr"))
     docs = docs.withColumn("c", json_canonical(F.to_json(F.struct(F.col("member").alias("name"), F.col("member_addr").alias("addr"))), rel))
@@ -82,13 +83,28 @@ def members(artifacts: DataFrame, rel: str | Relation = STRICT) -> DataFrame:
     return tools.unionByName(docs).unionByName(items)
 
 
-def manifests(artifacts: DataFrame, rel: str | Relation = STRICT, resolved: DataFrame | None = None) -> DataFrame:
+def _corpus_address(docs: Column, scope: str, rel: Relation) -> Column:
+    return column_address(F.concat(F.lit('{"docs":['), F.array_join(docs, ","), F.lit(f'],"scope":"{scope}"}}')), rel.name)
+
+
+def corpora(artifacts: DataFrame, rel: str | Relation = STRICT) -> DataFrame:
+    """(config_id, corpus, corpus_refused): the address of each corpus in full scope, for configurations that share it."""
+    rel = relation(rel)
+    docs = members(artifacts, rel).filter("component = 'corpus'").groupBy("config_id")
+    docs = docs.agg(F.transform(F.array_sort(F.collect_list(F.struct("member", "member_addr", "canon"))), lambda d: d["canon"]).alias("docs"), F.collect_set("refused").alias("corpus_refused"))
+    return docs.select("config_id", _corpus_address(F.col("docs"), "full", rel).alias("corpus"), "corpus_refused")
+
+
+def manifests(artifacts: DataFrame, rel: str | Relation = STRICT, resolved: DataFrame | None = None, corpora: DataFrame | None = None) -> DataFrame:
     """(config_id, <address of each component>, configuration_address, violations) of each configuration.
 
-    ``resolved`` (config_id, name) scopes the corpus to the documents an evaluation read. A
+    ``resolved`` (config_id, name) scopes the corpus to the documents an evaluation read. ``corpora``
+    (of the function ``corpora``) gives whole corpora in place of corpus artifacts. A
     configuration with violations has no configuration address. The address of a set is the hash of its
     sorted members' addresses, so one configuration's addresses are gathered in one row.
     """
+    if resolved is not None and corpora is not None:
+        raise ValueError("whole corpora can't be scoped to resolved documents")
     rel = relation(rel)
     rows = artifacts.select("config_id", "component", "name", "content")
     single = lambda c: F.max(F.when(F.col("component") == c, F.col("content")))
@@ -118,11 +134,16 @@ def manifests(artifacts: DataFrame, rel: str | Relation = STRICT, resolved: Data
     if missing is not None:
         all_ = all_.join(missing, "config_id", "left")
     empty = F.array().cast("array<string>")
+    if corpora is not None:
+        all_ = all_.join(corpora.select("config_id", "corpus", "corpus_refused"), "config_id", "left")
+        all_ = all_.withColumn("refused", F.array_union(F.coalesce("refused", empty), F.coalesce("corpus_refused", empty)))
     all_ = all_.withColumns({c: F.coalesce(c, empty) for c in ("tool_canon", "tool_names", "doc_canon", "item_addrs", "refused")})
     tools = F.concat(
         F.lit("{"), F.coalesce(F.concat(F.lit('"document":'), F.col("document"), F.lit(",")), F.lit("")), F.lit('"tools":['), F.array_join("tool_canon", ","), F.lit("]}")
     )
-    corpus = F.concat(F.lit('{"docs":['), F.array_join("doc_canon", ","), F.lit(f'],"scope":"{scope}"}}'))
+    corpus = _corpus_address(F.col("doc_canon"), scope, rel)
+    if corpora is not None:
+        corpus = F.coalesce("corpus", corpus)
     repeated = F.size("tool_names") != F.size(F.array_distinct("tool_names"))
     checks = [
         F.col("a.refused"),
@@ -135,7 +156,7 @@ def manifests(artifacts: DataFrame, rel: str | Relation = STRICT, resolved: Data
     named = all_.select(
         "config_id",
         F.col("a.model").alias("model"), "prompt", "procedure",
-        column_address(tools, rel.name).alias("tools"), column_address(corpus, rel.name).alias("corpus"),
+        column_address(tools, rel.name).alias("tools"), corpus.alias("corpus"),
         F.col("a.permissions").alias("permissions"), set_address(F.col("item_addrs"), rel.name).alias("eval_set"),
         F.col("a.rest").alias("rest"), F.array_compact(F.array(*checks)).alias("violations"),
     )

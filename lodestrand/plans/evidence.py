@@ -7,8 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.operators import contamination, delegation, manifest, receipts, releases, variants
-from lodestrand.session import table
+from lodestrand.operators import contamination, delegation, manifest, receipts, releases, snapshots, variants
+from lodestrand.session import spread, stored, table
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -97,40 +97,60 @@ def capture_counts(spark: SparkSession, d: str) -> DataFrame:
 # --- manifests and receipts ---------------------------------------------------------------------
 
 
-def _configurations(spark: SparkSession, d: str) -> DataFrame:
-    """A configuration per package and state (its first and its last snapshot): an agent document, its tools and its documents."""
-    rows = table(spark, d, "tool_snapshots").filter("name is not null and snap_no in (1, 12)").groupBy("package", "name", "snap_no").agg(F.max(F.struct("delivered_at", "description", "input_schema")).alias("m"))
-    state = F.concat_ws("@", "package", F.col("snap_no").cast("string"))
-    tools = rows.select(state.alias("config_id"), F.lit("tool").alias("component"), "name", F.to_json(F.struct("name", F.col("m.description").alias("description"), F.col("m.input_schema").alias("inputSchema"))).alias("content"))
-    agents = rows.select("package", "snap_no").distinct().select(state.alias("config_id"), F.lit("agent").alias("component"), F.lit("agent.json").alias("name"), F.to_json(F.struct(F.col("package").alias("name"), F.struct(F.lit("m-1").alias("id")).alias("model"), F.array(F.lit("read")).alias("allowed_operations"))).alias("content"))
-    docs = table(spark, d, "documents").filter("package is not null and text is not null")
-    corpus = docs.join(rows.select("package", "snap_no").distinct(), "package").select(state.alias("config_id"), F.lit("corpus").alias("component"), F.col("doc_id").cast("string").alias("name"), F.col("text").alias("content"))
-    return tools.unionByName(agents).unionByName(corpus)
+def _states(spark: SparkSession, d: str) -> DataFrame:
+    """(package, snap_no, config_id, next_id): a configuration for each snapshot that lists a package without error, and the package's next one."""
+    listed = snapshots.listed_snapshots(table(spark, d, "tool_snapshots").filter("package is not null and snap_no is not null"))
+    each = listed.select("package", "listed", F.posexplode("listed").alias("at", "snap_no"))
+    state = lambda n: F.concat("package", F.lit("@"), n.cast("string"))
+    return each.select("package", "snap_no", state(F.col("snap_no")).alias("config_id"), state(F.get("listed", F.col("at") + 1)).alias("next_id"))
+
+
+def _configurations(spark: SparkSession, d: str, states: DataFrame) -> DataFrame:
+    """Artifacts of each state of a package: an agent document and its tools."""
+    rows = table(spark, d, "tool_snapshots").filter("name is not null").groupBy("package", "name", "snap_no").agg(F.max(F.struct("delivered_at", "description", "input_schema")).alias("m"))
+    rows = rows.join(states, ["package", "snap_no"])
+    tools = rows.select("config_id", F.lit("tool").alias("component"), "name", F.to_json(F.struct("name", F.col("m.description").alias("description"), F.col("m.input_schema").alias("inputSchema"))).alias("content"))
+    agents = states.select("config_id", F.lit("agent").alias("component"), F.lit("agent.json").alias("name"), F.to_json(F.struct(F.col("package").alias("name"), F.struct(F.lit("m-1").alias("id")).alias("model"), F.array(F.lit("read")).alias("allowed_operations"))).alias("content"))
+    return tools.unionByName(agents)
+
+
+def _state_manifests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """States and their manifests. A package's documents, alike in all its states, are addressed once."""
+    states = stored(_states(spark, d), "states")
+    docs = table(spark, d, "documents").filter("package is not null and text is not null").join(states.select("package").distinct(), "package", "left_semi")
+    corpora = manifest.corpora(docs.select(F.col("package").alias("config_id"), F.lit("corpus").alias("component"), F.col("doc_id").cast("string").alias("name"), F.col("text").alias("content")))
+    shared = states.select("package", "config_id").join(corpora.withColumnRenamed("config_id", "package"), "package").drop("package")
+    return states, manifest.manifests(_configurations(spark, d, states), corpora=shared)
 
 
 def package_manifests(spark: SparkSession, d: str) -> DataFrame:
-    """Two-level addresses of each package's first and last state."""
-    return manifest.manifests(_configurations(spark, d)).select("config_id", "model", "tools", "corpus", "permissions", "configuration_address", F.size("violations").alias("n_violations"))
+    """Two-level addresses of each package in every snapshot that lists it."""
+    _, every = _state_manifests(spark, d)
+    return every.select("config_id", "model", "tools", "corpus", "permissions", "configuration_address", F.size("violations").alias("n_violations"))
 
 
 def package_drift(spark: SparkSession, d: str) -> DataFrame:
-    """Which component of a package moved between its first and its last state."""
-    both = manifest.manifests(_configurations(spark, d))
-    at = lambda n: both.filter(F.col("config_id").endswith(f"@{n}")).withColumn("config_id", F.regexp_extract("config_id", "^(.*)@", 1))
-    return manifest.component_drift(at(1), at(12)).select("config_id", "component", F.col("before").isNull().alias("appeared"), F.col("after").isNull().alias("vanished"))
+    """Which component of a package moved against the previous snapshot that lists it; config_id is the later state."""
+    states, every = _state_manifests(spark, d)
+    every, pairs = stored(every, "manifests"), states.filter("next_id is not null")
+    before = every.join(pairs.select("config_id", "next_id"), "config_id").drop("config_id").withColumnRenamed("next_id", "config_id")
+    after = every.join(pairs.select(F.col("next_id").alias("config_id")), "config_id", "left_semi")
+    return manifest.component_drift(before, after).select("config_id", "component", F.col("before").isNull().alias("appeared"), F.col("after").isNull().alias("vanished"))
 
 
 def receipts_verify(spark: SparkSession, d: str) -> DataFrame:
-    """Receipts issued for first states, presented with last states: what still holds."""
+    """Receipts issued for every state, presented with the package's next one: what still holds. After a package's last state nothing is presented."""
     from lodestrand.functions import ed25519
 
     secret = bytes(range(32))
-    both = manifest.manifests(_configurations(spark, d)).select("config_id", "configuration_address", F.regexp_extract("config_id", "^(.*)@", 1).alias("receipt_id"))
-    first, last = both.filter(F.col("config_id").endswith("@1")), both.filter(F.col("config_id").endswith("@12"))
-    evidence = first.select("receipt_id", F.col("receipt_id").alias("agent"), F.lit("strict").alias("profile"), "configuration_address", F.lit(20).alias("passed"), F.lit(0).alias("failed"), F.lit(True).alias("gate_passed"), F.lit(20).alias("n_eval"), F.lit(32).alias("n_corpus"), F.lit(0).alias("structural"), F.lit("full").alias("scope"), F.lit("2026-01-01T00:00:00Z").alias("issued_at"))
-    issued = receipts.issue(evidence, secret)
-    presented = last.select("receipt_id", "configuration_address", F.lit(None).cast("boolean").alias("inside"))
-    return receipts.verify(issued, presented, [ed25519.public_key(secret).hex()])
+    states, every = _state_manifests(spark, d)
+    every = stored(every.select("config_id", "configuration_address"), "manifests")
+    evidence = every.join(states, "config_id").select(F.col("config_id").alias("receipt_id"), F.col("package").alias("agent"), F.lit("strict").alias("profile"), "configuration_address", F.lit(20).alias("passed"), F.lit(0).alias("failed"), F.lit(True).alias("gate_passed"), F.lit(20).alias("n_eval"), F.lit(32).alias("n_corpus"), F.lit(0).alias("structural"), F.lit("full").alias("scope"), F.lit("2026-01-01T00:00:00Z").alias("issued_at"))
+    issued = receipts.issue(spread(evidence), secret)
+    following = states.filter("next_id is not null").select(F.col("config_id").alias("receipt_id"), F.col("next_id").alias("config_id"))
+    presented = following.join(every, "config_id").select("receipt_id", "configuration_address", F.lit(None).cast("boolean").alias("inside"))
+    last = states.filter("next_id is null").select(F.col("config_id").alias("receipt_id"), F.lit("NOT PRESENTED").alias("verdict"), F.lit(False).alias("permitted"), F.lit("nothing").alias("licenses"))
+    return receipts.verify(issued, presented, [ed25519.public_key(secret).hex()]).unionByName(last)
 
 
 def gate_decision(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions.canon import EVAL, STRICT, column_address, column_text_address, json_canonical, set_address
-from lodestrand.operators import delegation, jsondiff, membership
+from lodestrand.operators import delegation, jsondiff, membership, snapshots
 from lodestrand.session import table
 
 # --- addresses ------------------------------------------------------------------------------------
@@ -94,15 +94,35 @@ def two_level_drift(spark: SparkSession, d: str) -> DataFrame:
 # --- differences ----------------------------------------------------------------------------------
 
 
-def drift_fields(spark: SparkSession, d: str) -> DataFrame:
-    """First against last snapshot of the tools, field by field: added, removed or changed."""
-    rows = table(spark, d, "tool_snapshots").filter("name is not null").groupBy("package", "name", "snap_no").agg(F.max(F.struct("delivered_at", "description", "input_schema")).alias("m"))
-    state = lambda n, p: rows.filter(F.col("snap_no") == n).select("package", "name", F.lit(True).alias(p), F.col("m.description").alias(f"{p}_description"), F.col("m.input_schema").alias(f"{p}_schema"))
-    both = state(1, "b").join(state(12, "a"), ["package", "name"], "full_outer")
+def _latest_tools(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "tool_snapshots").filter("name is not null").groupBy("package", "name", "snap_no").agg(F.max(F.struct("delivered_at", "description", "input_schema")).alias("m"))
+
+
+def _tool_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, field, change) between two sides of (keys, m)."""
+    side = lambda df, p: df.select(*keys, F.lit(True).alias(p), F.col("m.description").alias(f"{p}_description"), F.col("m.input_schema").alias(f"{p}_schema"))
+    both = side(before, "b").join(side(after, "a"), keys, "full_outer")
     changes = F.when(F.col("b").isNull(), F.array(F.struct(F.lit("tool").alias("field"), F.lit("added").alias("change")))).when(F.col("a").isNull(), F.array(F.struct(F.lit("tool").alias("field"), F.lit("removed").alias("change")))).otherwise(
         F.array_compact(F.array(*[F.when(~F.col(f"b_{f}").eqNullSafe(F.col(f"a_{f}")), F.struct(F.lit(f).alias("field"), F.lit("changed").alias("change"))) for f in ("description", "schema")]))
     )
-    return both.select("package", "name", F.explode(changes).alias("c")).select("package", "name", "c.*")
+    return both.select(*keys, F.explode(changes).alias("c")).select(*keys, "c.*")
+
+
+def drift_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshot 1 against snapshot 12 of the tools, field by field, as its SQL has it: failed listings count as empty, what lies between is in ``drift_steps``."""
+    rows = _latest_tools(spark, d)
+    return _tool_changes(rows.filter("snap_no = 1"), rows.filter("snap_no = 12"), ["package", "name"])
+
+
+def drift_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The tools field by field between consecutive snapshots that list their package without error; snap_no is the later one."""
+    rows = _latest_tools(spark, d)
+    listed = snapshots.listed_snapshots(table(spark, d, "tool_snapshots").filter("package is not null and snap_no is not null"))
+    each = listed.select("package", "listed", F.posexplode("listed").alias("at", "snap_no"))
+    steps = each.filter("at > 0").select("package", "snap_no", F.get("listed", F.col("at") - 1).alias("prev"))
+    before = rows.withColumnRenamed("snap_no", "prev").join(steps, ["package", "prev"])
+    after = rows.join(steps, ["package", "snap_no"])
+    return _tool_changes(before, after, ["package", "name", "snap_no"])
 
 
 def json_field_diffs(spark: SparkSession, d: str) -> DataFrame:
@@ -211,7 +231,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         doc_byte_addr, doc_text_addr, doc_eval_addr, doc_identity_groups, structural_gain, set_address_by_source, json_canonical_props, refused_captures, manifest_by_customer, two_level_drift,
-        drift_fields, json_field_diffs, description_notes, granted_revoked, class_membership, class_coverage, class_widening, envelope_conditions, authority_root, authority_delegator, delegation_depths,
+        drift_fields, drift_steps, json_field_diffs, description_notes, granted_revoked, class_membership, class_coverage, class_widening, envelope_conditions, authority_root, authority_delegator, delegation_depths,
     )
 }
 
@@ -267,6 +287,24 @@ WITH latest AS ({_LATEST}), pairs AS (
 SELECT package, name, 'tool' AS field, CASE WHEN is_new THEN 'added' ELSE 'removed' END AS change FROM pairs WHERE is_new OR is_gone
 UNION ALL SELECT package, name, 'description', 'changed' FROM pairs WHERE NOT is_new AND NOT is_gone AND d
 UNION ALL SELECT package, name, 'schema', 'changed' FROM pairs WHERE NOT is_new AND NOT is_gone AND s""",
+    "drift_steps": f"""
+WITH latest AS ({_LATEST}), listed AS (
+  SELECT package, snap_no FROM tool_snapshots WHERE package IS NOT NULL AND snap_no IS NOT NULL
+  GROUP BY ALL HAVING count(name) > 0 AND NOT bool_or(coalesce(trim(error), '') <> '')
+), steps AS (
+  SELECT package, snap_no, lag(snap_no) OVER (PARTITION BY package ORDER BY snap_no) AS prev FROM listed QUALIFY prev IS NOT NULL
+), b AS (
+  SELECT s.package, s.snap_no, l.name, l.description, l.input_schema FROM latest l JOIN steps s ON s.package = l.package AND s.prev = l.snap_no
+), a AS (
+  SELECT s.package, s.snap_no, l.name, l.description, l.input_schema FROM latest l JOIN steps s ON s.package = l.package AND s.snap_no = l.snap_no
+), pairs AS (
+  SELECT coalesce(b.package, a.package) AS package, coalesce(b.name, a.name) AS name, coalesce(b.snap_no, a.snap_no) AS snap_no, b.name IS NULL AS is_new, a.name IS NULL AS is_gone,
+    b.description IS DISTINCT FROM a.description AS d, b.input_schema IS DISTINCT FROM a.input_schema AS s
+  FROM b FULL JOIN a ON a.package = b.package AND a.name = b.name AND a.snap_no = b.snap_no
+)
+SELECT package, name, snap_no, 'tool' AS field, CASE WHEN is_new THEN 'added' ELSE 'removed' END AS change FROM pairs WHERE is_new OR is_gone
+UNION ALL SELECT package, name, snap_no, 'description', 'changed' FROM pairs WHERE NOT is_new AND NOT is_gone AND d
+UNION ALL SELECT package, name, snap_no, 'schema', 'changed' FROM pairs WHERE NOT is_new AND NOT is_gone AND s""",
     "granted_revoked": f"""
 WITH p AS ({_SUPPLIER_PARTS})
 SELECT l_suppkey, len(list_filter(coalesce(running, []), lambda x: NOT list_contains(coalesce(approved, []), x)))::INT AS n_granted,
