@@ -95,6 +95,25 @@ def profile(captures: DataFrame) -> DataFrame:
     return spread(rows).mapInArrow(_profile, PROFILE).distinct()
 
 
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep: dict[tuple, None] = {}
+        for package, version, text in zip(*(c.to_pylist() for c in batch.columns)):
+            try:
+                tools_of(text)
+            except (ValueError, RecursionError):
+                continue
+            keep[package, version] = None
+        columns = list(zip(*keep)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["package", "version"])
+
+
+def usable_versions(captures: DataFrame) -> DataFrame:
+    """(package, version) of every usable capture that is JSON, distinct, whatever its tools hold."""
+    rows = usable(captures).filter("package is not null and version is not null").select("package", "version", "tools")
+    return spread(rows).mapInArrow(_parsed, "package string, version string").distinct()
+
+
 def version_order(version: Column) -> Column:
     """Versions compare by their numbers part by part; a part without a number counts as 0."""
     return F.transform(F.split(version, r"\."), lambda p: F.coalesce(F.try_to_number(F.regexp_extract(p, r"^(\d{1,18})", 1), F.lit("9" * 18)).cast("bigint"), F.lit(0).cast("bigint")))
@@ -303,7 +322,7 @@ def schema_changes(captures: DataFrame) -> DataFrame:
 def resolved(captures: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Profile, neighbouring versions and aliases, each written once, as later steps read them again."""
     rows = stored(profile(captures), "profile")
-    order = stored(neighbouring_versions(rows), "versions")
+    order = stored(neighbouring_versions(usable_versions(captures)), "versions")
     return rows, order, stored(aliases(rows, correspondences(rows, order)), "aliases")
 
 

@@ -57,6 +57,14 @@ def test_empty_and_unusable(spark):
     assert found(spark, [capture(1, "p", "1", None), (2, "p", "2", "nope", None, "x", "x"), (3, "p", "3", "[1]", None, "x", "x")]) == []
 
 
+def test_versions_of_bare_tools_count(spark):
+    rows = [
+        capture(1, "first", "1", [{"name": "t0", "description": "d", "inputSchema": {}}]), capture(2, "first", "2", tools(title=name)), capture(3, "mid", "1", tools(title=name)), capture(4, "mid", "2", []), capture(5, "mid", "3", tools(title=name)),
+        capture(6, "last", "1", tools(title=name)), capture(7, "last", "2", {"tools": [{"name": "t0"}]}), capture(8, "failed", "1", tools(title=name)), capture(9, "failed", "2", [], "down"), (10, "failed", "3", "nope", None, "x", "x"), capture(11, "failed", "4", tools(title=name)),
+    ]
+    assert found(spark, rows) == [("first", "2", "title", "added"), ("last", "2", "title", "removed"), ("mid", "2", "title", "removed"), ("mid", "3", "title", "added")]
+
+
 @pytest.mark.parametrize("rows_per_chunk", [500_000, 3])
 def test_version_order_of_long_histories(spark, rows_per_chunk):
     versions = ["0.9", "0.10", "1.0", "1.0.1", "1.2", "1.10", "2", "10.0", "10.0.0", "x.1"]
