@@ -178,7 +178,7 @@ def class_membership(spark: SparkSession, d: str) -> DataFrame:
 
 
 def class_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Rule members (parts of a brand) that no late line of an order exercised."""
+    """Rule members (parts of a brand) that no line of number 7 or more exercised, as its SQL has it; ``nation_coverage`` takes every line."""
     part = table(spark, d, "part")
     rules = part.groupBy(F.col("p_brand").alias("class_id")).agg(F.array_sort(F.collect_set(F.col("p_partkey").cast("string"))).alias("members")).select("class_id", F.lit("tools").alias("component"), F.lit("subset_of").alias("relation"), "members")
     shipped = table(spark, d, "lineitem").filter(F.col("l_linenumber") >= 7).select(F.col("l_partkey").alias("p_partkey")).distinct().join(part, "p_partkey")
@@ -186,6 +186,16 @@ def class_coverage(spark: SparkSession, d: str) -> DataFrame:
     return membership.uncovered(rules, exercised).select("class_id", F.size("missing").alias("n_missing"))
 
 
+def nation_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Rule members (every part, for each nation of customers) that no line of an order of that nation exercised."""
+    line, order, customer = table(spark, d, "lineitem"), table(spark, d, "orders"), table(spark, d, "customer")
+    parts = table(spark, d, "part").agg(F.array_sort(F.collect_set(F.col("p_partkey").cast("string"))).alias("members"))
+    rules = customer.select(F.col("c_nationkey").alias("class_id")).filter("class_id is not null").distinct().crossJoin(parts).select("class_id", F.lit("tools").alias("component"), F.lit("subset_of").alias("relation"), "members")
+    lines = line.join(order, line.l_orderkey == order.o_orderkey).join(customer, order.o_custkey == customer.c_custkey)
+    exercised = lines.select(F.col("c_nationkey").alias("class_id"), F.lit("tools").alias("component"), F.col("l_partkey").cast("string").alias("member")).distinct()
+    return membership.uncovered(rules, exercised).select("class_id", F.size("missing").alias("n_missing"))
+
+
 def class_widening(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers whose later class admits parts that the earlier one didn't."""
     sets = _parts_by_supplier(spark, d)
@@ -231,7 +241,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         doc_byte_addr, doc_text_addr, doc_eval_addr, doc_identity_groups, structural_gain, set_address_by_source, json_canonical_props, refused_captures, manifest_by_customer, two_level_drift,
-        drift_fields, drift_steps, json_field_diffs, description_notes, granted_revoked, class_membership, class_coverage, class_widening, envelope_conditions, authority_root, authority_delegator, delegation_depths,
+        drift_fields, drift_steps, json_field_diffs, description_notes, granted_revoked, class_membership, class_coverage, nation_coverage, class_widening, envelope_conditions, authority_root, authority_delegator, delegation_depths,
     )
 }
 
@@ -319,6 +329,10 @@ SELECT o_orderkey AS config_id, s AND p AND t AS inside,
     "class_coverage": """
 SELECT p_brand AS class_id, count(DISTINCT p_partkey)::INT AS n_missing FROM part p
 WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_linenumber >= 7 AND l_partkey = p.p_partkey) GROUP BY 1""",
+    "nation_coverage": """
+WITH seen AS (SELECT DISTINCT c_nationkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)
+SELECT n.c_nationkey AS class_id, count(DISTINCT p_partkey)::INT AS n_missing FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey IS NOT NULL) n CROSS JOIN part p
+WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.c_nationkey = n.c_nationkey AND s.l_partkey = p.p_partkey) GROUP BY 1""",
     "class_widening": f"""
 WITH p AS ({_SUPPLIER_PARTS}), g AS (SELECT l_suppkey, len(list_filter(coalesce(running, []), lambda x: NOT list_contains(coalesce(approved, []), x)))::INT AS n, approved, running FROM p)
 SELECT l_suppkey AS class_id, n AS n_gained FROM g WHERE n > 0 OR approved IS NULL OR running IS NULL""",
