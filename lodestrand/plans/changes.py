@@ -29,8 +29,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_tools(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of tools, linked to their capture."""
-    split = nested.split_by_tag(nested.tagged_emission(table(spark, d, "captures"), frozenset({"tool"})), ["tool"])
-    return nested.flat_table(split, "tool").select("capture_id", F.col("tool_no").cast("bigint").alias("tool_no"), "name", "description")
+    split = nested.split_by_tag(nested.tagged_emission(table(spark, d, "captures")))
+    return nested.flat_table(split, "tool", ["capture_id", "tool_no", "name", "description"])
+
+
+def p4_schemas(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of schemas, each linked to the tool or schema that holds it."""
+    split = nested.split_by_tag(nested.tagged_emission(table(spark, d, "captures")))
+    return nested.flat_table(split, "schema", ["pk", "parent_pk", "capture_id", "tool_no", "branch", "path", "type"])
+
+
+def p4_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and orphans of all five tables of one pass."""
+    return nested.table_report(table(spark, d, "captures"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -48,6 +59,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_tools": p4_tools,
+    "p4_schemas": p4_schemas,
+    "p4_tables": p4_tables,
     "p5_found": p5_found,
     "p5_tools": p5_tools,
 }
@@ -77,6 +90,35 @@ WITH settled AS (
 )
 """
 
+_P4 = """
+WITH RECURSIVE listings AS (
+  SELECT DISTINCT capture_id, CASE WHEN json_type(tools) = 'ARRAY' THEN json_extract(tools, '$[*]') ELSE json_extract(tools, '$.tools[*]') END AS listing
+  FROM captures WHERE tools IS NOT NULL AND coalesce(trim(error), '') = ''
+), tools AS (
+  SELECT capture_id, unnest(listing) AS tool, generate_subscripts(listing, 1) - 1 AS tool_no FROM listings
+), walk AS (
+  SELECT capture_id, tool_no, branch, '' AS path, json_extract(tool, '$.' || branch) AS node, 'c' || capture_id || '/t' || tool_no AS parent_pk
+  FROM tools, (VALUES ('inputSchema'), ('outputSchema')) b(branch)
+  UNION ALL
+  SELECT capture_id, tool_no, branch, c.path, c.node, 'c' || capture_id || '/t' || tool_no || '/' || branch || ':' || walk.path FROM walk, LATERAL (
+    SELECT CASE WHEN walk.path = '' THEN k ELSE walk.path || '.' || k END AS path,
+      json_extract(json_extract(walk.node, '$.properties'), '$."' || k || '"') AS node
+    FROM (SELECT unnest(json_keys(json_extract(walk.node, '$.properties'))) AS k)
+    UNION ALL
+    SELECT walk.path || '[]', json_extract(walk.node, '$.items') WHERE json_type(json_extract(walk.node, '$.items')) = 'OBJECT'
+  ) c WHERE json_type(walk.node) = 'OBJECT'
+), lists AS (
+  SELECT capture_id, tool_no, branch, path, json_extract(node, '$.required') AS r FROM walk WHERE json_type(node) = 'OBJECT'
+), entries AS (
+  SELECT capture_id, tool_no, branch, path, unnest(from_json(r, '["VARCHAR"]')) AS entry FROM lists WHERE json_type(r) = 'ARRAY'
+  UNION ALL
+  SELECT capture_id, tool_no, branch, path, json_extract_string(r, '$') FROM lists WHERE json_type(r) = 'VARCHAR'
+  UNION ALL
+  SELECT capture_id, tool_no, 'annotations', '', 'destructiveHint=' || lower(json_extract_string(tool, '$.annotations.destructiveHint'))
+  FROM tools WHERE lower(json_extract_string(tool, '$.annotations.destructiveHint')) IN ('true', 'false')
+)
+"""
+
 SQL = {
     "p1_found": _P1
     + """SELECT tool_id, strftime(effective_at, '%Y-%m-%d %H:%M:%S') AS valid_from,
@@ -112,32 +154,14 @@ FROM (
   )
 )
 WHERE json_type(tool) = 'OBJECT'""",
-    "p4_found": """
-WITH RECURSIVE listings AS (
-  SELECT DISTINCT capture_id, CASE WHEN json_type(tools) = 'ARRAY' THEN json_extract(tools, '$[*]') ELSE json_extract(tools, '$.tools[*]') END AS listing
-  FROM captures WHERE tools IS NOT NULL AND coalesce(trim(error), '') = ''
-), tools AS (
-  SELECT capture_id, unnest(listing) AS tool, generate_subscripts(listing, 1) - 1 AS tool_no FROM listings
-), walk AS (
-  SELECT capture_id, tool_no, branch, '' AS path, json_extract(tool, '$.' || branch) AS node
-  FROM tools, (VALUES ('inputSchema'), ('outputSchema')) b(branch)
-  UNION ALL
-  SELECT capture_id, tool_no, branch, c.path, c.node FROM walk, LATERAL (
-    SELECT CASE WHEN walk.path = '' THEN k ELSE walk.path || '.' || k END AS path,
-      json_extract(json_extract(walk.node, '$.properties'), '$."' || k || '"') AS node
-    FROM (SELECT unnest(json_keys(json_extract(walk.node, '$.properties'))) AS k)
-    UNION ALL
-    SELECT walk.path || '[]', json_extract(walk.node, '$.items') WHERE json_type(json_extract(walk.node, '$.items')) = 'OBJECT'
-  ) c WHERE json_type(walk.node) = 'OBJECT'
-), lists AS (
-  SELECT capture_id, tool_no, branch, path, json_extract(node, '$.required') AS r FROM walk WHERE json_type(node) = 'OBJECT'
-), entries AS (
-  SELECT capture_id, tool_no, branch, path, unnest(from_json(r, '["VARCHAR"]')) AS entry FROM lists WHERE json_type(r) = 'ARRAY'
-  UNION ALL
-  SELECT capture_id, tool_no, branch, path, json_extract_string(r, '$') FROM lists WHERE json_type(r) = 'VARCHAR'
-  UNION ALL
-  SELECT capture_id, tool_no, 'annotations', '', 'destructiveHint=' || lower(json_extract_string(tool, '$.annotations.destructiveHint'))
-  FROM tools WHERE lower(json_extract_string(tool, '$.annotations.destructiveHint')) IN ('true', 'false')
-)
-SELECT DISTINCT capture_id, tool_no, branch, path, entry FROM entries WHERE entry IS NOT NULL""",
+    "p4_found": _P4
+    + "SELECT DISTINCT capture_id, tool_no, branch, path, entry FROM entries WHERE entry IS NOT NULL",
+    "p4_schemas": _P4
+    + """SELECT DISTINCT 'c' || capture_id || '/t' || tool_no || '/' || branch || ':' || path AS pk, parent_pk, capture_id, tool_no, branch, path, json_extract_string(node, '$.type') AS type
+FROM walk WHERE json_type(node) = 'OBJECT'""",
+    "p4_tables": _P4
+    + """SELECT 'tool' AS tag, count(DISTINCT (capture_id, tool_no)) AS n_rows, 0::BIGINT AS n_orphans FROM tools WHERE json_type(tool) = 'OBJECT'
+UNION ALL SELECT 'schema', count(DISTINCT (capture_id, tool_no, branch, path)), 0 FROM walk WHERE json_type(node) = 'OBJECT'
+UNION ALL SELECT CASE branch WHEN 'annotations' THEN 'hint' ELSE 'required' END, count(DISTINCT (capture_id, tool_no, branch, path, entry)), 0 FROM entries WHERE entry IS NOT NULL GROUP BY 1
+UNION ALL SELECT 'reject', count(DISTINCT capture_id), 0 FROM captures WHERE tools IS NOT NULL AND coalesce(trim(error), '') = '' AND NOT json_valid(tools)""",
 }

@@ -65,14 +65,28 @@ def test_against_recursion(spark):
 
 
 def test_very_deep_listing_is_rejected_or_read():
-    text = json.dumps([{"inputSchema": deep(60)}])
-    assert any(t == "required" for t, *_ in nested.visit_capture(1, text))
-    assert [t for t, *_ in nested.visit_capture(1, "[" * 200_000)] == ["reject"]
+    out = nested.Emitter()
+    out.capture(1, json.dumps([{"inputSchema": deep(60)}]))
+    assert out.rows["required"] and not out.rows["reject"]
+    out = nested.Emitter()
+    out.capture(1, "[" * 200_000)
+    assert {tag for tag, rows in out.rows.items() if rows} == {"reject"}
 
 
 def test_links_lead_to_parents(spark):
-    rows = nested.tagged_emission(spark.createDataFrame(cases(), SCHEMA)).distinct().collect()
-    keys = {r["pk"] for r in rows}
-    assert all(r["parent_pk"] in keys for r in rows if r["tag"] in ("schema", "required", "hint"))
-    split = nested.split_by_tag(nested.tagged_emission(spark.createDataFrame(cases(), SCHEMA)), ["tool", "reject"])
-    assert nested.flat_table(split, "tool").count() == 7 and nested.flat_table(split, "reject").count() == 3
+    tables = nested.flat_tables(spark.createDataFrame(cases(), SCHEMA))
+    rows = {tag: t.collect() for tag, t in tables.items()}
+    keys = {tag: {r["pk"] for r in found} for tag, found in rows.items()}
+    assert all(len(keys[tag]) == len(found) for tag, found in rows.items()) and len(rows["tool"]) == 7 and len(rows["reject"]) == 3
+    for tag, above in nested.PARENTS.items():
+        assert rows[tag] and all(any(r["parent_pk"] in keys[a] for a in above) for r in rows[tag])
+    assert all(r["parent_pk"] == f"c{r['capture_id']}" for r in rows["tool"])
+    report = {r["tag"]: (r["n_rows"], r["n_orphans"]) for r in nested.table_report(spark.createDataFrame(cases(), SCHEMA)).collect()}
+    assert report == {tag: (len(found), 0) for tag, found in rows.items()}
+
+
+def test_orphans_are_counted(spark):
+    emission = nested.tagged_emission(spark.createDataFrame(cases()[:1], SCHEMA)).filter("not (tag = 'schema' and path = '')")
+    split = nested.split_by_tag(emission)
+    kept = {r["pk"] for r in split.filter("tag in ('tool', 'schema')").collect()}
+    assert any(r["parent_pk"] not in kept for r in split.filter("tag = 'required'").collect())
