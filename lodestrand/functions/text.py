@@ -38,7 +38,11 @@ def nfc(a: pa.Array) -> pa.Array:
     return _nfc(a)
 
 
+def joined(*cols: Column) -> Column:
+    """Columns as one text; null and empty differ and no two rows of different values have the same."""
+    return F.concat(*[F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string"))) for c in cols])
+
+
 def digest(*cols: Column) -> Column:
     """SHA-256 over columns; null and empty differ and no concatenation of values collides with another."""
-    parts = [F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string"))) for c in cols]
-    return F.sha2(F.concat(*parts), 256)
+    return F.sha2(joined(*cols), 256)

@@ -1,22 +1,31 @@
 """Problem 1: history of changing attributes as insert-only satellites.
 
-Each group of attributes that change at a like rate has a satellite, to which a row is appended
-only when the digest of its attributes differs from the entity's row before it. Rows are never
-updated: the end of a row's period is derived by ``lead`` in a view. A status satellite holds
-the spans in which the entity exists, so that a return after an end opens a new version.
+Attributes whose measured change rates are alike share a satellite, to which a row is appended only
+when the digest of its attributes differs from the entity's row before it. Rows are never updated or
+deleted: the end of a row's period is derived by ``lead`` in a view, and a row that a later
+correction takes back is voided by a row of that later load. A status satellite holds the spans in
+which the entity exists. Versions come from the satellites' views: at each start, the rows in
+force of all satellites, joined in time with the status in force.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import digest, same_text
 from lodestrand.operators.segmented import Segments, cut_hot_keys, following, previous
+from lodestrand.session import scratch_dir, stored
 
-NAME_AND_DESCRIPTION = {"sat_name": ("name",), "sat_description": ("description",)}
+NAME_AND_DESCRIPTION = ("name", "description")
+STATUS = "sat_status"
+#: Attributes that change at most this many times as often as one another share a satellite.
+LIKE_RATES = 2.0
 
 
 def seconds(col: str) -> Column:
@@ -42,82 +51,134 @@ def settled(updates: DataFrame, key: str, at: str, received: str, op: str, attri
     return best.select(key, at, F.col("__m.__op").alias("op"), *[F.col(f"__m.{a}").alias(a) for a in attributes])
 
 
-def satellite_feed(
+def attribute_changes(
     updates: DataFrame,
     key: str = "tool_id",
     at: str = "effective_at",
     received: str = "received_at",
     op: str = "op",
     tie: str | None = "update_id",
-    satellites: Mapping[str, Sequence[str]] = NAME_AND_DESCRIPTION,
+    attributes: Sequence[str] = NAME_AND_DESCRIPTION,
     rows_per_chunk: int = 2_000_000,
-) -> tuple[DataFrame, Segments]:
-    """The rows that any satellite takes: (key, at, op, attributes as the same text, <satellite>_hash, satellites).
+) -> DataFrame:
+    """(key, at, op, attributes as the same text, changed, status) of the rows at which anything changes.
 
-    ``satellites`` of a row names those whose digest differs there, with ``sat_status`` where
-    existence changes. A null attribute in an upsert means the value before; none before: null.
+    ``changed`` names the attributes whose digest differs from that before; ``status`` tells
+    whether existence changes; the first upsert changes all. A null attribute in an upsert means the value before; none before: null.
     """
-    attributes = [a for group in satellites.values() for a in group]
     rows = settled(updates, key, at, received, op, attributes, tie).withColumns({a: same_text(a) for a in attributes})
     rows, seg = cut_hot_keys(rows, key, at, seconds(at), rows_per_chunk, sizes=updates)
     for a in attributes:
         rows = previous(rows, seg, a, f"__was_{a}")
     rows = rows.withColumns({a: F.coalesce(a, f"__was_{a}") for a in attributes})
-    rows = rows.withColumns({f"{s}_hash": digest(*[F.col(a) for a in group]) for s, group in satellites.items()})
-    hashes = [f"{s}_hash" for s in satellites]
-    rows = previous(rows.withColumn("__state", F.struct("op", *hashes)), seg, "__state", "__before", ignore_nulls=False)
-    up, was = F.col("op") == "upsert", F.col("__before.op")
-    alive = F.coalesce(was == "upsert", F.lit(False))
-    takes = [F.when(up & (was.isNull() | (F.col(h) != F.col(f"__before.{h}"))), F.lit(s)) for s, h in zip(satellites, hashes)]
-    takes.append(F.when(up != alive, F.lit("sat_status")))
-    feed = rows.withColumn("satellites", F.array_compact(F.array(*takes))).filter(F.size("satellites") > 0)
-    return feed.select(key, seg.chunk, at, "op", *attributes, *hashes, "satellites"), seg
-
-
-def satellite(feed: DataFrame, name: str, key: str = "tool_id", at: str = "effective_at", satellites: Mapping[str, Sequence[str]] = NAME_AND_DESCRIPTION) -> DataFrame:
-    """The rows to append to one satellite."""
-    rows = feed.filter(F.array_contains("satellites", name))
-    if name == "sat_status":
-        return rows.select(key, at, "op")
-    return rows.select(key, at, F.col(f"{name}_hash").alias("hash_diff"), *satellites[name])
-
-
-def append_only(stored: DataFrame, new: DataFrame, key: str = "tool_id", at: str = "effective_at") -> DataFrame:
-    """``stored`` with those rows of ``new`` that it lacks; nothing stored is changed."""
-    return stored.unionByName(new.join(stored.select(key, at), [key, at], "left_anti"))
-
-
-def satellite_view(rows: DataFrame, key: str = "tool_id", at: str = "effective_at") -> DataFrame:
-    """A satellite with ``valid_to``, the start of the entity's next row (null: open).
-
-    Rows appended out of order may leave equal neighbours; those are read as one period.
+    up = F.col("op") == "upsert"
+    rows = rows.withColumn("__digests", F.when(up, F.struct(*[digest(F.col(a)).alias(a) for a in attributes])))
+    rows = previous(previous(rows, seg, "__digests", "__before"), seg, "op", "__was")
+    differs = [F.when(up & (F.col("__before").isNull() | (F.col(f"__digests.{a}") != F.col(f"__before.{a}"))), F.lit(a)) for a in attributes]
+    rows = rows.withColumns({"changed": F.array_compact(F.array(*differs)), "status": up != F.coalesce(F.col("__was") == "upsert", F.lit(False))})
+    return rows.filter("size(changed) > 0 or status").select(key, at, "op", *attributes, "changed", "status")
+
+
+def split_by_rate(changes: Mapping[str, int], factor: float = LIKE_RATES) -> dict[str, tuple[str, ...]]:
+    """Satellites by name: attributes in order of their number of changes, cut where it falls by more than ``factor``."""
+    groups: list[list[str]] = []
+    for a in sorted(changes, key=lambda a: (-changes[a], a)):
+        if groups and changes[groups[-1][0]] <= factor * changes[a]:
+            groups[-1].append(a)
+        else:
+            groups.append([a])
+    return {f"sat_{'_'.join(sorted(g))}": tuple(sorted(g)) for g in groups}
+
+
+@dataclass
+class Satellites:
+    """Satellites in a folder, as one table partitioned by satellite: (key, at, op, hash_diff, attributes, load_no, void, satellite)."""
+
+    spark: SparkSession
+    path: str
+    groups: Mapping[str, Sequence[str]]
+    key: str = "tool_id"
+    at: str = "effective_at"
+    schema: str = ""
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def _wanted(self, changes: DataFrame) -> DataFrame:
+        """What every satellite takes of ``changes``."""
+        takes = [F.when(F.arrays_overlap("changed", F.array(*map(F.lit, group))), F.struct(F.lit(s).alias("satellite"), digest(*map(F.col, group)).alias("hash_diff"))) for s, group in self.groups.items()]
+        takes.append(F.when(F.col("status"), F.struct(F.lit(STATUS).alias("satellite"), digest(F.col("op")).alias("hash_diff"))))
+        rows = changes.select("*", F.explode(F.array_compact(F.array(*takes))).alias("__s")).select("*", "__s.*")
+        own = {a: F.when(F.col("satellite") == s, F.col(a)) for s, group in self.groups.items() for a in group}
+        return rows.select(self.key, self.at, F.when(F.col("satellite") == STATUS, F.col("op")).alias("op"), "hash_diff", *[c.alias(a) for a, c in own.items()], "satellite")
+
+    def load(self, changes: DataFrame, load_no: int) -> None:
+        """Appends what ``changes``, all that is known now of the keys it has, says anew; nothing stored is touched.
+
+        A stored row of these keys that no longer holds, since a correction came late, is followed
+        by one of the same key and time with ``void``.
+        """
+        new = self._wanted(changes).withColumns({"load_no": F.lit(load_no), "void": F.lit(False)})
+        self.schema = self.schema or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema if f.name != "satellite") + ", satellite string"
+        if load_no:
+            same = ["satellite", self.key, self.at, "hash_diff"]
+            held = self.current().join(changes.select(self.key).distinct(), self.key, "left_semi")
+            kept = held.select(*same)
+            gone = held.join(new.select("satellite", self.key, self.at), ["satellite", self.key, self.at], "left_anti").withColumns({"load_no": F.lit(load_no), "void": F.lit(True)})
+            new = new.join(kept, same, "left_anti").unionByName(gone.select(new.columns))
+        new.write.mode("append").partitionBy("satellite").parquet(self.path)
+
+    def current(self) -> DataFrame:
+        """The rows that hold: of each (satellite, key, at) the last load's, unless it is void."""
+        last = self.rows().groupBy("satellite", self.key, self.at).agg(F.max_by(F.struct("op", "hash_diff", *[a for g in self.groups.values() for a in g], "void"), "load_no").alias("__m"))
+        return last.select("satellite", self.key, self.at, "__m.*").filter("not void")
+
+    def view(self, loads: int = 1, rows_per_chunk: int = 2_000_000) -> tuple[DataFrame, Segments]:
+        """All satellites with ``valid_to``, the start of the entity's next row in the satellite (null: open), cut into chunks of keys.
+
+        Corrections may leave equal neighbours; periods meet all the same.
+        """
+        held = self.rows() if loads == 1 else self.current()
+        rows, seg = cut_hot_keys(held, self.key, self.at, seconds(self.at), rows_per_chunk, sizes=self.rows())
+        rows = rows.repartition(self.key, seg.chunk)
+        return following(rows, Segments((self.key, "satellite"), seg.chunk, self.at, seg.hot), self.at, "valid_to"), seg
+
+
+def versions(view: DataFrame, seg: Segments, groups: Mapping[str, Sequence[str]], at: str = "effective_at") -> DataFrame:
+    """One row per version with valid_from and valid_to (null: open), from the satellites' views.
+
+    A version starts where a satellite has a row while the entity exists. It lasts as long as
+    all rows in force there do, the status among them, so it ends with the first of their periods.
     """
-    w = Window.partitionBy(key).orderBy(at)
-    if "hash_diff" in rows.columns:
-        rows = rows.withColumn("__h", F.lag("hash_diff").over(w)).filter("__h is null or __h != hash_diff").drop("__h")
-    return rows.withColumn("valid_to", F.lead(at).over(w))
-
-
-def versions(feed: DataFrame, seg: Segments, key: str = "tool_id", at: str = "effective_at") -> DataFrame:
-    """The lead-based view over all satellites: one row per version with valid_from and valid_to (null: open).
-
-    A version starts where any satellite takes a row while the entity exists and ends at the
-    next row of any, an end of existence included.
-    """
-    timed = following(feed, seg, at, "valid_to")
-    return timed.filter("op = 'upsert'").withColumnRenamed(at, "valid_from").drop("op", "satellites", seg.chunk)
+    names = [*groups, STATUS]
+    per = view.groupBy(seg.key, seg.chunk, at).agg(*[F.max(F.when(F.col("satellite") == s, F.struct(F.lit(True).alias("has"), "valid_to", "op"))).alias(s) for s in names])
+    for s in names:
+        per = previous(per, seg, s, f"__was_{s}").withColumn(s, F.coalesce(s, f"__was_{s}")).drop(f"__was_{s}")
+    ends = F.least(*[F.col(f"{s}.valid_to") for s in names])
+    return per.filter(F.col(f"{STATUS}.op") == "upsert").select(seg.key, F.col(at).alias("valid_from"), ends.alias("valid_to"))
 
 
 def as_text(c: str) -> Column:
     return F.substring(F.col(c).cast("string"), 1, 19)
 
 
+def satellites(updates: DataFrame, rows_per_chunk: int = 2_000_000, attributes: Sequence[str] = NAME_AND_DESCRIPTION) -> Satellites:
+    """Satellites of all updates in a new folder, split by the change rates these show."""
+    changes = stored(attribute_changes(updates, attributes=attributes, rows_per_chunk=rows_per_chunk), "changes")
+    counts = changes.agg(*[F.count_if(F.array_contains("changed", a)).alias(a) for a in attributes]).collect()[0].asDict()
+    spark = updates.sparkSession
+    made = Satellites(spark, os.path.join(scratch_dir(spark), f"satellites-{uuid.uuid4().hex}"), split_by_rate(counts))
+    made.load(changes, 0)
+    return made
+
+
 def version_periods(updates: DataFrame, rows_per_chunk: int = 2_000_000) -> DataFrame:
     """(tool_id, valid_from, valid_to) of every version; see TESTDATA problem 1. An empty table gives no row."""
-    feed, seg = satellite_feed(updates, rows_per_chunk=rows_per_chunk)
-    return versions(feed, seg).select("tool_id", as_text("valid_from").alias("valid_from"), F.coalesce(as_text("valid_to"), F.lit("open")).alias("valid_to"))
+    made = satellites(updates, rows_per_chunk)
+    found = versions(*made.view(rows_per_chunk=rows_per_chunk), made.groups)
+    return found.select("tool_id", as_text("valid_from").alias("valid_from"), F.coalesce(as_text("valid_to"), F.lit("open")).alias("valid_to"))
 
 
-def change_rates(feed: DataFrame, satellites: Sequence[str] = (*NAME_AND_DESCRIPTION, "sat_status")) -> DataFrame:
-    """How many rows each satellite takes: the measure by which attributes are split into satellites."""
-    return feed.select(F.explode("satellites").alias("satellite")).groupBy("satellite").agg(F.count("*").alias("n_rows"))
+def satellite_sizes(updates: DataFrame) -> DataFrame:
+    """(satellite, n_rows) of the satellites as stored."""
+    return satellites(updates).rows().groupBy("satellite").agg(F.count("*").alias("n_rows"))

@@ -19,13 +19,17 @@ MAX_CHUNKS = 10_000
 class Segments:
     """Key and chunk columns of a chunked frame; ``hot`` tells whether any key has more than one chunk."""
 
-    key: str
+    key: str | tuple[str, ...]
     chunk: str
     order: str
     hot: bool
 
+    @property
+    def keys(self) -> list[str]:
+        return [self.key] if isinstance(self.key, str) else list(self.key)
+
     def window(self):
-        return Window.partitionBy(self.key, self.chunk).orderBy(self.order)
+        return Window.partitionBy(*self.keys, self.chunk).orderBy(self.order)
 
 
 def cut_hot_keys(df: DataFrame, key: str, order: str, position: Column, rows_per_chunk: int = 2_000_000, sizes: DataFrame | None = None, chunk: str = "__chunk") -> tuple[DataFrame, Segments]:
@@ -65,8 +69,8 @@ def previous(df: DataFrame, seg: Segments, value: str, out: str, ignore_nulls: b
     df = df.withColumn(out, before)
     if not seg.hot:
         return df
-    ends = df.filter(F.col(value).isNotNull()).groupBy(seg.key, seg.chunk).agg(F.max_by(value, seg.order).alias("__v"))
-    return _carried(df, seg, ends, df.select(seg.key, seg.chunk).distinct(), out, backwards=False)
+    ends = df.filter(F.col(value).isNotNull()).groupBy(*seg.keys, seg.chunk).agg(F.max_by(value, seg.order).alias("__v"))
+    return _carried(df, seg, ends, df.select(*seg.keys, seg.chunk).distinct(), out, backwards=False)
 
 
 def following(df: DataFrame, seg: Segments, value: str, out: str) -> DataFrame:
@@ -74,20 +78,22 @@ def following(df: DataFrame, seg: Segments, value: str, out: str) -> DataFrame:
     df = df.withColumn(out, F.lead(value).over(seg.window()))
     if not seg.hot:
         return df
-    starts = df.groupBy(seg.key, seg.chunk).agg(F.min_by(value, seg.order).alias("__v"))
-    return _carried(df, seg, starts, df.select(seg.key, seg.chunk).distinct(), out, backwards=True)
+    starts = df.groupBy(*seg.keys, seg.chunk).agg(F.min_by(value, seg.order).alias("__v"))
+    return _carried(df, seg, starts, df.select(*seg.keys, seg.chunk).distinct(), out, backwards=True)
 
 
 def _carried(df: DataFrame, seg: Segments, edges: DataFrame, chunks: DataFrame, out: str, backwards: bool) -> DataFrame:
     """Fills ``out`` from the nearest other chunk; the carry table holds only chunks of keys with several."""
     order = F.col(seg.chunk).desc() if backwards else F.col(seg.chunk).asc()
-    w = Window.partitionBy(seg.key).orderBy(order)
+    on = [*seg.keys, seg.chunk]
+    w = Window.partitionBy(*seg.keys).orderBy(order)
     carry = (
-        chunks.join(edges, [seg.key, seg.chunk], "left")
-        .withColumn("__n", F.max(seg.chunk).over(Window.partitionBy(seg.key)))
+        chunks.join(edges, on, "left")
+        .withColumn("__n", F.max(seg.chunk).over(Window.partitionBy(*seg.keys)))
         .filter("__n > 0")
         .withColumn("__in", F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
         .filter("__in is not null")
-        .select(seg.key, seg.chunk, "__in")
+        .select(*on, "__in")
     )
-    return df.join(F.broadcast(carry), [seg.key, seg.chunk], "left").withColumn(out, F.coalesce(out, "__in")).drop("__in")
+    # both sides are spread by chunk, so that no size is presumed; Spark broadcasts the table if it finds it small
+    return df.join(carry, on, "left").withColumn(out, F.coalesce(out, "__in")).drop("__in")

@@ -14,9 +14,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_satellite_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that each satellite takes: the split of attributes by change rate."""
-    feed, _ = history.satellite_feed(table(spark, d, "tool_updates"))
-    return history.change_rates(feed)
+    """Rows of each satellite; attributes are split by change rate."""
+    return history.satellite_sizes(table(spark, d, "tool_updates"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +79,7 @@ WITH settled AS (
   SELECT tool_id, effective_at, op, last_value(name IGNORE NULLS) OVER w AS name, last_value(description IGNORE NULLS) OVER w AS description
   FROM texts WINDOW w AS (PARTITION BY tool_id ORDER BY effective_at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ), marked AS (
-  SELECT *, lag(op) OVER w AS was, lag(name) OVER w AS was_name, lag(description) OVER w AS was_description
+  SELECT *, lag(op) OVER w AS was, lag(name) OVER w AS was_name, lag(description) OVER w AS was_description, op = 'upsert' AND count(*) FILTER (op = 'upsert') OVER (w ROWS UNBOUNDED PRECEDING) = 1 AS first_upsert
   FROM filled WINDOW w AS (PARTITION BY tool_id ORDER BY effective_at)
 ), events AS (
   SELECT * FROM marked WHERE CASE WHEN op = 'retire' THEN coalesce(was = 'upsert', false)
@@ -124,8 +123,8 @@ SQL = {
     + """SELECT tool_id, strftime(effective_at, '%Y-%m-%d %H:%M:%S') AS valid_from,
   coalesce(strftime(next_at, '%Y-%m-%d %H:%M:%S'), 'open') AS valid_to FROM ends WHERE op = 'upsert'""",
     "p1_satellite_sizes": _P1
-    + """SELECT 'sat_name' AS satellite, count(*) AS n_rows FROM marked WHERE op = 'upsert' AND (was IS NULL OR name IS DISTINCT FROM was_name)
-UNION ALL SELECT 'sat_description', count(*) FROM marked WHERE op = 'upsert' AND (was IS NULL OR description IS DISTINCT FROM was_description)
+    + """SELECT 'sat_name' AS satellite, count(*) AS n_rows FROM marked WHERE op = 'upsert' AND (first_upsert OR name IS DISTINCT FROM was_name)
+UNION ALL SELECT 'sat_description', count(*) FROM marked WHERE op = 'upsert' AND (first_upsert OR description IS DISTINCT FROM was_description)
 UNION ALL SELECT 'sat_status', count(*) FROM marked WHERE (op = 'upsert' AND coalesce(was = 'retire', true)) OR (op = 'retire' AND was = 'upsert')""",
     "p3_found": f"""
 WITH latest AS (

@@ -80,10 +80,39 @@ def test_random_timelines_and_cut_keys(spark, chunk):
 
 
 def test_satellites_take_rows_only_for_changes(spark):
-    rows = rows_of((1, "upsert", "a", "x", 0, 0), (1, "upsert", "a", "y", 1, 1), (1, "upsert", "a", "y", 2, 2), (1, "upsert", "b", "y", 3, 3))
-    feed, _ = history.satellite_feed(spark.createDataFrame(rows, SCHEMA))
-    assert history.satellite(feed, "sat_name").count() == 2 and history.satellite(feed, "sat_description").count() == 2 and history.satellite(feed, "sat_status").count() == 1
-    view = history.satellite_view(history.satellite(feed, "sat_name")).orderBy("effective_at").collect()
-    assert view[0]["valid_to"] == view[1]["effective_at"] and view[1]["valid_to"] is None
-    names = history.satellite(feed, "sat_name")
-    assert history.append_only(names, names).count() == 2
+    rows = rows_of((1, "upsert", "a", "x", 0, 0), (1, "upsert", "a", "y", 1, 1), (1, "upsert", "a", "y", 2, 2), (1, "upsert", "a", "z", 3, 3), (1, "upsert", "b", "w", 4, 4))
+    made = history.satellites(spark.createDataFrame(rows, SCHEMA))
+    assert made.groups == {"sat_description_name": ("description", "name")} and history.split_by_rate({"a": 9, "b": 4, "c": 1, "d": 5}) == {"sat_a_d": ("a", "d"), "sat_b": ("b",), "sat_c": ("c",)}
+    assert {r["satellite"]: r["count"] for r in made.rows().groupBy("satellite").count().collect()} == {"sat_description_name": 4, "sat_status": 1}
+    view = made.view()[0].filter("satellite != 'sat_status'").orderBy("effective_at").collect()
+    assert [r["valid_to"] for r in view] == [r["effective_at"] for r in view[1:]] + [None]
+
+
+def periods(made, loads):
+    found = history.versions(*made.view(loads), made.groups)
+    return {(r["tool_id"], str(r["valid_from"])[:19], str(r["valid_to"])[:19] if r["valid_to"] else "open") for r in found.collect()}
+
+
+def test_versions_come_from_the_satellites(spark):
+    rows = rows_of((1, "upsert", "a", "x", 0, 0), (1, "upsert", "b", "x", 5, 5), (1, "retire", None, None, 9, 9))
+    made = history.satellites(spark.createDataFrame(rows, SCHEMA))
+    assert periods(made, 1) == plain(rows)
+    without = made.view()[0].filter("satellite != 'sat_status'")
+    assert history.versions(without, made.view()[1], made.groups).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_later_loads_append_only(spark, seed):
+    """Late rows and corrections between loads: the views equal a reading of all rows, and no stored row is lost."""
+    rng = random.Random(seed)
+    made_up = [(rng.randint(1, 6), rng.choice(["upsert"] * 4 + ["retire"]), rng.choice([None, "a", "b"]), rng.choice([None, "x", "y"]), rng.randint(0, 12), i) for i in range(90)]
+    rows = rows_of(*made_up)
+    made = history.satellites(spark.createDataFrame(rows[:40], SCHEMA))
+    before = sorted(map(str, made.rows().collect()))
+    late = spark.createDataFrame(rows, SCHEMA)
+    keys = spark.createDataFrame(rows[40:], SCHEMA).select("tool_id").distinct()
+    made.load(history.attribute_changes(late.join(keys, "tool_id", "left_semi")), 1)
+    after = sorted(map(str, made.rows().collect()))
+    assert set(before) <= set(after) and periods(made, 2) == plain(rows)
+    made.load(history.attribute_changes(late), 2)
+    assert len(made.rows().collect()) == len(after)

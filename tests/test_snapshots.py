@@ -68,11 +68,19 @@ def test_random_snapshots_and_spread_groups(spark, bucket_rows):
     assert len(got) == len(set(got)) and set(got) == plain(rows)
 
 
-def test_ordinals_persist(spark):
+def test_ordinals_persist(spark, tmp_path):
+    folder = str(tmp_path / "ordinals")
     keys = spark.createDataFrame([("p", f"k{i}", 1) for i in range(100)], "package string, name string, first int")
-    known = snapshots.assign_ordinals(keys, "package", "name", "first", bucket_rows=30)
-    more = keys.unionByName(spark.createDataFrame([("p", f"n{i}", 2) for i in range(40)] + [("q", "a", 2)], keys.schema))
-    later = snapshots.assign_ordinals(more, "package", "name", "first", known.select("package", "name", "n_buckets", "bucket", "position"), bucket_rows=30)
-    was = {(r["package"], r["name"]): (r["bucket"], r["position"]) for r in known.collect()}
-    now = {(r["package"], r["name"]): (r["bucket"], r["position"]) for r in later.collect()}
-    assert len(now) == 141 and all(now[k] == v for k, v in was.items()) and len({(k[0], *v) for k, v in now.items()}) == 141
+    read = lambda df: {(r["package"], r["name"]): (r["bucket"], r["position"]) for r in df.collect()}
+    was = read(snapshots.dictionary_of(keys, "package", "name", "first", folder, 30))
+    more = keys.filter("name != 'k3'").unionByName(spark.createDataFrame([("p", f"n{i}", 2) for i in range(140)] + [("q", "a", 2)], keys.schema))
+    now = read(snapshots.dictionary_of(more, "package", "name", "first", folder, 30))
+    assert len(now) == 241 and all(now[k] == v for k, v in was.items()) and len({(k[0], *v) for k, v in now.items()}) == 241
+    assert max(b for b, _ in now.values()) > max(b for b, _ in was.values())
+
+
+def test_later_run_with_the_kept_dictionary(spark, tmp_path):
+    rows = [row(s, "p", f"t{i}", d="y" if i == s else "x") for s in range(1, 5) for i in range(9) if (i + s) % 4]
+    first = found(spark, [r for r in rows if r[0] < 3], dictionary=str(tmp_path / "d"))
+    assert set(first) == plain([r for r in rows if r[0] < 3])
+    assert set(found(spark, rows, dictionary=str(tmp_path / "d"))) == plain(rows)
