@@ -1,15 +1,16 @@
 """Problem 5: schemas that drift between versions, by similarity flooding.
 
-Every version of a package has a schema graph: member paths of its tools with key, JSON type and
-nesting. Where paths vanish and others appear between consecutive versions, match scores of
-(old path, new path) start from key likeness and from how often both carry the same value for
-the same tool, are propagated along nesting and type edges until they settle (Melnik, Garcia-Molina
-and Rahm, ICDE 2002), and a consistent one-to-one selection is kept. Chained from the first
-spelling of a field, the correspondences tell which key carries it in each version; values are
-then cast and united into one table, and every change is listed.
-
-All data is joined and counted by Spark; the flooding itself sees one version pair's paths, whose
-number is that of schema members, never that of rows.
+Every version of a package has a schema graph: member paths of its tools, at any depth, with key,
+JSON type and nesting. Names of parameters (members of ``properties``) are data, not schema, and stand as
+``*``, items of lists as ``[]``. Where paths vanish and others appear between consecutive versions,
+match scores of (old path, new path) start from how often both carry the same value and from key
+likeness, and are propagated along nesting and type edges until they settle (after Melnik, Garcia-Molina
+and Rahm, ICDE 2002). Of the settled scores those over a threshold are selected one to one, the best
+first. Chained from the first spelling of a field, the correspondences tell which key carries it
+in each version; values are then cast and united into one table, and every change is listed.
+
+All data is joined and counted by Spark; the flooding itself sees one version pair's vanished and new
+paths, whose number is that of schema members, never that of rows or tools.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
 from lodestrand.operators.nested import tools_of, usable
 from lodestrand.operators.segmented import cut_hot_keys, following, previous
@@ -28,90 +28,133 @@ from lodestrand.session import spread, stored
 
 FIELDS = ("title", "execution.taskSupport", "outputSchema.type", "annotations.readOnlyHint")
 
-#: Members of a tool that identify it or describe data rather than the tool, and are no candidates.
-SKIPPED = {("name",), ("description",), ("inputSchema",), ("outputSchema", "properties"), ("outputSchema", "required"), ("outputSchema", "items")}
+#: Share of a score that comes from its neighbours in the graph, and the settled score from which a pair corresponds.
+FLOW = 0.3
+LEAST_SCORE = 0.55
+#: Share of the evidence that key likeness may add to; values alone give the rest.
+LIKENESS = 0.2
+#: Share of versions (of packages) in which a path stands beside a field's own spelling and so is another member.
+MOST_TOGETHER = 0.3
 
-PROFILE = StructType([StructField(c, StringType()) for c in ("package", "version", "path", "tool", "type", "value")])
-DEPTH = 3
+PROFILE = "tag string, package string, version string, path string, type string, n long, tool string, members array<struct<path string, type string, value string>>"
+_TYPES = {bool: "boolean", int: "number", float: "number", str: "string", list: "array", dict: "object"}
 
 
-def json_type(value: object) -> str:
-    if isinstance(value, bool):
-        return "boolean"
-    return {int: "number", float: "number", str: "string", list: "array", dict: "object"}.get(type(value), "null")
+def core_text(value: object) -> str | None:
+    """The value in one spelling whatever its JSON type: a single member is unwrapped, true, "true" and 1 are alike.
 
-
-def core_text(value: object) -> str:
-    """The value in one spelling whatever its JSON type: a single member is unwrapped, true, "true" and 1 are alike."""
-    while (isinstance(value, list) and len(value) == 1) or (isinstance(value, dict) and len(value) == 1):
+    Null for what holds further objects or lists: its members stand for it.
+    """
+    while isinstance(value, (list, dict)) and len(value) == 1:
         value = value[0] if isinstance(value, list) else next(iter(value.values()))
-    if isinstance(value, (bool, int, float)) and value in (0, 1):
-        return "true" if value else "false"
     if isinstance(value, str):
         plain = value.strip()
         return plain.lower() if plain.lower() in ("true", "false") else plain
-    if isinstance(value, list) and value and all(isinstance(x, str) for x in value) and "null" in value and len(value) == 2:
-        return next((x for x in value if x != "null"), "null")
+    if isinstance(value, (bool, int, float)) and value in (0, 1):
+        return "true" if value else "false"
+    if isinstance(value, list):
+        if len(value) == 2 and "null" in value and all(isinstance(x, str) for x in value):
+            return next((x for x in value if x != "null"), "null")
+        if any(isinstance(x, (list, dict)) for x in value):
+            return None
+    elif isinstance(value, dict) and any(isinstance(x, (list, dict)) for x in value.values()):
+        return None
     return json.dumps(value, sort_keys=True, ensure_ascii=False)
 
 
-def members(tool: dict) -> Iterator[tuple[str, object]]:
-    """(path, value) of the tool's members that aren't null, to a depth of three."""
-    stack = [((), tool)]
+def members(tool: dict) -> dict[str, tuple[str, str | None]]:
+    """(type, value) of each path of the tool that isn't null, at any depth. Where a path with ``*`` or ``[]`` has several values, type or value that differ are "mixed" and null."""
+    out: dict[str, tuple[str, str | None]] = {}
+    stack: list[tuple[str, object]] = [("", tool)]
     while stack:
         at, node = stack.pop()
+        if type(node) is list:
+            stack.extend((f"{at}[]", x) for x in node if type(x) is dict or type(x) is list)
+            continue
+        named = at.endswith("properties")
         for key, value in node.items():
-            path = (*at, key)
-            if value is None or path in SKIPPED:
+            if value is None:
                 continue
-            if path != ("outputSchema",):
-                yield ".".join(path), value
-            if isinstance(value, dict) and len(path) < DEPTH:
+            path = f"{at}.*" if named else f"{at}.{key}" if at else key
+            kind = type(value)
+            found = (_TYPES.get(kind, "null"), core_text(value))
+            had = out.get(path)
+            if had is None:
+                out[path] = found
+            elif had != found:
+                out[path] = (had[0] if had[0] == found[0] else "mixed", had[1] if had[1] == found[1] else None)
+            if (kind is dict or kind is list) and value:
                 stack.append((path, value))
+    return out
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each capture: a row per path, the root's (empty) among them, and a row per tool with its members."""
+    fields = [pa.field(c, pa.string()) for c in ("path", "type", "value")]
+    names = [c.split()[0] for c in PROFILE.split(", ")[:7]] + ["members"]
+
+    def rows(tag: str, heads: list[tuple], paths: list[tuple], tools: list[tuple]) -> pa.RecordBatch:
+        size = len(heads)
+        package, version = (pa.array(c, pa.string()) for c in zip(*heads))
+        tags = pa.array([tag] * size, pa.string())
+        if tag == "path":
+            path, kind, n = zip(*paths)
+            rest = [pa.array(path, pa.string()), pa.array(kind, pa.string()), pa.array(n, pa.int64()), pa.nulls(size, pa.string()), pa.nulls(size, pa.list_(pa.struct(fields)))]
+        else:
+            flat: list[list] = [[], [], []]
+            offsets = [0]
+            for _, found in tools:
+                flat[0] += found.keys()
+                flat[1] += [f[0] for f in found.values()]
+                flat[2] += [f[1] for f in found.values()]
+                offsets.append(len(flat[0]))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in flat], fields=fields))
+            rest = [pa.nulls(size, pa.string()), pa.nulls(size, pa.string()), pa.nulls(size, pa.int64()), pa.array([t for t, _ in tools], pa.string()), lists]
+        return pa.RecordBatch.from_arrays([tags, package, version, *rest], names)
+
     for batch in batches:
-        rows: dict[tuple, None] = {}
+        at_path: list[tuple] = []
+        paths: list[tuple] = []
+        at_tool: list[tuple] = []
+        tools: list[tuple] = []
         for package, version, text in zip(*(c.to_pylist() for c in batch.columns)):
             try:
                 listing = tools_of(text)
             except (ValueError, RecursionError):
                 continue
+            counts: dict[tuple[str, str], int] = {("", "object"): 1}
             for no, tool in enumerate(listing):
                 if isinstance(tool, dict):
-                    name = tool["name"] if isinstance(tool.get("name"), str) else f"#{no}"
-                    rows.update(dict.fromkeys((package, version, path, name, json_type(v), core_text(v)) for path, v in members(tool)))
-        columns = list(zip(*rows)) or [()] * len(PROFILE)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], PROFILE.names)
+                    found = members(tool)
+                    tools.append((tool["name"] if isinstance(tool.get("name"), str) else f"#{no}", found))
+                    at_tool.append((package, version))
+                    for path, (kind, _) in found.items():
+                        counts[path, kind] = counts.get((path, kind), 0) + 1
+            paths += [(path, kind, n) for (path, kind), n in counts.items()]
+            at_path += [(package, version)] * len(counts)
+            if len(tools) > 2_000:
+                yield rows("tool", at_tool, [], tools)
+                at_tool, tools = [], []
+            if len(paths) > 50_000:
+                yield rows("path", at_path, paths, [])
+                at_path, paths = [], []
+        if paths:
+            yield rows("path", at_path, paths, [])
+        if tools:
+            yield rows("tool", at_tool, [], tools)
 
 
 def profile(captures: DataFrame) -> DataFrame:
-    """(package, version, path, tool, type, value) of every usable capture, distinct.
-
-    Captures without package or version, or that aren't JSON, give no row.
-    """
+    """Paths and tools of every usable capture, in one pass, written by tag. Captures without package or version, or that aren't JSON, give no row."""
     rows = usable(captures).filter("package is not null and version is not null").select("package", "version", "tools")
-    return spread(rows).mapInArrow(_profile, PROFILE).distinct()
-
+    made = spread(rows).mapInArrow(_profile, PROFILE)
+    return stored(made.select(*[c for c in made.columns if c != "tag"], "tag"), "profile", ["tag"])
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep: dict[tuple, None] = {}
-        for package, version, text in zip(*(c.to_pylist() for c in batch.columns)):
-            try:
-                tools_of(text)
-            except (ValueError, RecursionError):
-                continue
-            keep[package, version] = None
-        columns = list(zip(*keep)) or [(), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["package", "version"])
 
-
-def usable_versions(captures: DataFrame) -> DataFrame:
-    """(package, version) of every usable capture that is JSON, distinct, whatever its tools hold."""
-    rows = usable(captures).filter("package is not null and version is not null").select("package", "version", "tools")
-    return spread(rows).mapInArrow(_parsed, "package string, version string").distinct()
+def version_paths(profiled: DataFrame) -> DataFrame:
+    """(package, version, path, type, n): of a path's types in a version that of the most tools; the path "" is in every usable version."""
+    per = profiled.filter("tag = 'path'").groupBy("package", "version", "path", "type").agg(F.max("n").alias("n"))
+    return per.groupBy("package", "version", "path").agg(F.max(F.struct("n", "type")).alias("m")).select("package", "version", "path", "m.type", "m.n")
 
 
 def version_order(version: Column) -> Column:
@@ -152,156 +195,163 @@ def key_likeness(a: str, b: str) -> float:
     return 2 * len(x & y) / (len(x) + len(y))
 
 
-def flood(pairs: list[dict], rounds: int = 200, epsilon: float = 1e-4) -> dict[tuple[str, str], float]:
-    """Settled scores of (old path, new path). ``pairs``: old, new, old_type, new_type, agree (0..1).
+def _above(path: str) -> str:
+    return path[:-2] if path.endswith("[]") else path.rpartition(".")[0]
+
 
-    The pairwise connectivity graph has a node per path pair, per pair of their parents and per
-    pair of their types; edges join a path pair with its parents' (nesting) and types' pair, with
-    weights split among the edges of a kind at a node.
+def flood(pairs: list[dict], epsilon: float = 1e-6, rounds: int = 1_000) -> dict[tuple[str, str], float]:
+    """Settled scores, 0 to 1, of (old path, new path). ``pairs``: old, new, old_type, new_type, agree (0..1).
+
+    The pairwise connectivity graph has a node per path pair, per pair of their parents and of
+    theirs in turn, and per pair of types; edges join a node with its parents' (nesting) and its
+    types' pair. Each round a node keeps 1 - FLOW of its initial score and takes FLOW of the mean
+    over the kinds of edges of its neighbours' mean score, a contraction, so that scores converge.
     """
     start: dict[tuple, float] = {}
-    edges: dict[tuple, dict[str, set[tuple]]] = {}
+    edges: dict[tuple, dict[str, list[tuple]]] = {}
 
     def link(x: tuple, y: tuple, kind: str) -> None:
-        edges.setdefault(x, {}).setdefault(kind, set()).add(y)
-        edges.setdefault(y, {}).setdefault(f"{kind}-of", set()).add(x)
+        for a, b, k in ((x, y, kind), (y, x, f"{kind} of")):
+            if b not in (known := edges.setdefault(a, {}).setdefault(k, [])):
+                known.append(b)
 
     for p in pairs:
         node = ("path", p["old"], p["new"])
-        start[node] = 0.3 * key_likeness(p["old"], p["new"]) + 0.7 * p["agree"]
-        up = ("path", p["old"].rpartition(".")[0], p["new"].rpartition(".")[0])
-        start.setdefault(up, 1.0 if up[1] == up[2] else 0.5 if up[1] and up[2] else 0.0)
+        start[node] = p["agree"] * (1 - LIKENESS + LIKENESS * key_likeness(p["old"], p["new"]))
         kinds = ("type", p["old_type"], p["new_type"])
         start[kinds] = 1.0 if kinds[1] == kinds[2] else 0.2
-        link(node, up, "member")
         link(node, kinds, "type")
+    for p in pairs:
+        below, old, new = ("path", p["old"], p["new"]), _above(p["old"]), _above(p["new"])
+        while True:
+            up = ("path", old, new)
+            start.setdefault(up, 1.0 if old == new else 0.5 * key_likeness(old, new) if old and new else 0.0)
+            link(below, up, "member")
+            if not (old and new):
+                break
+            below, old, new = up, _above(old), _above(new)
     score = dict(start)
     for _ in range(rounds):
-        moved = {
-            n: start[n] + score[n] + sum((start[m] + score[m]) / len(edges[m].get(back, (n,))) for kind, ms in edges.get(n, {}).items() for back in [kind[:-3] if kind.endswith("-of") else f"{kind}-of"] for m in ms)
-            for n in score
-        }
-        top = max(moved.values(), default=1.0) or 1.0
-        moved = {n: v / top for n, v in moved.items()}
-        change = sum((moved[n] - score[n]) ** 2 for n in score) ** 0.5
+        moved = {n: (1 - FLOW) * start[n] + FLOW * sum(sum(score[m] for m in ms) / len(ms) for ms in edges[n].values()) / len(edges[n]) for n in score}
+        change = max((abs(moved[n] - score[n]) for n in score), default=0.0)
         score = moved
         if change < epsilon:
             break
     return {(p["old"], p["new"]): score["path", p["old"], p["new"]] for p in pairs}
 
 
-def select_matches(pairs: list[dict], least_agreement: float) -> list[dict]:
-    """A consistent one-to-one selection, best settled score first, among pairs that carry the same values on.
-
-    Nested wrappers, as ``x`` and ``x.default``, stand for one place: the kept depth decides.
-    """
-    fit = [p for p in pairs if p["agree"] >= least_agreement]
+def select_matches(pairs: list[dict], least: float = LEAST_SCORE) -> list[dict]:
+    """A consistent one-to-one selection of pairs with a settled score of ``least`` or more, the best first: no two
+    paths that are left would both score better with each other than with what they got."""
     scores = flood(pairs)
-    same_depth = lambda p: p["old"].count(".") == p["new"].count(".")
-    rank = lambda p: (-round(scores[p["old"], p["new"]], 6), p["old"], p["new"])
-    fit.sort(key=lambda p: (-(key_likeness(p["old"], p["new"]) >= 0.99), -same_depth(p), *rank(p)))
     old, new, kept = set(), set(), []
-    for p in fit:
-        if p["old"] not in old and p["new"] not in new:
-            old.add(p["old"])
-            new.add(p["new"])
-            kept.append({"old": p["old"], "new": p["new"], "score": float(scores[p["old"], p["new"]])})
+    for (a, b), score in sorted(scores.items(), key=lambda s: (-round(s[1], 6), s[0])):
+        if score >= least and a not in old and b not in new:
+            old.add(a)
+            new.add(b)
+            kept.append({"old": a, "new": b, "score": score})
     return kept
 
 
-LINKS = ArrayType(StructType([StructField("old", StringType()), StructField("new", StringType()), StructField("score", DoubleType()), StructField("sure", BooleanType())]))
-
+# --- correspondences, aliases and changes -------------------------------------------------------------
 
-def _links(found: list, least_agreement: float) -> list[tuple]:
-    """Links of one pair of versions: sure ones by tools that have both paths, others by their values alone."""
-    by_tool = sorted((f.asDict() for f in found if f["by_tool"]), key=lambda p: (p["old"], p["new"]))
-    kept = [(m["old"], m["new"], m["score"], True) for m in select_matches(by_tool, least_agreement)]
-    old, new = {k[0] for k in kept}, {k[1] for k in kept}
-    together = {(p["old"], p["new"]) for p in by_tool}
-    rest = [f for f in found if not f["by_tool"] and f["agree"] >= least_agreement and f["old"] not in old and f["new"] not in new and (f["old"], f["new"]) not in together]
-    return kept + [(f["old"], f["new"], float(f["agree"]), False) for f in rest]
+_LINK = "package string, pair string, old string, new string, score double, sure boolean"
 
 
-def correspondences(rows: DataFrame, order: DataFrame, least_agreement: float = 0.6) -> DataFrame:
-    """(package, pair, old, new, score): paths under which the previous version's values go on.
-
-    Where no tool has both paths, values alone say little: such a link counts only if tools of
-    another pair of versions, of any package, confirm the same two paths.
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per pair of versions, the selected of the candidates that tools support and of those that values alone do."""
+    for batch in batches:
+        out: list[tuple] = []
+        for package, pair, found in zip(*(c.to_pylist() for c in batch.columns)):
+            sure = select_matches([f for f in found if f["by_tool"]])
+            taken = {m["old"] for m in sure} | {m["new"] for m in sure}
+            together = {(f["old"], f["new"]) for f in found if f["by_tool"]}
+            others = select_matches([f for f in found if not f["by_tool"] and (f["old"], f["new"]) not in together and not taken & {f["old"], f["new"]}])
+            out += [(package, pair, m["old"], m["new"], m["score"], at) for at, ms in ((True, sure), (False, others)) for m in ms]
+        columns = list(zip(*out)) or [()] * 6
+        kinds = [pa.string()] * 4 + [pa.float64(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in _LINK.split(", ")])
+
+
+def pair_paths(paths: DataFrame, order: DataFrame) -> DataFrame:
+    """(package, pair, path, p, c): a path in the previous and the current version of a pair, as struct<n, type> or null."""
+    side = lambda s: F.max(F.when(F.col("side") == s, F.struct("n", "type")))
+    return paths.join(order, ["package", "version"]).groupBy("package", "pair", "path").agg(side("prev").alias("p"), side("cur").alias("c"))
+
+
+def correspondences(profiled: DataFrame, paired: DataFrame, order: DataFrame) -> DataFrame:
+    """(package, pair, old, new, score, sure): paths under which the previous version's values go on.
+
+    Where tools of both versions have the two paths, agreement is counted tool by tool. Where no
+    tool has both, values alone say little: such a link counts only if tools of another pair of
+    versions, of any package, confirm the same two paths. Counts are folded before every
+    shuffle; a tool's members, never a version's, meet in one row.
     """
     key = ["package", "pair"]
-    sided = rows.join(order, ["package", "version"])
-    paths = sided.groupBy(*key, "path").agg(F.min(F.when(F.col("side") == "prev", F.col("type"))).alias("was"), F.min(F.when(F.col("side") == "cur", F.col("type"))).alias("type"))
-    per_pair = Window.partitionBy(*key)
-    moved = paths.filter("was is null or type is null").withColumns({"__g": F.max(F.col("type").isNull()).over(per_pair), "__n": F.max(F.col("was").isNull()).over(per_pair)}).filter("__g and __n")
-    moved = stored(sided.drop("type", "version").join(moved.select(*key, "path", F.coalesce("was", "type").alias("type")), [*key, "path"]), "moved")
-    olds = moved.filter("side = 'prev'").select(*key, "tool", F.col("path").alias("old"), F.col("type").alias("old_type"), F.col("value").alias("was"))
-    news = moved.filter("side = 'cur'").select(*key, "tool", F.col("path").alias("new"), F.col("type").alias("new_type"), "value")
-    names = [*key, "old", "new", "old_type", "new_type"]
-    by_tool = olds.join(news, [*key, "tool"]).groupBy(*names).agg(F.avg((F.col("was") == F.col("value")).cast("double")).alias("agree")).withColumn("by_tool", F.lit(True))
-    values = olds.groupBy(*key, "old", "old_type", "was").agg(F.count("*").alias("__k"))
-    of_new = news.withColumn("__all", F.count("*").over(Window.partitionBy(*key, "new"))).groupBy(*key, "new", "new_type", "value").agg(F.count("*").alias("__n"), F.max("__all").alias("__all"))
-    by_value = values.join(of_new.withColumnRenamed("value", "was"), [*key, "was"]).groupBy(*names).agg((F.sum("__n") / F.max("__all")).alias("agree")).withColumn("by_tool", F.lit(False))
-    grouped = by_tool.unionByName(by_value).groupBy(*key).agg(F.collect_list(F.struct("old", "new", "old_type", "new_type", "agree", "by_tool")).alias("__found"))
-    links = stored(grouped.select(*key, F.explode(F.udf(lambda f: _links(f, least_agreement), LINKS)("__found")).alias("m")).select(*key, "m.*"), "links")
+    gone, come = F.col("c").isNull(), F.col("p").isNull()
+    moved = paired.filter(gone | come).groupBy(*key).agg(*[F.collect_list(F.when(w, F.struct("path", F.coalesce("p.type", "c.type").alias("type")))).alias(n) for w, n in ((gone, "olds"), (come, "news"))])
+    moved = moved.filter("size(olds) > 0 and size(news) > 0")
+    tools = profiled.filter("tag = 'tool'").select("package", "version", "tool", "members").join(order, ["package", "version"]).join(moved, key)
+    kept = F.expr("filter(members, m -> m.value is not null and exists(if(side = 'prev', olds, news), x -> x.path = m.path))")
+    sides = tools.select(*key, "tool", "side", F.transform(kept, lambda m: F.struct(m["path"].alias("path"), m["value"].alias("value"))).alias("m"))
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("m")))
+    both = stored(sides.groupBy(*key, "tool").agg(side("prev").alias("was"), side("cur").alias("now")).filter("coalesce(size(was), 0) + coalesce(size(now), 0) > 0"), "moved")
+
+    common = both.filter("was is not null and now is not null")
+    hits = common.select(*key, F.explode(F.expr("flatten(transform(was, a -> transform(filter(now, b -> b.value = a.value), b -> struct(a.path AS old, b.path AS new))))")).alias("h")).groupBy(*key, "h").agg(F.count("*").alias("hits"))
+    held = common.select(*key, F.explode(F.expr("concat(transform(was, a -> struct('prev' AS side, a.path AS path)), transform(now, b -> struct('cur' AS side, b.path AS path)))")).alias("x")).groupBy(*key, "x.side", "x.path").agg(F.count("*").alias("n"))
+    # values whatever the tool
+    told = both.select(*key, F.explode(F.expr("concat(transform(coalesce(was, array()), a -> struct('prev' AS side, a.path AS path, a.value AS value)), transform(coalesce(now, array()), b -> struct('cur' AS side, b.path AS path, b.value AS value)))")).alias("x")).groupBy(*key, "x.side", "x.path", "x.value").agg(F.count("*").alias("n"))
+    total = told.groupBy(*key, "side", "path").agg(F.sum("n").alias("n"))
+    of = lambda df, s, out: df.filter(F.col("side") == s).drop("side").withColumnsRenamed({"path": out, "n": f"n_{out}"})
+    by_tool = hits.select(*key, "h.*", "hits").join(of(held, "prev", "old"), [*key, "old"]).join(of(held, "cur", "new"), [*key, "new"])
+    by_tool = by_tool.select(*key, "old", "new", (2 * F.col("hits") / (F.col("n_old") + F.col("n_new"))).alias("agree"), F.lit(True).alias("by_tool"))
+    by_value = of(told, "prev", "old").join(of(told, "cur", "new"), [*key, "value"]).groupBy(*key, "old", "new").agg(F.sum("n_new").alias("hits")).join(of(total, "cur", "new"), [*key, "new"])
+    by_value = by_value.select(*key, "old", "new", (F.col("hits") / F.col("n_new")).alias("agree"), F.lit(False).alias("by_tool"))
+
+    found = by_tool.unionByName(by_value).groupBy(*key).agg(F.collect_list(F.struct("old", "new", "agree", "by_tool")).alias("f")).join(moved, key)
+    typed = F.expr("transform(f, x -> named_struct('old', x.old, 'new', x.new, 'old_type', filter(olds, o -> o.path = x.old)[0].type, 'new_type', filter(news, o -> o.path = x.new)[0].type, 'agree', x.agree, 'by_tool', x.by_tool))")
+    links = stored(found.select(*key, typed.alias("found")).mapInArrow(_linked, _LINK), "links")
     sure = links.filter("sure")
     unsure = links.filter("not sure").join(sure.select("old", "new").distinct(), ["old", "new"], "left_semi")
-    return sure.unionByName(unsure.select(sure.columns)).drop("sure")
+    return sure.unionByName(unsure.select(sure.columns))
 
 
-def aliases(rows: DataFrame, links: DataFrame, fields: tuple[str, ...] = FIELDS, most_together: float = 0.3) -> DataFrame:
+def aliases(paths: DataFrame, links: DataFrame, fields: tuple[str, ...] = FIELDS, most_together: float = MOST_TOGETHER) -> DataFrame:
     """(package, path, field): other keys that carry a field in a package, by links chained from its own spelling.
 
-    A path that mostly stands beside the field's own spelling, in whatever package, is another member and no alias.
+    A path that stands beside the field's own spelling in more than ``most_together`` of the package's versions
+    that have it is another member. So is one that does so in that share of all packages that have it,
+    unless tools confirmed the link in this package.
     """
-    seen = rows.groupBy("package", "version").agg(F.collect_set("path").alias("paths"))
-    beside = seen.select(F.explode("paths").alias("new"), *[F.array_contains("paths", f).alias(f"__{i}") for i, f in enumerate(fields)])
-    counts = beside.groupBy("new").agg(*[(F.count_if(f"__{i}") > most_together * F.count("*")).alias(f"__{i}") for i in range(len(fields))])
-    barred = counts.select("new", F.array_compact(F.array(*[F.when(F.col(f"__{i}"), F.lit(f)) for i, f in enumerate(fields)])).alias("not_of"))
-    edges = links.select("package", "old", "new").distinct().join(barred, "new").groupBy("package").agg(F.collect_list(F.struct("old", "new", "not_of")).alias("__edges"))
-
-    def closure(found: list) -> list[tuple[str, str]]:
-        out = []
-        for field in fields:
-            at, todo = {field}, [field]
-            while todo:
-                here = todo.pop()
-                for e in found:
-                    if e["old"] == here and e["new"] not in at and e["new"] not in fields and field not in e["not_of"]:
-                        at.add(e["new"])
-                        todo.append(e["new"])
-            out += [(p, field) for p in sorted(at - {field})]
-        return out
-
-    kind = ArrayType(StructType([StructField("path", StringType()), StructField("field", StringType())]))
-    return edges.select("package", F.explode(F.udf(closure, kind)("__edges")).alias("a")).select("package", "a.*")
-
-
-def held_fields(rows: DataFrame, others: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """``rows`` of paths that carry a field, with ``field``."""
-    named = rows.join(others, ["package", "path"], "left")
-    return named.withColumn("field", F.coalesce("field", F.when(F.col("path").isin(*fields), F.col("path")))).filter("field is not null")
-
-
-def unified_tools(rows: DataFrame, others: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """One consistent table: (package, version, tool, <a column per field>), values cast to text in one spelling."""
-    named = rows.join(others, ["package", "path"], "left").withColumn("field", F.coalesce("field", "path"))
-    return named.groupBy("package", "version", "tool").agg(*[F.min(F.when(F.col("field") == f, F.col("value"))).alias(f.replace(".", "_")) for f in fields])
-
-
-def field_changes(rows: DataFrame, order: DataFrame, others: DataFrame) -> DataFrame:
+    edges = links.groupBy("package", "old", "new").agg(F.bool_or("sure").alias("sure"))
+    named = paths.join(edges.select(F.col("new").alias("path")).distinct(), "path", "left_semi").select("package", "version", F.col("path").alias("new"))
+    own = paths.filter(F.col("path").isin(*fields)).groupBy("package", "version").agg(F.collect_set("path").alias("own"))
+    beside = named.join(own, ["package", "version"], "left")
+    share = [F.avg(F.coalesce(F.array_contains("own", f), F.lit(False)).cast("double")).alias(f"s{i}") for i, f in enumerate(fields)]
+    within = beside.groupBy("package", "new").agg(*share)
+    across = within.groupBy("new").agg(*[F.avg((F.col(f"s{i}") > most_together).cast("double")).alias(f"a{i}") for i in range(len(fields))])
+    barred = [F.when((F.col(f"s{i}") > most_together) | (~F.col("sure") & (F.col(f"a{i}") > most_together)), F.lit(f)) for i, f in enumerate(fields)]
+    usable_ = stored(edges.join(within, ["package", "new"]).join(across, "new").select("package", "old", "new", F.array_compact(F.array(*barred)).alias("not_of")), "edges")
+    # chains: a step of every field's known keys along the links, until nothing new is reached
+    at = usable_.sparkSession.createDataFrame([(f,) for f in fields], "field string")
+    reached = step = stored(at.join(usable_, F.col("field") == F.col("old")).filter(~F.array_contains("not_of", F.col("field")) & ~F.col("new").isin(*fields)).select("package", F.col("new").alias("path"), "field").distinct(), "reached")
+    while not step.isEmpty():
+        onward = step.join(usable_, (step["path"] == usable_["old"]) & (step["package"] == usable_["package"])).filter(~F.array_contains("not_of", F.col("field")) & ~F.col("new").isin(*fields))
+        step = stored(onward.select(step["package"], F.col("new").alias("path"), "field").distinct().join(reached, ["package", "path", "field"], "left_anti"), "reached")
+        reached = reached.unionByName(step)
+    return reached
+
+
+def field_changes(paired: DataFrame, others: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(package, version, field, kind) against the previous version; a field can be renamed and retyped at once.
 
     Should a version hold a field under several keys or types, its own spelling counts, then the most tools.
     """
-    held = (
-        held_fields(rows, others)
-        .groupBy("package", "version", "field", "path", "type")
-        .agg(F.count("*").alias("n"))
-        .groupBy("package", "version", "field")
-        .agg(F.max(F.struct((F.col("path") == F.col("field")).alias("own"), "n", "path", "type")).alias("m"))
-    )
-    side = lambda s: F.max(F.when(F.col("side") == s, F.col("m")))
-    both = held.join(order, ["package", "version"]).groupBy("package", "pair", "field").agg(side("prev").alias("p"), side("cur").alias("c"))
+    keys = others.select("package", "path", "field")
+    named = paired.filter(F.col("path").isin(*fields)).withColumn("field", F.col("path")).unionByName(paired.join(keys, ["package", "path"]).select(*paired.columns, "field"))
+    best = lambda s: F.max(F.when(F.col(s).isNotNull(), F.struct((F.col("path") == F.col("field")).alias("own"), F.col(f"{s}.n").alias("n"), "path", F.col(f"{s}.type").alias("type")))).alias(s)
+    both = named.groupBy("package", "pair", "field").agg(best("p"), best("c"))
     kinds = F.array_compact(
         F.array(
             F.when(F.col("p").isNull(), "added"),
@@ -313,20 +363,30 @@ def field_changes(rows: DataFrame, order: DataFrame, others: DataFrame) -> DataF
     return both.select("package", F.col("pair").alias("version"), "field", F.explode(kinds).alias("kind"))
 
 
-def schema_changes(captures: DataFrame) -> DataFrame:
-    """(package, version, field, kind) for captures; see TESTDATA problem 5. An empty table gives no row."""
-    rows, order, others = resolved(captures)
-    return field_changes(rows, order, others)
+def unified_tools(profiled: DataFrame, others: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """One consistent table: (package, version, tool, <a column per field>), values cast to text in one spelling."""
+    each = profiled.filter("tag = 'tool'").select("package", "version", "tool", F.explode("members").alias("m")).select("package", "version", "tool", "m.path", "m.value")
+    own = each.withColumn("field", F.when(F.col("path").isin(*fields), F.col("path")))
+    named = own.join(others.withColumnRenamed("field", "__other"), ["package", "path"], "left").withColumn("field", F.coalesce("field", "__other"))
+    return named.groupBy("package", "version", "tool").agg(*[F.min(F.when(F.col("field") == f, F.col("value"))).alias(f.replace(".", "_")) for f in fields])
 
 
 def resolved(captures: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Profile, neighbouring versions and aliases, each written once, as later steps read them again."""
-    rows = stored(profile(captures), "profile")
-    order = stored(neighbouring_versions(usable_versions(captures)), "versions")
-    return rows, order, stored(aliases(rows, correspondences(rows, order)), "aliases")
+    """Profile, paths of neighbouring versions and aliases, each written once, as later steps read them again."""
+    profiled = profile(captures)
+    paths = stored(version_paths(profiled), "paths")
+    order = stored(neighbouring_versions(paths.filter("path = ''")), "versions")
+    paired = stored(pair_paths(paths, order), "paired")
+    return profiled, paired, stored(aliases(paths, correspondences(profiled, paired, order)), "aliases")
+
+
+def schema_changes(captures: DataFrame) -> DataFrame:
+    """(package, version, field, kind) for captures; see TESTDATA problem 5. An empty table gives no row."""
+    _, paired, others = resolved(captures)
+    return field_changes(paired, others)
 
 
 def consistent_tools(captures: DataFrame) -> DataFrame:
     """One row per (package, version, tool) with each field under one name and in one spelling."""
-    rows, _, others = resolved(captures)
-    return unified_tools(rows, others)
+    profiled, _, others = resolved(captures)
+    return unified_tools(profiled, others)

@@ -76,7 +76,7 @@ def test_version_order_of_long_histories(spark, rows_per_chunk):
 
 def test_flooding_prefers_the_fitting_place():
     pairs = [{"old": "execution.taskSupport", "new": n, "old_type": "string", "new_type": t, "agree": 1.0} for n, t in (("runtime", "object"), ("runtime.taskSupport", "string"))]
-    assert [(m["old"], m["new"]) for m in drift.select_matches(pairs, 0.6)] == [("execution.taskSupport", "runtime.taskSupport")]
+    assert [(m["old"], m["new"]) for m in drift.select_matches(pairs)] == [("execution.taskSupport", "runtime.taskSupport")]
     pairs = [{"old": "title", "new": n, "old_type": "string", "new_type": t, "agree": a} for n, t, a in (("heading", "object", 1.0), ("heading.default", "string", 1.0), ("category", "string", 0.0))]
-    assert [(m["old"], m["new"]) for m in drift.select_matches(pairs, 0.6)] == [("title", "heading")]
-    assert drift.select_matches([], 0.6) == []
+    assert [(m["old"], m["new"]) for m in drift.select_matches(pairs)] == [("title", "heading")]
+    assert drift.select_matches([]) == []
