@@ -122,15 +122,18 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 listing = tools_of(text)
             except (ValueError, RecursionError):
                 continue
-            counts: dict[tuple[str, str], int] = {("", "object"): 1}
+            counts: dict[str, dict[str, int]] = {"": {"object": 1}}
             for no, tool in enumerate(listing):
                 if isinstance(tool, dict):
                     found = members(tool)
                     tools.append((tool["name"] if isinstance(tool.get("name"), str) else f"#{no}", found))
                     at_tool.append((package, version))
                     for path, (kind, _) in found.items():
-                        counts[path, kind] = counts.get((path, kind), 0) + 1
-            paths += [(path, kind, n) for (path, kind), n in counts.items()]
+                        of = counts.setdefault(path, {})
+                        of[kind] = of.get(kind, 0) + 1
+            for path, of in counts.items():
+                kind = max(of, key=lambda k: (of[k], k)) if len(of) > 1 else next(iter(of))
+                paths.append((path, kind, of[kind]))
             at_path += [(package, version)] * len(counts)
             if len(tools) > 2_000:
                 yield rows("tool", at_tool, [], tools)
@@ -153,8 +156,8 @@ def profile(captures: DataFrame) -> DataFrame:
 
 def version_paths(profiled: DataFrame) -> DataFrame:
     """(package, version, path, type, n): of a path's types in a version that of the most tools; the path "" is in every usable version."""
-    per = profiled.filter("tag = 'path'").groupBy("package", "version", "path", "type").agg(F.max("n").alias("n"))
-    return per.groupBy("package", "version", "path").agg(F.max(F.struct("n", "type")).alias("m")).select("package", "version", "path", "m.type", "m.n")
+    per = profiled.filter("tag = 'path'").groupBy("package", "version", "path").agg(F.max(F.struct("n", "type")).alias("m"))
+    return per.select("package", "version", "path", "m.type", "m.n")
 
 
 def version_order(version: Column) -> Column:
@@ -334,11 +337,13 @@ def aliases(paths: DataFrame, links: DataFrame, fields: tuple[str, ...] = FIELDS
     barred = [F.when((F.col(f"s{i}") > most_together) | (~F.col("sure") & (F.col(f"a{i}") > most_together)), F.lit(f)) for i, f in enumerate(fields)]
     usable_ = stored(edges.join(within, ["package", "new"]).join(across, "new").select("package", "old", "new", F.array_compact(F.array(*barred)).alias("not_of")), "edges")
     # chains: a step of every field's known keys along the links, until nothing new is reached
+    may = ~F.array_contains("not_of", F.col("field")) & ~F.col("new").isin(*fields)
     at = usable_.sparkSession.createDataFrame([(f,) for f in fields], "field string")
-    reached = step = stored(at.join(usable_, F.col("field") == F.col("old")).filter(~F.array_contains("not_of", F.col("field")) & ~F.col("new").isin(*fields)).select("package", F.col("new").alias("path"), "field").distinct(), "reached")
+    step = stored(at.join(usable_, F.col("field") == F.col("old")).filter(may).select("package", F.col("new").alias("path"), "field").distinct(), "reached")
+    reached = step
     while not step.isEmpty():
-        onward = step.join(usable_, (step["path"] == usable_["old"]) & (step["package"] == usable_["package"])).filter(~F.array_contains("not_of", F.col("field")) & ~F.col("new").isin(*fields))
-        step = stored(onward.select(step["package"], F.col("new").alias("path"), "field").distinct().join(reached, ["package", "path", "field"], "left_anti"), "reached")
+        onward = step.join(usable_.withColumnRenamed("old", "path"), ["package", "path"]).filter(may).select("package", F.col("new").alias("path"), "field").distinct()
+        step = stored(onward.join(reached, ["package", "path", "field"], "left_anti"), "reached")
         reached = reached.unionByName(step)
     return reached
 
@@ -377,7 +382,7 @@ def resolved(captures: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     paths = stored(version_paths(profiled), "paths")
     order = stored(neighbouring_versions(paths.filter("path = ''")), "versions")
     paired = stored(pair_paths(paths, order), "paired")
-    return profiled, paired, stored(aliases(paths, correspondences(profiled, paired, order)), "aliases")
+    return profiled, paired, aliases(paths, correspondences(profiled, paired, order))
 
 
 def schema_changes(captures: DataFrame) -> DataFrame:
