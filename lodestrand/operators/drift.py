@@ -261,15 +261,27 @@ def select_matches(pairs: list[dict], least: float = LEAST_SCORE) -> list[dict]:
 _LINK = "package string, pair string, old string, new string, score double, sure boolean"
 
 
+def _candidates(facts: list[dict], olds: list[dict], news: list[dict]) -> tuple[list[dict], list[dict]]:
+    """Candidates of one pair of versions with their agreement: those that tools support, and others by values alone."""
+    old_type, new_type = ({x["path"]: x["type"] for x in side} for side in (olds, news))
+    n = {(f["kind"], f["old"], f["new"]): f["n"] for f in facts}
+
+    def pair(old: str, new: str, agree: float) -> dict:
+        return {"old": old, "new": new, "old_type": old_type[old], "new_type": new_type[new], "agree": agree}
+
+    by_tool = [pair(old, new, 2 * k / (n["held", old, None] + n["held", None, new])) for (kind, old, new), k in n.items() if kind == "hit"]
+    by_value = [pair(old, new, k / n["seen", None, new]) for (kind, old, new), k in n.items() if kind == "value" and ("both", old, new) not in n]
+    return by_tool, by_value
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per pair of versions, the selected of the candidates that tools support and of those that values alone do."""
     for batch in batches:
         out: list[tuple] = []
-        for package, pair, found in zip(*(c.to_pylist() for c in batch.columns)):
-            sure = select_matches([f for f in found if f["by_tool"]])
-            taken = {m["old"] for m in sure} | {m["new"] for m in sure}
-            together = {(f["old"], f["new"]) for f in found if f["by_tool"]}
-            others = select_matches([f for f in found if not f["by_tool"] and (f["old"], f["new"]) not in together and not taken & {f["old"], f["new"]}])
+        for package, pair, facts, olds, news in zip(*(c.to_pylist() for c in batch.columns)):
+            by_tool, by_value = _candidates(facts, olds, news)
+            sure = select_matches(by_tool)
+            taken = {m["old"] for m in sure}, {m["new"] for m in sure}
+            others = select_matches([f for f in by_value if f["old"] not in taken[0] and f["new"] not in taken[1]])
             out += [(package, pair, m["old"], m["new"], m["score"], at) for at, ms in ((True, sure), (False, others)) for m in ms]
         columns = list(zip(*out)) or [()] * 6
         kinds = [pa.string()] * 4 + [pa.float64(), pa.bool_()]
@@ -300,21 +312,22 @@ def correspondences(profiled: DataFrame, paired: DataFrame, order: DataFrame) ->
     side = lambda s: F.max(F.when(F.col("side") == s, F.col("m")))
     both = stored(sides.groupBy(*key, "tool").agg(side("prev").alias("was"), side("cur").alias("now")).filter("coalesce(size(was), 0) + coalesce(size(now), 0) > 0"), "moved")
 
-    common = both.filter("was is not null and now is not null")
-    hits = common.select(*key, F.explode(F.expr("flatten(transform(was, a -> transform(filter(now, b -> b.value = a.value), b -> struct(a.path AS old, b.path AS new))))")).alias("h")).groupBy(*key, "h").agg(F.count("*").alias("hits"))
-    held = common.select(*key, F.explode(F.expr("concat(transform(was, a -> struct('prev' AS side, a.path AS path)), transform(now, b -> struct('cur' AS side, b.path AS path)))")).alias("x")).groupBy(*key, "x.side", "x.path").agg(F.count("*").alias("n"))
-    # values whatever the tool
-    told = both.select(*key, F.explode(F.expr("concat(transform(coalesce(was, array()), a -> struct('prev' AS side, a.path AS path, a.value AS value)), transform(coalesce(now, array()), b -> struct('cur' AS side, b.path AS path, b.value AS value)))")).alias("x")).groupBy(*key, "x.side", "x.path", "x.value").agg(F.count("*").alias("n"))
-    total = told.groupBy(*key, "side", "path").agg(F.sum("n").alias("n"))
-    of = lambda df, s, out: df.filter(F.col("side") == s).drop("side").withColumnsRenamed({"path": out, "n": f"n_{out}"})
-    by_tool = hits.select(*key, "h.*", "hits").join(of(held, "prev", "old"), [*key, "old"]).join(of(held, "cur", "new"), [*key, "new"])
-    by_tool = by_tool.select(*key, "old", "new", (2 * F.col("hits") / (F.col("n_old") + F.col("n_new"))).alias("agree"), F.lit(True).alias("by_tool"))
-    by_value = of(told, "prev", "old").join(of(told, "cur", "new"), [*key, "value"]).groupBy(*key, "old", "new").agg(F.sum("n_new").alias("hits")).join(of(total, "cur", "new"), [*key, "new"])
-    by_value = by_value.select(*key, "old", "new", (F.col("hits") / F.col("n_new")).alias("agree"), F.lit(False).alias("by_tool"))
-
-    found = by_tool.unionByName(by_value).groupBy(*key).agg(F.collect_list(F.struct("old", "new", "agree", "by_tool")).alias("f")).join(moved, key)
-    typed = F.expr("transform(f, x -> named_struct('old', x.old, 'new', x.new, 'old_type', filter(olds, o -> o.path = x.old)[0].type, 'new_type', filter(news, o -> o.path = x.new)[0].type, 'agree', x.agree, 'by_tool', x.by_tool))")
-    links = stored(found.select(*key, typed.alias("found")).mapInArrow(_linked, _LINK), "links")
+    # facts on old and new paths: tools that have both or either, with the same value in both; values whatever the tool
+    fact = lambda kind, old, new, value="null": f"named_struct('kind', '{kind}', 'old', {old}, 'new', {new}, 'value', {value})"
+    here, text = "was is not null and now is not null", "cast(null AS string)"
+    facts = F.expr(f"""concat(
+        if({here}, flatten(transform(was, a -> transform(now, b -> {fact("both", "a.path", "b.path", text)}))), array()),
+        if({here}, flatten(transform(was, a -> transform(filter(now, b -> b.value = a.value), b -> {fact("hit", "a.path", "b.path", text)}))), array()),
+        if({here}, transform(was, a -> {fact("held", "a.path", text, text)}), array()), if({here}, transform(now, b -> {fact("held", text, "b.path", text)}), array()),
+        transform(coalesce(was, array()), a -> {fact("told", "a.path", text, "a.value")}), transform(coalesce(now, array()), b -> {fact("told", text, "b.path", "b.value")}),
+        transform(coalesce(now, array()), b -> {fact("seen", text, "b.path", text)}))""")
+    counted = stored(both.select(*key, F.explode(facts).alias("x")).groupBy(*key, "x").agg(F.count("*").alias("n")).select(*key, "x.*", "n"), "facts")
+    told = counted.filter("kind = 'told'")
+    values = told.filter("new is null").select(*key, "value", "old").join(told.filter("old is null").select(*key, "value", "new", "n"), [*key, "value"])
+    values = values.groupBy(*key, "old", "new").agg(F.sum("n").alias("n")).withColumn("kind", F.lit("value"))
+    named = counted.filter("kind != 'told'").select(*key, "kind", "old", "new", "n").unionByName(values)
+    per = named.groupBy(*key).agg(F.collect_list(F.struct("kind", "old", "new", "n")).alias("facts")).join(moved, key)
+    links = stored(per.select(*key, "facts", "olds", "news").mapInArrow(_linked, _LINK), "links")
     sure = links.filter("sure")
     unsure = links.filter("not sure").join(sure.select("old", "new").distinct(), ["old", "new"], "left_semi")
     return sure.unionByName(unsure.select(sure.columns))
@@ -328,11 +341,10 @@ def aliases(paths: DataFrame, links: DataFrame, fields: tuple[str, ...] = FIELDS
     unless tools confirmed the link in this package.
     """
     edges = links.groupBy("package", "old", "new").agg(F.bool_or("sure").alias("sure"))
-    named = paths.join(edges.select(F.col("new").alias("path")).distinct(), "path", "left_semi").select("package", "version", F.col("path").alias("new"))
-    own = paths.filter(F.col("path").isin(*fields)).groupBy("package", "version").agg(F.collect_set("path").alias("own"))
-    beside = named.join(own, ["package", "version"], "left")
-    share = [F.avg(F.coalesce(F.array_contains("own", f), F.lit(False)).cast("double")).alias(f"s{i}") for i, f in enumerate(fields)]
-    within = beside.groupBy("package", "new").agg(*share)
+    wanted = edges.select(F.col("new").alias("path")).distinct()
+    kept = paths.join(wanted, "path", "left_semi").unionByName(paths.filter(F.col("path").isin(*fields))).groupBy("package", "version").agg(F.collect_set("path").alias("have"))
+    beside = kept.select("package", "have", F.explode("have").alias("new")).filter(~F.col("new").isin(*fields))
+    within = beside.groupBy("package", "new").agg(*[F.avg(F.array_contains("have", f).cast("double")).alias(f"s{i}") for i, f in enumerate(fields)])
     across = within.groupBy("new").agg(*[F.avg((F.col(f"s{i}") > most_together).cast("double")).alias(f"a{i}") for i in range(len(fields))])
     barred = [F.when((F.col(f"s{i}") > most_together) | (~F.col("sure") & (F.col(f"a{i}") > most_together)), F.lit(f)) for i, f in enumerate(fields)]
     usable_ = stored(edges.join(within, ["package", "new"]).join(across, "new").select("package", "old", "new", F.array_compact(F.array(*barred)).alias("not_of")), "edges")
