@@ -347,17 +347,30 @@ def aliases(paths: DataFrame, links: DataFrame, fields: tuple[str, ...] = FIELDS
     within = beside.groupBy("package", "new").agg(*[F.avg(F.array_contains("have", f).cast("double")).alias(f"s{i}") for i, f in enumerate(fields)])
     across = within.groupBy("new").agg(*[F.avg((F.col(f"s{i}") > most_together).cast("double")).alias(f"a{i}") for i in range(len(fields))])
     barred = [F.when((F.col(f"s{i}") > most_together) | (~F.col("sure") & (F.col(f"a{i}") > most_together)), F.lit(f)) for i, f in enumerate(fields)]
-    usable_ = stored(edges.join(within, ["package", "new"]).join(across, "new").select("package", "old", "new", F.array_compact(F.array(*barred)).alias("not_of")), "edges")
-    # chains: a step of every field's known keys along the links, until nothing new is reached
-    may = ~F.array_contains("not_of", F.col("field")) & ~F.col("new").isin(*fields)
-    at = usable_.sparkSession.createDataFrame([(f,) for f in fields], "field string")
-    step = stored(at.join(usable_, F.col("field") == F.col("old")).filter(may).select("package", F.col("new").alias("path"), "field").distinct(), "reached")
-    reached = step
-    while not step.isEmpty():
-        onward = step.join(usable_.withColumnRenamed("old", "path"), ["package", "path"]).filter(may).select("package", F.col("new").alias("path"), "field").distinct()
-        step = stored(onward.join(reached, ["package", "path", "field"], "left_anti"), "reached")
-        reached = reached.unionByName(step)
-    return reached
+    steps = edges.join(within, ["package", "new"]).join(across, "new").select("package", "old", "new", F.array_compact(F.array(*barred)).alias("not_of"))
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every field's known keys followed along the links, until nothing new is reached."""
+        for batch in batches:
+            out = []
+            for package, found in zip(*(c.to_pylist() for c in batch.columns)):
+                onward: dict[str, list[dict]] = {}
+                for e in found:
+                    onward.setdefault(e["old"], []).append(e)
+                for field in fields:
+                    at, todo = {field}, [field]
+                    while todo:
+                        for e in onward.get(todo.pop(), []):
+                            if e["new"] not in at and e["new"] not in fields and field not in e["not_of"]:
+                                at.add(e["new"])
+                                todo.append(e["new"])
+                    out += [(package, path, field) for path in sorted(at - {field})]
+            columns = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["package", "path", "field"])
+
+    # a package's distinct links: pairs of schema members, however many rows or versions there are
+    per = steps.groupBy("package").agg(F.collect_list(F.struct("old", "new", "not_of")).alias("found"))
+    return per.mapInArrow(chained, "package string, path string, field string")
 
 
 def field_changes(paired: DataFrame, others: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -394,7 +407,7 @@ def resolved(captures: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     paths = stored(version_paths(profiled), "paths")
     order = stored(neighbouring_versions(paths.filter("path = ''")), "versions")
     paired = stored(pair_paths(paths, order), "paired")
-    return profiled, paired, aliases(paths, correspondences(profiled, paired, order))
+    return profiled, paired, stored(aliases(paths, correspondences(profiled, paired, order)), "aliases")
 
 
 def schema_changes(captures: DataFrame) -> DataFrame:
