@@ -9,16 +9,20 @@ and Rahm, ICDE 2002). Of the settled scores those over a threshold are selected
 first. Chained from the first spelling of a field, the correspondences tell which key carries it
 in each version; values are then cast and united into one table, and every change is listed.
 
-All data is joined and counted by Spark; the flooding itself sees one version pair's vanished and new
-paths, whose number is that of schema members, never that of rows or tools.
+A first pass over the captures takes each version's paths and types; a second one reads the values
+of vanished and new paths, of versions that have both. All is joined and counted by Spark; the flooding
+itself sees one version pair's vanished and new paths, whose number is that of schema members, never that
+of rows or tools.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +40,14 @@ LIKENESS = 0.2
 #: Share of versions (of packages) in which a path stands beside a field's own spelling and so is another member.
 MOST_TOGETHER = 0.3
 
-PROFILE = "tag string, package string, version string, path string, type string, n long, tool string, members array<struct<path string, type string, value string>>"
-_TYPES = {bool: "boolean", int: "number", float: "number", str: "string", list: "array", dict: "object"}
+TYPES = ("null", "boolean", "number", "string", "array", "object")
+_TYPES = {bool: 1, int: 2, float: 2, str: 3, list: 4, dict: 5}
+#: A path of a version: hash of the path, place in TYPES, number of tools.
+MEMBER = "struct<h: bigint, t: int, n: bigint>"
+
+
+def path_hash(path: str) -> int:
+    return xxhash.xxh64(path.encode("utf-8", "surrogatepass"), seed=42).intdigest() - (1 << 63)
 
 
 def core_text(value: object) -> str | None:
@@ -62,102 +72,111 @@ def core_text(value: object) -> str | None:
     return json.dumps(value, sort_keys=True, ensure_ascii=False)
 
 
-def members(tool: dict) -> dict[str, tuple[str, str | None]]:
-    """(type, value) of each path of the tool that isn't null, at any depth. Where a path with ``*`` or ``[]`` has several values, type or value that differ are "mixed" and null."""
-    out: dict[str, tuple[str, str | None]] = {}
-    stack: list[tuple[str, object]] = [("", tool)]
+class Place:
+    """A path in the tree of all paths met; so a path is spelled and hashed once, not once a tool."""
+
+    __slots__ = ("path", "hash", "named", "below")
+
+    def __init__(self, path: str = "", named: bool = False) -> None:
+        self.path, self.hash, self.named = path, path_hash(path), named
+        self.below: dict[str, Place] = {}
+
+    def at(self, key: str) -> Place:
+        """The place of a member; of a ``properties`` any one is ``*``."""
+        key = "*" if self.named else key
+        place = self.below.get(key)
+        if place is None:
+            place = self.below[key] = Place(f"{self.path}.{key}" if self.path else key, key == "properties" and not self.named)
+        return place
+
+    def items(self) -> Place:
+        place = self.below.get("[]")
+        if place is None:
+            place = self.below["[]"] = Place(f"{self.path}[]")
+        return place
+
+
+def walk(tool: dict, root: Place) -> Iterator[tuple[Place, object]]:
+    """(place, value) of the tool's members that aren't null, at any depth."""
+    stack: list[tuple[Place, object]] = [(root, tool)]
     while stack:
-        at, node = stack.pop()
+        place, node = stack.pop()
         if type(node) is list:
-            stack.extend((f"{at}[]", x) for x in node if type(x) is dict or type(x) is list)
+            inner = place.items()
+            stack.extend((inner, x) for x in node if type(x) is dict or type(x) is list)
             continue
-        named = at.endswith("properties")
         for key, value in node.items():
-            if value is None:
-                continue
-            path = f"{at}.*" if named else f"{at}.{key}" if at else key
-            kind = type(value)
-            found = (_TYPES.get(kind, "null"), core_text(value))
-            had = out.get(path)
-            if had is None:
-                out[path] = found
-            elif had != found:
-                out[path] = (had[0] if had[0] == found[0] else "mixed", had[1] if had[1] == found[1] else None)
-            if (kind is dict or kind is list) and value:
-                stack.append((path, value))
+            if value is not None:
+                child = place.at(key)
+                yield child, value
+                if type(value) is dict or type(value) is list:
+                    stack.append((child, value))
+
+
+def members(tool: dict, wanted: set[int] | None = None, root: Place | None = None) -> dict[str, str | None]:
+    """Values of the tool's paths (with a hash in ``wanted``); null where a path with ``*`` or ``[]`` has several."""
+    out: dict[str, str | None] = {}
+    for place, value in walk(tool, root or Place()):
+        if wanted is None or place.hash in wanted:
+            text = core_text(value)
+            out[place.path] = text if out.get(place.path, text) == text else None
     return out
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each capture: a row per path, the root's (empty) among them, and a row per tool with its members."""
-    fields = [pa.field(c, pa.string()) for c in ("path", "type", "value")]
-    names = [c.split()[0] for c in PROFILE.split(", ")[:7]] + ["members"]
-
-    def rows(tag: str, heads: list[tuple], paths: list[tuple], tools: list[tuple]) -> pa.RecordBatch:
-        size = len(heads)
-        package, version = (pa.array(c, pa.string()) for c in zip(*heads))
-        tags = pa.array([tag] * size, pa.string())
-        if tag == "path":
-            path, kind, n = zip(*paths)
-            rest = [pa.array(path, pa.string()), pa.array(kind, pa.string()), pa.array(n, pa.int64()), pa.nulls(size, pa.string()), pa.nulls(size, pa.list_(pa.struct(fields)))]
-        else:
-            flat: list[list] = [[], [], []]
-            offsets = [0]
-            for _, found in tools:
-                flat[0] += found.keys()
-                flat[1] += [f[0] for f in found.values()]
-                flat[2] += [f[1] for f in found.values()]
-                offsets.append(len(flat[0]))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in flat], fields=fields))
-            rest = [pa.nulls(size, pa.string()), pa.nulls(size, pa.string()), pa.nulls(size, pa.int64()), pa.array([t for t, _ in tools], pa.string()), lists]
-        return pa.RecordBatch.from_arrays([tags, package, version, *rest], names)
+def _tool_names(text: str) -> list[tuple[str, dict]]:
+    """(name, tool) of a listing; null for one that can't be read."""
+    return [(t["name"] if isinstance(t.get("name"), str) else f"#{no}", t) for no, t in enumerate(tools_of(text)) if isinstance(t, dict)]
 
+
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(package, version, paths) of each capture; a path of several types has that of the most tools."""
+    root = Place()
+    names = ("h", "t", "n")
     for batch in batches:
-        at_path: list[tuple] = []
-        paths: list[tuple] = []
-        at_tool: list[tuple] = []
-        tools: list[tuple] = []
+        heads: list[tuple] = []
+        flat: tuple[list, list, list] = ([], [], [])
+        offsets = [0]
         for package, version, text in zip(*(c.to_pylist() for c in batch.columns)):
             try:
-                listing = tools_of(text)
+                tools = _tool_names(text)
             except (ValueError, RecursionError):
                 continue
-            counts: dict[str, dict[str, int]] = {"": {"object": 1}}
-            for no, tool in enumerate(listing):
-                if isinstance(tool, dict):
-                    found = members(tool)
-                    tools.append((tool["name"] if isinstance(tool.get("name"), str) else f"#{no}", found))
-                    at_tool.append((package, version))
-                    for path, (kind, _) in found.items():
-                        of = counts.setdefault(path, {})
-                        of[kind] = of.get(kind, 0) + 1
-            for path, of in counts.items():
-                kind = max(of, key=lambda k: (of[k], k)) if len(of) > 1 else next(iter(of))
-                paths.append((path, kind, of[kind]))
-            at_path += [(package, version)] * len(counts)
-            if len(tools) > 2_000:
-                yield rows("tool", at_tool, [], tools)
-                at_tool, tools = [], []
-            if len(paths) > 50_000:
-                yield rows("path", at_path, paths, [])
-                at_path, paths = [], []
-        if paths:
-            yield rows("path", at_path, paths, [])
-        if tools:
-            yield rows("tool", at_tool, [], tools)
-
-
-def profile(captures: DataFrame) -> DataFrame:
-    """Paths and tools of every usable capture, in one pass, written by tag. Captures without package or version, or that aren't JSON, give no row."""
-    rows = usable(captures).filter("package is not null and version is not null").select("package", "version", "tools")
-    made = spread(rows).mapInArrow(_profile, PROFILE)
-    return stored(made.select(*[c for c in made.columns if c != "tag"], "tag"), "profile", ["tag"])
-
-
-def version_paths(profiled: DataFrame) -> DataFrame:
-    """(package, version, path, type, n): of a path's types in a version that of the most tools; the path "" is in every usable version."""
-    per = profiled.filter("tag = 'path'").groupBy("package", "version", "path").agg(F.max(F.struct("n", "type")).alias("m"))
-    return per.select("package", "version", "path", "m.type", "m.n")
+            counts: Counter = Counter()
+            for _, tool in tools:
+                counts.update({(place.hash, _TYPES.get(type(value), 0)) for place, value in walk(tool, root)})
+            best: dict[int, tuple[int, int]] = {}
+            for (h, t), n in counts.items():
+                best[h] = max(best.get(h, (0, 0)), (n, t))
+            heads.append((package, version))
+            for h in sorted(best):
+                n, t = best[h]
+                flat[0].append(h), flat[1].append(t), flat[2].append(n)
+            offsets.append(len(flat[0]))
+        package, version = zip(*heads) if heads else ((), ())
+        kinds = (pa.int64(), pa.int32(), pa.int64())
+        entries = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(flat, kinds)], fields=[pa.field(c, k) for c, k in zip(names, kinds)])
+        yield pa.RecordBatch.from_arrays([pa.array(package, pa.string()), pa.array(version, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)], ["package", "version", "paths"])
+
+
+def listings(captures: DataFrame) -> DataFrame:
+    return usable(captures).filter("package is not null and version is not null").select("package", "version", "tools")
+
+
+def version_paths(captures: DataFrame) -> DataFrame:
+    """(package, version, paths) of every usable version, paths ascending by hash.
+
+    Captures without package or version, or that aren't JSON, give no row. Captures of one version
+    that show the same paths fold before the shuffle; of others, rare as they are, the paths are united by path.
+    """
+    each = spread(listings(captures)).mapInArrow(_shapes, f"package string, version string, paths array<{MEMBER}>").groupBy("package", "version", "paths").agg(F.lit(1).alias("__one"))
+    each = stored(each.drop("__one"), "shapes")
+    several = each.groupBy("package", "version").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
+    if several.isEmpty():
+        return each
+    alone = each.join(several, ["package", "version"], "left_anti")
+    apart = each.join(several, ["package", "version"]).select("package", "version", F.explode_outer("paths").alias("x")).groupBy("package", "version", "x.h").agg(F.max(F.struct("x.n", "x.t")).alias("m"))
+    united = apart.groupBy("package", "version").agg(F.array_sort(F.collect_list(F.when(F.col("h").isNotNull(), F.struct("h", F.col("m.t").alias("t"), F.col("m.n").alias("n"))))).alias("paths"))
+    return alone.unionByName(united)
 
 
 def version_order(version: Column) -> Column:
@@ -172,16 +191,15 @@ def _position(order: Column) -> Column:
     return first * 1e6 + part(1)
 
 
-def neighbouring_versions(rows: DataFrame, rows_per_chunk: int = 500_000) -> DataFrame:
-    """(package, version, pair, side): a version is ``cur`` in the pair named by itself and ``prev`` in that of the next version.
+def version_pairs(paths: DataFrame, rows_per_chunk: int = 500_000) -> DataFrame:
+    """(package, version, before, p, c) of each version but a package's first: the version before it, and the paths of both.
 
-    Spellings of one version order by text; a package's first version is ``cur`` in no pair.
+    Spellings of one version order by text.
     """
-    every = rows.select("package", "version").distinct().withColumn("__order", F.struct(version_order(F.col("version")).alias("o"), F.col("version").alias("v")))
+    every = paths.withColumn("__order", F.struct(version_order(F.col("version")).alias("o"), F.col("version").alias("v")))
     every, seg = cut_hot_keys(every, "package", "__order", _position(F.col("__order.o")), rows_per_chunk)
-    every = following(previous(every, seg, "version", "__previous"), seg, "version", "__next")
-    sides = F.array(F.when(F.col("__previous").isNotNull(), F.struct(F.col("version").alias("pair"), F.lit("cur").alias("side"))), F.when(F.col("__next").isNotNull(), F.struct(F.col("__next").alias("pair"), F.lit("prev").alias("side"))))
-    return every.select("package", "version", F.explode(F.array_compact(sides)).alias("s")).select("package", "version", "s.*")
+    every = previous(every.withColumn("__own", F.struct("version", "paths")), seg, "__own", "__was", ignore_nulls=False)
+    return every.filter("__was is not null").select("package", "version", F.col("__was.version").alias("before"), F.col("__was.paths").alias("p"), F.col("paths").alias("c"))
 
 
 # --- similarity flooding over one pair of versions -------------------------------------------------
@@ -261,13 +279,12 @@ def select_matches(pairs: list[dict], least: float = LEAST_SCORE) -> list[dict]:
 _LINK = "package string, pair string, old string, new string, score double, sure boolean"
 
 
-def _candidates(facts: list[dict], olds: list[dict], news: list[dict]) -> tuple[list[dict], list[dict]]:
+def _candidates(facts: list[dict], types: dict[int, str]) -> tuple[list[dict], list[dict]]:
     """Candidates of one pair of versions with their agreement: those that tools support, and others by values alone."""
-    old_type, new_type = ({x["path"]: x["type"] for x in side} for side in (olds, news))
     n = {(f["kind"], f["old"], f["new"]): f["n"] for f in facts}
 
     def pair(old: str, new: str, agree: float) -> dict:
-        return {"old": old, "new": new, "old_type": old_type[old], "new_type": new_type[new], "agree": agree}
+        return {"old": old, "new": new, "old_type": types[path_hash(old)], "new_type": types[path_hash(new)], "agree": agree}
 
     by_tool = [pair(old, new, 2 * k / (n["held", old, None] + n["held", None, new])) for (kind, old, new), k in n.items() if kind == "hit"]
     by_value = [pair(old, new, k / n["seen", None, new]) for (kind, old, new), k in n.items() if kind == "value" and ("both", old, new) not in n]
@@ -277,8 +294,8 @@ def _candidates(facts: list[dict], olds: list[dict], news: list[dict]) -> tuple[
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
-        for package, pair, facts, olds, news in zip(*(c.to_pylist() for c in batch.columns)):
-            by_tool, by_value = _candidates(facts, olds, news)
+        for package, pair, facts, gone, come in zip(*(c.to_pylist() for c in batch.columns)):
+            by_tool, by_value = _candidates(facts, {x["h"]: TYPES[x["t"]] for x in gone + come})
             sure = select_matches(by_tool)
             taken = {m["old"] for m in sure}, {m["new"] for m in sure}
             others = select_matches([f for f in by_value if f["old"] not in taken[0] and f["new"] not in taken[1]])
@@ -288,13 +305,40 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in _LINK.split(", ")])
 
 
-def pair_paths(paths: DataFrame, order: DataFrame) -> DataFrame:
-    """(package, pair, path, p, c): a path in the previous and the current version of a pair, as struct<n, type> or null."""
-    side = lambda s: F.max(F.when(F.col("side") == s, F.struct("n", "type")))
-    return paths.join(order, ["package", "version"]).groupBy("package", "pair", "path").agg(side("prev").alias("p"), side("cur").alias("c"))
+_PICKED = "package string, version string, tool string, members array<struct<path string, value string, h bigint>>"
+
+
+def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members with a wanted hash of each tool, ascending by path."""
+    root = Place()
+    fields = [pa.field("path", pa.string()), pa.field("value", pa.string()), pa.field("h", pa.int64())]
+    for batch in batches:
+        heads: list[tuple] = []
+        flat: tuple[list, list, list] = ([], [], [])
+        offsets = [0]
+        for package, version, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+            try:
+                tools = _tool_names(text)
+            except (ValueError, RecursionError):
+                continue
+            wanted = set(wanted)
+            for name, tool in tools:
+                found = members(tool, wanted, root)
+                heads.append((package, version, name))
+                for path in sorted(found):
+                    flat[0].append(path), flat[1].append(found[path]), flat[2].append(path_hash(path))
+                offsets.append(len(flat[0]))
+        columns = zip(*heads) if heads else [()] * 3
+        entries = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, fields)], fields=fields)
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)], ["package", "version", "tool", "members"])
+
+
+def picked_members(captures: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """(package, version, tool, members) of the captures that ``wanted`` (*on, hashes) names: the second pass over their text."""
+    return spread(listings(captures).join(wanted, on).select("package", "version", "tools", "hashes")).mapInArrow(_picked, _PICKED)
 
 
-def correspondences(profiled: DataFrame, paired: DataFrame, order: DataFrame) -> DataFrame:
+def correspondences(captures: DataFrame, pairs: DataFrame) -> DataFrame:
     """(package, pair, old, new, score, sure): paths under which the previous version's values go on.
 
     Where tools of both versions have the two paths, agreement is counted tool by tool. Where no
@@ -303,14 +347,16 @@ def correspondences(profiled: DataFrame, paired: DataFrame, order: DataFrame) ->
     shuffle; a tool's members, never a version's, meet in one row.
     """
     key = ["package", "pair"]
-    gone, come = F.col("c").isNull(), F.col("p").isNull()
-    moved = paired.filter(gone | come).groupBy(*key).agg(*[F.collect_list(F.when(w, F.struct("path", F.coalesce("p.type", "c.type").alias("type")))).alias(n) for w, n in ((gone, "olds"), (come, "news"))])
-    moved = moved.filter("size(olds) > 0 and size(news) > 0")
-    tools = profiled.filter("tag = 'tool'").select("package", "version", "tool", "members").join(order, ["package", "version"]).join(moved, key)
-    kept = F.expr("filter(members, m -> m.value is not null and exists(if(side = 'prev', olds, news), x -> x.path = m.path))")
-    sides = tools.select(*key, "tool", "side", F.transform(kept, lambda m: F.struct(m["path"].alias("path"), m["value"].alias("value"))).alias("m"))
+    hashes = pairs.select("package", "version", "before", "p", "c", F.array_except("p.h", "c.h").alias("gone_h"), F.array_except("c.h", "p.h").alias("come_h")).filter("size(gone_h) > 0 and size(come_h) > 0")
+    part = lambda side, h: F.expr(f"filter({side}, x -> array_contains({h}, x.h))")
+    moved = stored(hashes.select("package", F.col("version").alias("pair"), "before", part("p", "gone_h").alias("gone"), part("c", "come_h").alias("come")), "moved")
+    ends = F.array(F.struct(F.col("before").alias("version"), F.lit("prev").alias("side"), F.col("gone.h").alias("hashes")), F.struct(F.col("pair").alias("version"), F.lit("cur").alias("side"), F.col("come.h").alias("hashes")))
+    sides = moved.select("package", "pair", F.explode(ends).alias("e")).select("package", "pair", "e.*")
+    wanted = sides.groupBy("package", "version").agg(F.array_distinct(F.flatten(F.collect_list("hashes"))).alias("hashes"))
+    tools = picked_members(captures, wanted, ["package", "version"])
+    told = tools.join(sides, ["package", "version"]).select(*key, "tool", "side", F.expr("filter(members, m -> m.value is not null and array_contains(hashes, m.h))").alias("m"))
     side = lambda s: F.max(F.when(F.col("side") == s, F.col("m")))
-    both = stored(sides.groupBy(*key, "tool").agg(side("prev").alias("was"), side("cur").alias("now")).filter("coalesce(size(was), 0) + coalesce(size(now), 0) > 0"), "moved")
+    both = told.groupBy(*key, "tool").agg(side("prev").alias("was"), side("cur").alias("now")).filter("coalesce(size(was), 0) + coalesce(size(now), 0) > 0")
 
     # facts on old and new paths: tools that have both or either, with the same value in both; values whatever the tool
     fact = lambda kind, old, new, value="null": f"named_struct('kind', '{kind}', 'old', {old}, 'new', {new}, 'value', {value})"
@@ -327,10 +373,9 @@ def correspondences(profiled: DataFrame, paired: DataFrame, order: DataFrame) ->
     values = values.groupBy(*key, "old", "new").agg(F.sum("n").alias("n")).withColumn("kind", F.lit("value"))
     named = counted.filter("kind != 'told'").select(*key, "kind", "old", "new", "n").unionByName(values)
     per = named.groupBy(*key).agg(F.collect_list(F.struct("kind", "old", "new", "n")).alias("facts")).join(moved, key)
-    links = stored(per.select(*key, "facts", "olds", "news").mapInArrow(_linked, _LINK), "links")
-    sure = links.filter("sure")
-    unsure = links.filter("not sure").join(sure.select("old", "new").distinct(), ["old", "new"], "left_semi")
-    return sure.unionByName(unsure.select(sure.columns))
+    links = stored(per.select(*key, "facts", "gone", "come").mapInArrow(_linked, _LINK), "links")
+    confirmed = links.filter("sure").select("old", "new", F.lit(True).alias("__told")).distinct()
+    return links.join(confirmed, ["old", "new"], "left").filter("sure or __told").select("package", "pair", "old", "new", "score", "sure")
 
 
 def aliases(paths: DataFrame, links: DataFrame, fields: tuple[str, ...] = FIELDS, most_together: float = MOST_TOGETHER) -> DataFrame:
@@ -341,10 +386,11 @@ def aliases(paths: DataFrame, links: DataFrame, fields: tuple[str, ...] = FIELDS
     unless tools confirmed the link in this package.
     """
     edges = links.groupBy("package", "old", "new").agg(F.bool_or("sure").alias("sure"))
-    wanted = edges.select(F.col("new").alias("path")).distinct()
-    kept = paths.join(wanted, "path", "left_semi").unionByName(paths.filter(F.col("path").isin(*fields))).groupBy("package", "version").agg(F.collect_set("path").alias("have"))
-    beside = kept.select("package", "have", F.explode("have").alias("new")).filter(~F.col("new").isin(*fields))
-    within = beside.groupBy("package", "new").agg(*[F.avg(F.array_contains("have", f).cast("double")).alias(f"s{i}") for i, f in enumerate(fields)])
+    hashed = F.arrow_udf(lambda a: pa.array([path_hash(x) for x in a.to_pylist()], pa.int64()), "bigint")
+    wanted = stored(edges.select(F.col("new"), hashed("new").alias("h")).distinct(), "wanted")
+    flags = paths.select("package", "version", "paths.h", *[F.array_contains("paths.h", F.lit(path_hash(f)).cast("bigint")).alias(f"f{i}") for i, f in enumerate(fields)])
+    have = flags.select("package", F.explode("h").alias("h"), *[f"f{i}" for i in range(len(fields))])
+    within = have.join(wanted, "h").groupBy("package", "new").agg(*[F.avg(F.col(f"f{i}").cast("double")).alias(f"s{i}") for i in range(len(fields))])
     across = within.groupBy("new").agg(*[F.avg((F.col(f"s{i}") > most_together).cast("double")).alias(f"a{i}") for i in range(len(fields))])
     barred = [F.when((F.col(f"s{i}") > most_together) | (~F.col("sure") & (F.col(f"a{i}") > most_together)), F.lit(f)) for i, f in enumerate(fields)]
     steps = edges.join(within, ["package", "new"]).join(across, "new").select("package", "old", "new", F.array_compact(F.array(*barred)).alias("not_of"))
@@ -373,15 +419,29 @@ def aliases(paths: DataFrame, links: DataFrame, fields: tuple[str, ...] = FIELDS
     return per.mapInArrow(chained, "package string, path string, field string")
 
 
-def field_changes(paired: DataFrame, others: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def field_keys(others: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(package, keys, hashes): the keys that carry fields in a package, beside their own spellings."""
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("h", pa.int64()), ("path", pa.string()), ("field", pa.string())]))
+        for batch in batches:
+            keys = [[{"h": path_hash(k["path"]), **k} for k in found] for found in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(keys, kind)], ["package", "keys"])
+
+    per = others.groupBy("package").agg(F.collect_set(F.struct("path", "field")).alias("found"))
+    return per.mapInArrow(gathered, "package string, keys array<struct<h bigint, path string, field string>>")
+
+
+def field_changes(pairs: DataFrame, others: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(package, version, field, kind) against the previous version; a field can be renamed and retyped at once.
 
     Should a version hold a field under several keys or types, its own spelling counts, then the most tools.
     """
-    keys = others.select("package", "path", "field")
-    named = paired.filter(F.col("path").isin(*fields)).withColumn("field", F.col("path")).unionByName(paired.join(keys, ["package", "path"]).select(*paired.columns, "field"))
-    best = lambda s: F.max(F.when(F.col(s).isNotNull(), F.struct((F.col("path") == F.col("field")).alias("own"), F.col(f"{s}.n").alias("n"), "path", F.col(f"{s}.type").alias("type")))).alias(s)
-    both = named.groupBy("package", "pair", "field").agg(best("p"), best("c"))
+    own = F.array(*[F.struct(F.lit(path_hash(f)).cast("bigint").alias("h"), F.lit(f).alias("path"), F.lit(f).alias("field")) for f in fields])
+    rows = pairs.join(field_keys(others, fields), "package", "left").withColumn("keys", F.concat(own, F.coalesce("keys", F.array().cast("array<struct<h bigint, path string, field string>>"))))
+    hold = lambda side: f"array_max(flatten(transform(filter(keys, k -> k.field = f), k -> transform(filter({side}, x -> x.h = k.h), x -> named_struct('own', k.path = f, 'n', x.n, 'path', k.path, 'type', x.t)))))"
+    held = F.expr(f"transform(array({', '.join(repr(f) for f in fields)}), f -> named_struct('field', f, 'p', {hold('p')}, 'c', {hold('c')}))")
+    both = rows.select("package", "version", F.explode(held).alias("x")).select("package", "version", "x.*").filter("p is not null or c is not null")
     kinds = F.array_compact(
         F.array(
             F.when(F.col("p").isNull(), "added"),
@@ -390,33 +450,29 @@ def field_changes(paired: DataFrame, others: DataFrame, fields: tuple[str, ...]
             F.when(F.col("p.type") != F.col("c.type"), "retyped"),
         )
     )
-    return both.select("package", F.col("pair").alias("version"), "field", F.explode(kinds).alias("kind"))
-
+    return both.select("package", "version", "field", F.explode(kinds).alias("kind"))
 
-def unified_tools(profiled: DataFrame, others: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """One consistent table: (package, version, tool, <a column per field>), values cast to text in one spelling."""
-    each = profiled.filter("tag = 'tool'").select("package", "version", "tool", F.explode("members").alias("m")).select("package", "version", "tool", "m.path", "m.value")
-    own = each.withColumn("field", F.when(F.col("path").isin(*fields), F.col("path")))
-    named = own.join(others.withColumnRenamed("field", "__other"), ["package", "path"], "left").withColumn("field", F.coalesce("field", "__other"))
-    return named.groupBy("package", "version", "tool").agg(*[F.min(F.when(F.col("field") == f, F.col("value"))).alias(f.replace(".", "_")) for f in fields])
 
-
-def resolved(captures: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Profile, paths of neighbouring versions and aliases, each written once, as later steps read them again."""
-    profiled = profile(captures)
-    paths = stored(version_paths(profiled), "paths")
-    order = stored(neighbouring_versions(paths.filter("path = ''")), "versions")
-    paired = stored(pair_paths(paths, order), "paired")
-    return profiled, paired, stored(aliases(paths, correspondences(profiled, paired, order)), "aliases")
+def resolved(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Neighbouring versions with their paths, and aliases, each written once, as later steps read them again."""
+    paths = version_paths(captures)
+    pairs = stored(version_pairs(paths), "pairs")
+    return pairs, stored(aliases(paths, correspondences(captures, pairs)), "aliases")
 
 
 def schema_changes(captures: DataFrame) -> DataFrame:
     """(package, version, field, kind) for captures; see TESTDATA problem 5. An empty table gives no row."""
-    _, paired, others = resolved(captures)
-    return field_changes(paired, others)
-
-
-def consistent_tools(captures: DataFrame) -> DataFrame:
-    """One row per (package, version, tool) with each field under one name and in one spelling."""
-    profiled, _, others = resolved(captures)
-    return unified_tools(profiled, others)
+    pairs, others = resolved(captures)
+    return field_changes(pairs, others)
+
+
+def consistent_tools(captures: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """One row per (package, version, tool) with each field under one name, its values as text in one spelling."""
+    _, others = resolved(captures)
+    own = F.array(*[F.lit(path_hash(f)).cast("bigint") for f in fields])
+    packages = listings(captures).select("package").distinct().join(field_keys(others, fields), "package", "left")
+    wanted = stored(packages.select("package", "keys", F.array_distinct(F.concat(own, F.coalesce("keys.h", F.array().cast("array<bigint>")))).alias("hashes")), "keys")
+    rows = picked_members(captures, wanted.drop("keys"), ["package"]).join(wanted.drop("hashes"), "package")
+    value = lambda f: F.expr(f"array_min(transform(filter(members, m -> m.path = '{f}' or exists(keys, k -> k.path = m.path and k.field = '{f}')), m -> m.value))")
+    named = rows.select("package", "version", "tool", *[value(f).alias(f.replace(".", "_")) for f in fields])
+    return named.groupBy("package", "version", "tool").agg(*[F.min(f.replace(".", "_")).alias(f.replace(".", "_")) for f in fields])

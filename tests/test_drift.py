@@ -68,10 +68,10 @@ def test_versions_of_bare_tools_count(spark):
 @pytest.mark.parametrize("rows_per_chunk", [500_000, 3])
 def test_version_order_of_long_histories(spark, rows_per_chunk):
     versions = ["0.9", "0.10", "1.0", "1.0.1", "1.2", "1.10", "2", "10.0", "10.0.0", "x.1"]
-    rows = spark.createDataFrame([("p", v) for v in versions], "package string, version string")
-    order = drift.neighbouring_versions(rows, rows_per_chunk).filter("side = 'prev'").collect()
+    rows = spark.createDataFrame([("p", v, [(len(v), 3, 1)]) for v in versions], f"package string, version string, paths array<{drift.MEMBER}>")
+    pairs = drift.version_pairs(rows, rows_per_chunk).collect()
     want = ["x.1", *versions[:-1]]
-    assert {(r["version"], r["pair"]) for r in order} == set(zip(want, want[1:]))
+    assert {(r["before"], r["version"]) for r in pairs} == set(zip(want, want[1:])) and all(r["p"][0]["h"] == len(r["before"]) and r["c"][0]["h"] == len(r["version"]) for r in pairs)
 
 
 def test_flooding_prefers_the_fitting_place():
