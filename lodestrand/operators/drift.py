@@ -192,14 +192,14 @@ def _position(order: Column) -> Column:
 
 
 def version_pairs(paths: DataFrame, rows_per_chunk: int = 500_000) -> DataFrame:
-    """(package, version, before, p, c) of each version but a package's first: the version before it, and the paths of both.
+    """(package, version, before, p, c, gone_h, come_h) of each version but a package's first: the version before it, the paths of both, hashes of vanished and new ones.
 
     Spellings of one version order by text.
     """
     every = paths.withColumn("__order", F.struct(version_order(F.col("version")).alias("o"), F.col("version").alias("v")))
     every, seg = cut_hot_keys(every, "package", "__order", _position(F.col("__order.o")), rows_per_chunk)
     every = previous(every.withColumn("__own", F.struct("version", "paths")), seg, "__own", "__was", ignore_nulls=False)
-    return every.filter("__was is not null").select("package", "version", F.col("__was.version").alias("before"), F.col("__was.paths").alias("p"), F.col("paths").alias("c"))
+    return every.filter("__was is not null").select("package", "version", F.col("__was.version").alias("before"), F.col("__was.paths").alias("p"), F.col("paths").alias("c"), F.array_except("__was.paths.h", "paths.h").alias("gone_h"), F.array_except("paths.h", "__was.paths.h").alias("come_h"))
 
 
 # --- similarity flooding over one pair of versions -------------------------------------------------
@@ -347,7 +347,7 @@ def correspondences(captures: DataFrame, pairs: DataFrame) -> DataFrame:
     shuffle; a tool's members, never a version's, meet in one row.
     """
     key = ["package", "pair"]
-    hashes = pairs.select("package", "version", "before", "p", "c", F.array_except("p.h", "c.h").alias("gone_h"), F.array_except("c.h", "p.h").alias("come_h")).filter("size(gone_h) > 0 and size(come_h) > 0")
+    hashes = pairs.filter("size(gone_h) > 0 and size(come_h) > 0")
     part = lambda side, h: F.expr(f"filter({side}, x -> array_contains({h}, x.h))")
     moved = stored(hashes.select("package", F.col("version").alias("pair"), "before", part("p", "gone_h").alias("gone"), part("c", "come_h").alias("come")), "moved")
     ends = F.array(F.struct(F.col("before").alias("version"), F.lit("prev").alias("side"), F.col("gone.h").alias("hashes")), F.struct(F.col("pair").alias("version"), F.lit("cur").alias("side"), F.col("come.h").alias("hashes")))
