@@ -1,85 +1,126 @@
 """Problem 6: items into containers of fixed capacity, by bulk-synchronous best fit.
 
-Items of one size are interchangeable, so the sorted order of items and of gaps (the room left in
-open containers) is kept in run-length form: counts by size, runs of containers by gap. A
-round takes the largest size left, sweeps the successor gaps (the smallest gap that holds it, then
-the next) and gives the item of rank r the r-th place; gaps are updated and the next round begins.
-That is best-fit decreasing over all items, computed on as many numbers as the capacity has. The
-rows then learn their rank in their size, in salted parts, and look up their container.
+All profiles advance together in rounds; nothing but a few totals of each profile reaches the driver.
+
+1. Documents are range-sorted by size: items of one size are interchangeable, so their order is kept
+   as counts by size, and an item is (size, rank in its size). Gaps (the room left in containers)
+   are sorted likewise. If no gap holds the smallest item left, as many containers are opened as the
+   tokens left fill at least.
+2. A gap that holds several of the largest item left offers as many slots, any other one slot.
+3. A sweep from large to small matches every item with its successor, the smallest slot that holds it and
+   that no larger item took. Which slots and items these are follows from running totals over the
+   counts: a slot goes on a stack, an item takes the top.
+4. Conflicts are resolved by rank: the matched items of rank 1, 2, ... take the matched slots of rank 1, 2, ...
+5. Gaps and counts are updated, written to the shared folder, and the next round begins.
+
+In the end every document learns its rank in its size, in salted parts, and joins its container.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections import defaultdict
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestrand.llm.tokens import VOCABULARY, token_counts
-from lodestrand.session import arrow_type, stored
+from lodestrand.session import stored
 
-#: Items of one size ranked in one task at most.
+#: Items or slots of one size ranked in one task at most.
 RANKED_ROWS = 500_000
-#: Sum of all capacities at most: it bounds the histogram that is gathered and the plan that is sent out.
-MOST_CAPACITY = 5_000_000
-
-
-def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
-    """(segments, number of containers). A segment (size, first rank, first container, items per
-    container) holds for the ranks up to the size's next segment."""
-    segments: list[tuple[int, int, int, int]] = []
-    runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    gaps: list[int] = []
-    opened = 0
-
-    def add(gap: int, first: int, n: int) -> None:
-        if n > 0 and gap > 0:
-            if not runs[gap]:
-                insort(gaps, gap)
-            runs[gap].append((first, n))
-
-    for size in sorted((s for s in counts if s > 0), reverse=True):
-        rank, left = 0, counts[size]
-        while left:
-            at = bisect_left(gaps, size)
-            if at < len(gaps):
-                gap = gaps[at]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    gaps.pop(at)
-            else:
-                gap, first, n = capacity, opened, -(-left // (capacity // size))
-                opened += n
-            each = gap // size
-            used = min(n, -(-left // each))
-            placed = min(left, used * each)
-            segments.append((size, rank, first, each))
-            over = used * each - placed
-            add(gap - each * size, first, used - (over > 0))
-            if over:
-                add(gap - (each - over) * size, first + used - 1, 1)
-            add(gap, first + used, n - used)
-            rank += placed
-            left -= placed
-    if counts.get(0):
-        opened = max(opened, 1)
-        segments.append((0, 0, 0, 1 << 62))
-    return segments, opened
+#: Units of a run spelled out from one row.
+UNITS = 1 << 16
 
 
 def profiles_of(limits: DataFrame, profile: str = "profile", capacity: str = "capacity_tokens") -> list[tuple[str, int]]:
     """Distinct profiles with a positive capacity, the least of each; others get no containers."""
-    rows = limits.filter(F.col(profile).isNotNull() & (F.col(capacity) > 0)).groupBy(profile).agg(F.min(capacity)).limit(MOST_CAPACITY + 1).collect()
-    if sum(r[1] for r in rows) > MOST_CAPACITY:
-        raise ValueError(f"the capacities add up to more than {MOST_CAPACITY}")
+    rows = limits.filter(F.col(profile).isNotNull() & (F.col(capacity) > 0)).groupBy(profile).agg(F.min(capacity)).collect()
     return sorted((r[0], int(r[1])) for r in rows)
 
 
+def ranked(rows: DataFrame, group: list[str], order: list[str], out: str, most: int) -> DataFrame:
+    """``rows`` with their rank (from 1) in their group; a group of more than ``most`` rows is ranked in salted parts."""
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("__n"))
+    parted = rows.join(sizes.filter(F.col("__n") > most), group, "left")
+    parted = parted.withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*order), F.ceil(F.col("__n") / most)).cast("int"), F.lit(0))).drop("__n")
+    counts = parted.groupBy(*group, "__part").agg(F.count("*").alias("__k"))
+    before = counts.withColumn("__before", F.sum("__k").over(Window.partitionBy(*group).orderBy("__part")) - F.col("__k")).drop("__k").filter("__before > 0")
+    own = F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order)).cast("long")
+    return parted.withColumn("__own", own).join(before, [*group, "__part"], "left").withColumn(out, F.col("__own") + F.coalesce("__before", F.lit(0))).drop("__own", "__before", "__part")
+
+
+def swept(items: DataFrame, slots: DataFrame) -> DataFrame:
+    """(p, v, n, used, mi, ms, at_i, at_s): for each size or slot value v, how many items (mi) and slots (ms) the sweep matches and how many of larger ones before them.
+
+    ``items``: p, v, n left, used before; ``slots``: p, v, ns. Rows are as many as sizes and gaps, at most twice the capacity.
+    """
+    down = Window.partitionBy("p").orderBy(F.col("v").desc())
+    so_far = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = items.join(slots, ["p", "v"], "full_outer").na.fill(0, ["n", "used", "ns"])
+    # height of the stack after v: slots of v are put on, then its items take from the top
+    both = both.withColumn("__s", F.sum(F.col("ns") - F.col("n")).over(so_far))
+    both = both.withColumn("low", F.col("__s") - F.least(F.lit(0), F.min("__s").over(so_far)))
+    both = both.withColumn("under", F.coalesce(F.lag("low").over(down), F.lit(0)))
+    both = both.withColumn("high", F.col("under") + F.col("ns"))
+    # a slot is taken if the stack ever falls below it
+    both = both.withColumn("floor", F.min("low").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    both = both.withColumns({"mi": F.col("high") - F.col("low"), "ms": F.greatest(F.col("high") - F.greatest("under", "floor"), F.lit(0))})
+    both = both.withColumns({"at_i": F.sum("mi").over(so_far) - F.col("mi"), "at_s": F.sum("ms").over(so_far) - F.col("ms")})
+    return both.select("p", "v", "n", "used", "mi", "ms", "at_i", "at_s")
+
+
+def slots_of(gaps: DataFrame, state: DataFrame) -> DataFrame:
+    """(p, container, slot, v): what each container offers. ``state``: p, largest, smallest, left, n_gaps.
+
+    A gap is cut into as many slots as it holds items of the largest size, but not into many more than there are items for.
+    """
+    fits = gaps.join(state, "p").filter("gap >= smallest")
+    most = F.expr("2 * ceil(left / n_gaps)")
+    many = fits.withColumn("m", F.greatest(F.lit(1), F.least(F.expr("gap div largest"), most)).cast("int"))
+    return many.select("p", "container", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("slot"), F.expr("gap div m").alias("v"))
+
+
+def units(runs: DataFrame) -> DataFrame:
+    """(p, j, v, k) of the matched items: j-th in the sweep, k-th of their size; long runs are spread before they are spelled out."""
+    chunks = runs.filter("mi > 0").select("p", "v", "mi", "at_i", "used", F.explode(F.sequence(F.lit(0), F.expr(f"(mi - 1) div {UNITS}"))).alias("c"))
+    inside = F.sequence(F.col("c") * UNITS + 1, F.least("mi", (F.col("c") + 1) * UNITS))
+    each = chunks.repartition("p", "v", "c").select("p", "v", "at_i", "used", F.explode(inside).alias("i"))
+    return each.select("p", (F.col("at_i") + F.col("i")).alias("j"), "v", (F.col("used") + F.col("i")).alias("k"))
+
+
+def best_fit(items: DataFrame, capacities: list[int], most: int = RANKED_ROWS) -> DataFrame:
+    """(p, v, k, container): where the k-th item (from 1) of size v > 0 goes. ``items``: p (place in ``capacities``), v, n."""
+    spark = items.sparkSession
+    left = stored(items.withColumn("used", F.lit(0).cast("long")), "sizes")
+    gaps = spark.createDataFrame([], "p int, container long, gap long")
+    opened = [0] * len(capacities)
+    placed: list[DataFrame] = []
+    while True:
+        totals = {r["p"]: r for r in left.filter("n > 0").groupBy("p").agg(F.max("v").alias("largest"), F.min("v").alias("smallest"), F.sum("n").alias("left"), F.sum(F.col("n") * F.col("v")).alias("tokens")).collect()}
+        if not totals:
+            break
+        smallest = F.create_map(*[F.lit(x) for p, r in totals.items() for x in (p, r["smallest"])])
+        open_ = {r["p"]: r["k"] for r in gaps.filter(F.col("gap") >= F.try_element_at(smallest, F.col("p"))).groupBy("p").agg(F.count("*").alias("k")).collect()}
+        for p, r in totals.items():
+            if p not in open_:
+                more = -(-r["tokens"] // capacities[p])
+                gaps = gaps.unionByName(spark.range(opened[p], opened[p] + more).select(F.lit(p).alias("p"), F.col("id").alias("container"), F.lit(capacities[p]).cast("long").alias("gap")))
+                opened[p] += more
+                open_[p] = more
+        state = spark.createDataFrame([(p, r["largest"], r["smallest"], r["left"], open_[p]) for p, r in totals.items()], "p int, largest long, smallest long, left long, n_gaps long")
+        slots = slots_of(gaps, state)
+        runs = stored(swept(left, slots.groupBy("p", "v").agg(F.count("*").alias("ns"))), "sweep")
+        taken = ranked(slots.join(runs.filter("ms > 0").select("p", "v", "ms", "at_s"), ["p", "v"]), ["p", "v"], ["container", "slot"], "r", most).filter("r <= ms")
+        pairs = stored(taken.select("p", (F.col("at_s") + F.col("r")).alias("j"), "container").join(units(runs), ["p", "j"]).select("p", "v", "k", "container"), "placed")
+        placed.append(pairs)
+        filled = pairs.groupBy("p", "container").agg(F.sum("v").alias("__t"))
+        # full containers have nothing to offer any more
+        gaps = stored(gaps.join(filled, ["p", "container"], "left").select("p", "container", (F.col("gap") - F.coalesce("__t", F.lit(0))).alias("gap")).filter("gap > 0"), "gaps")
+        left = runs.filter("n > mi").select("p", "v", (F.col("n") - F.col("mi")).alias("n"), (F.col("used") + F.col("mi")).alias("used"))
+    out = spark.createDataFrame([], "p int, v long, k long, container long")
+    for pairs in placed:
+        out = out.unionByName(pairs)
+    return out
+
+
 def pack(documents: DataFrame, limits: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, ranked_rows: int = RANKED_ROWS) -> DataFrame:
     """(profile, container, doc_id, piece_no, first_token, n_tokens) for every document and profile.
 
@@ -90,67 +131,21 @@ def pack(documents: DataFrame, limits: DataFrame, doc_id: str = "doc_id", text:
     spark = documents.sparkSession
     profiles = profiles_of(limits)
     sizes = stored(token_counts(documents, [doc_id], text, vocabulary).withColumnRenamed(doc_id, "doc_id"), "tokens")
-    id_field = sizes.schema["doc_id"]
-    columns = "profile string, container string, doc_id {}, piece_no long, first_token long, n_tokens long".format(id_field.dataType.simpleString())
+    columns = "profile string, container string, doc_id {}, piece_no long, first_token long, n_tokens long".format(sizes.schema["doc_id"].dataType.simpleString())
     if not profiles:
         return spark.createDataFrame([], columns)
     choices = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(c).cast("long").alias("cap")) for i, (_, c) in enumerate(profiles)])
     items = sizes.select("doc_id", F.col("n_tokens").alias("n"), F.explode(choices).alias("c")).select("doc_id", "n", "c.p", "c.cap")
-    items = items.withColumns({"full": F.expr("CASE WHEN n > cap THEN n DIV cap ELSE 0L END"), "size": F.expr("CASE WHEN n > cap THEN n % cap ELSE n END")})
-    rest = items.filter("full = 0 or size > 0")
-
-    counted = {(r[0], r[1]): r[2] for r in rest.groupBy("p", "size").count().collect()}
-    of_profile: dict[int, dict[int, int]] = defaultdict(dict)
-    for (p, size), n in counted.items():
-        of_profile[p][size] = n
-    plan = []
-    for p, (_, capacity) in enumerate(profiles):
-        plan += [(p, *s) for s in best_fit(of_profile[p], capacity)[0]]
-    plan.sort(key=lambda s: (s[0], s[1], s[2]))
-
-    hot = [(p, size, n // ranked_rows + 1) for (p, size), n in counted.items() if n > ranked_rows]
-    if hot:
-        split = F.broadcast(spark.createDataFrame(hot, "p int, size long, parts int"))
-        rest = rest.join(split, ["p", "size"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.lit(0)))
-        by_part = {(r[0], r[1], r[2]): r[3] for r in rest.filter("parts is not null").groupBy("p", "size", "part").count().collect()}
-    else:
-        rest, by_part = rest.withColumn("part", F.lit(0)), {}
-    before: dict[tuple[int, int, int], int] = {}
-    running: dict[tuple[int, int], int] = defaultdict(int)
-    for (p, size, part), n in sorted(by_part.items()):
-        before[p, size, part] = running[p, size]
-        running[p, size] += n
-    ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("p", "size", "part").orderBy("doc_id", "n")).cast("long") - 1)
-
-    # one sorted key per segment: (profile, size) class number, then rank
-    classes = {k: i for i, k in enumerate(sorted(counted))}
-    sent = spark.sparkContext.broadcast(
-        (
-            classes,
-            np.array([(classes[s[0], s[1]] << 40) + s[2] for s in plan], np.int64),
-            np.array([s[2] for s in plan], np.int64),
-            np.array([s[3] for s in plan], np.int64),
-            np.array([s[4] for s in plan], np.int64),
-            before,
-        )
-    )
-    out = StructType([StructField("p", LongType()), id_field, *[StructField(c, LongType()) for c in ("full", "cap", "size", "at")]])
-    id_type = arrow_type(sizes, "doc_id")
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, keys, ranks, firsts, each, offsets = sent.value
-        for b in batches:
-            p, size, part, rank = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2, 3, 4))
-            cls = np.array([number[x] for x in zip(p.tolist(), size.tolist())], np.int64)
-            if offsets:
-                rank = rank + np.array([offsets.get(x, 0) for x in zip(p.tolist(), size.tolist(), part.tolist())], np.int64)
-            seg = np.searchsorted(keys, (cls << 40) + rank, "right") - 1
-            at = firsts[seg] + (rank - ranks[seg]) // each[seg]
-            yield pa.RecordBatch.from_arrays([pa.array(p), b.column(1).cast(id_type), b.column(5).cast(pa.int64()), b.column(6).cast(pa.int64()), pa.array(size), pa.array(at)], out.names)
-
-    placed = ranked.select("p", "doc_id", "size", "part", "rank", "full", "cap").mapInArrow(look_up, out)
-    name = F.element_at(F.array(*[F.lit(n) for n, _ in profiles]), (F.col("p") + 1).cast("int")).alias("profile")
-    packed = placed.select(name, F.concat(F.lit("c"), F.col("at").cast("string")).alias("container"), "doc_id", F.col("full").alias("piece_no"), (F.col("full") * F.col("cap")).alias("first_token"), F.col("size").alias("n_tokens"))
+    items = items.withColumns({"full": F.expr("CASE WHEN n > cap THEN n DIV cap ELSE 0L END"), "v": F.expr("CASE WHEN n > cap THEN n % cap ELSE n END")})
+
+    counts = items.filter("v > 0").groupBy("p", "v").agg(F.count("*").alias("n"))
+    places = best_fit(counts, [c for _, c in profiles], ranked_rows)
+    numbered = ranked(items.filter("v > 0").drop("n"), ["p", "v"], ["doc_id", "full"], "k", ranked_rows).join(places, ["p", "v", "k"])
+    # texts without tokens need no room
+    empty = items.filter("full = 0 and v = 0").select("p", "doc_id", "full", "cap", "v", F.lit(0).cast("long").alias("container"))
+    placed = numbered.select("p", "doc_id", "full", "cap", "v", "container").unionByName(empty)
+    name = F.element_at(F.array(*[F.lit(n) for n, _ in profiles]), F.col("p") + 1).alias("profile")
+    packed = placed.select(name, F.concat(F.lit("c"), F.col("container").cast("string")).alias("container"), "doc_id", F.col("full").alias("piece_no"), (F.col("full") * F.col("cap")).alias("first_token"), F.col("v").alias("n_tokens"))
     whole = items.filter("full > 0").select("p", "doc_id", "cap", F.explode(F.expr("sequence(0L, full - 1)")).alias("k"))
     filled = whole.select(
         name, F.concat(F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("."), F.col("k").cast("string")).alias("container"), "doc_id", F.col("k").alias("piece_no"), (F.col("k") * F.col("cap")).alias("first_token"), F.col("cap").alias("n_tokens")
