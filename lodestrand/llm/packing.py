@@ -7,10 +7,11 @@ All profiles advance together in rounds; nothing but a few totals of each profil
    are sorted likewise. If no gap holds the smallest item left, as many containers are opened as the
    tokens left fill at least.
 2. A gap that holds several of the largest item left offers as many slots, any other one slot.
-3. A sweep from large to small matches every item with its successor, the smallest slot that holds it and
-   that no larger item took. Which slots and items these are follows from running totals over the
-   counts: a slot goes on a stack, an item takes the top.
-4. Conflicts are resolved by rank: the matched items of rank 1, 2, ... take the matched slots of rank 1, 2, ...
+3. A sweep of every profile from large to small matches sizes with their successors, the smallest slots that
+   hold them and that no larger item took: counts of slots go on a stack, items take from the top. A sweep
+   sees counts by size, at most twice the capacity of them, however many documents there are.
+4. Conflicts are resolved by rank: where the sweep gives n slots of a value to n items of a size, slots and
+   items meet by their ranks, each on the cluster.
 5. Gaps and counts are updated, written to the shared folder, and the next round begins.
 
 In the end every document learns its rank in its size, in salted parts, and joins its container.
@@ -18,6 +19,7 @@ In the end every document learns its rank in its size, in salted parts, and join
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,35 +38,54 @@ def profiles_of(limits: DataFrame, profile: str = "profile", capacity: str = "ca
     return sorted((r[0], int(r[1])) for r in rows)
 
 
-def ranked(rows: DataFrame, group: list[str], order: list[str], out: str, most: int) -> DataFrame:
-    """``rows`` with their rank (from 1) in their group; a group of more than ``most`` rows is ranked in salted parts."""
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("__n"))
-    parted = rows.join(sizes.filter(F.col("__n") > most), group, "left")
-    parted = parted.withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*order), F.ceil(F.col("__n") / most)).cast("int"), F.lit(0))).drop("__n")
-    counts = parted.groupBy(*group, "__part").agg(F.count("*").alias("__k"))
+def ranked(rows: DataFrame, group: list[str], ids: list[str], out: str, most: int, total: int | None = None) -> DataFrame:
+    """``rows`` with their rank (from 1) in their group, by hash of ``ids``.
+
+    A group of more than ``most`` rows is ranked in parts, ranges of the hash, so that the rank is the same in
+    however many parts. With a ``total`` of all rows that is no more, none is cut.
+    """
+    rows = rows.withColumn("__h", F.xxhash64(*ids))
+    if total is not None and total <= most:
+        return rows.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy("__h", *ids)).cast("long")).drop("__h")
+    parts = rows.groupBy(*group).agg(F.ceil(F.count("*") / most).cast("int").alias("__parts")).filter("__parts > 1")
+    # the hash's place among all signed longs, by its upper half
+    upper = F.shiftright("__h", 32) + F.lit(1 << 31)
+    rows = rows.join(parts, group, "left").withColumn("__part", F.coalesce(F.floor(upper * F.col("__parts") / F.lit(1 << 32)).cast("int"), F.lit(0)))
+    counts = rows.groupBy(*group, "__part").agg(F.count("*").alias("__k"))
     before = counts.withColumn("__before", F.sum("__k").over(Window.partitionBy(*group).orderBy("__part")) - F.col("__k")).drop("__k").filter("__before > 0")
-    own = F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order)).cast("long")
-    return parted.withColumn("__own", own).join(before, [*group, "__part"], "left").withColumn(out, F.col("__own") + F.coalesce("__before", F.lit(0))).drop("__own", "__before", "__part")
+    own = F.row_number().over(Window.partitionBy(*group, "__part").orderBy("__h", *ids)).cast("long")
+    numbered = rows.withColumn("__own", own).join(before, [*group, "__part"], "left")
+    return numbered.withColumn(out, F.col("__own") + F.coalesce("__before", F.lit(0))).drop("__own", "__before", "__part", "__parts", "__h")
 
 
-def swept(items: DataFrame, slots: DataFrame) -> DataFrame:
-    """(p, v, n, used, mi, ms, at_i, at_s): for each size or slot value v, how many items (mi) and slots (ms) the sweep matches and how many of larger ones before them.
+_SWEEP = "p int, kind string, slot long, r long, v long, k long, n long"
 
-    ``items``: p, v, n left, used before; ``slots``: p, v, ns. Rows are as many as sizes and gaps, at most twice the capacity.
-    """
-    down = Window.partitionBy("p").orderBy(F.col("v").desc())
-    so_far = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = items.join(slots, ["p", "v"], "full_outer").na.fill(0, ["n", "used", "ns"])
-    # height of the stack after v: slots of v are put on, then its items take from the top
-    both = both.withColumn("__s", F.sum(F.col("ns") - F.col("n")).over(so_far))
-    both = both.withColumn("low", F.col("__s") - F.least(F.lit(0), F.min("__s").over(so_far)))
-    both = both.withColumn("under", F.coalesce(F.lag("low").over(down), F.lit(0)))
-    both = both.withColumn("high", F.col("under") + F.col("ns"))
-    # a slot is taken if the stack ever falls below it
-    both = both.withColumn("floor", F.min("low").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    both = both.withColumns({"mi": F.col("high") - F.col("low"), "ms": F.greatest(F.col("high") - F.greatest("under", "floor"), F.lit(0))})
-    both = both.withColumns({"at_i": F.sum("mi").over(so_far) - F.col("mi"), "at_s": F.sum("ms").over(so_far) - F.col("ms")})
-    return both.select("p", "v", "n", "used", "mi", "ms", "at_i", "at_s")
+
+def _sweep(counts: pd.DataFrame) -> pd.DataFrame:
+    """One profile's sweep: rows ``match`` (slots r+1..r+n of value ``slot`` go to items k+1..k+n of size v) and ``left`` (n items of size v, k before them placed)."""
+    stack: list[list[int]] = []
+    out: list[tuple] = []
+    p = int(counts["p"].iloc[0])
+    for v, n, used, ns in sorted(zip(counts["v"].tolist(), counts["n"].tolist(), counts["used"].tolist(), counts["ns"].tolist()), reverse=True):
+        if ns:
+            stack.append([v, ns])
+        while n and stack:
+            top = stack[-1]
+            take = min(n, top[1])
+            top[1] -= take
+            out.append((p, "match", top[0], top[1], v, used, take))
+            n, used = n - take, used + take
+            if not top[1]:
+                stack.pop()
+        if n:
+            out.append((p, "left", 0, 0, v, used, n))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in _SWEEP.split(", ")])
+
+
+def swept(left: DataFrame, slots: DataFrame) -> DataFrame:
+    """The sweeps of all profiles. ``left``: p, v, n, used; ``slots``: p, v, ns."""
+    both = left.join(slots, ["p", "v"], "full_outer").na.fill(0, ["n", "used", "ns"])
+    return both.groupBy("p").applyInPandas(_sweep, _SWEEP)
 
 
 def slots_of(gaps: DataFrame, state: DataFrame) -> DataFrame:
@@ -78,43 +99,44 @@ def slots_of(gaps: DataFrame, state: DataFrame) -> DataFrame:
     return many.select("p", "container", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("slot"), F.expr("gap div m").alias("v"))
 
 
-def units(runs: DataFrame) -> DataFrame:
-    """(p, j, v, k) of the matched items: j-th in the sweep, k-th of their size; long runs are spread before they are spelled out."""
-    chunks = runs.filter("mi > 0").select("p", "v", "mi", "at_i", "used", F.explode(F.sequence(F.lit(0), F.expr(f"(mi - 1) div {UNITS}"))).alias("c"))
-    inside = F.sequence(F.col("c") * UNITS + 1, F.least("mi", (F.col("c") + 1) * UNITS))
-    each = chunks.repartition("p", "v", "c").select("p", "v", "at_i", "used", F.explode(inside).alias("i"))
-    return each.select("p", (F.col("at_i") + F.col("i")).alias("j"), "v", (F.col("used") + F.col("i")).alias("k"))
+def units(matches: DataFrame) -> DataFrame:
+    """(p, slot, r, v, k): every slot of the matches, by value and rank, with the item it gets; long runs are spread before they are spelled out."""
+    chunks = matches.select("p", "slot", "r", "v", "k", "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {UNITS}"))).alias("c"))
+    inside = F.sequence(F.col("c") * UNITS + 1, F.least("n", (F.col("c") + 1) * UNITS))
+    each = chunks.repartition("p", "slot", "r", "c").select("p", "slot", "r", "v", "k", F.explode(inside).alias("i"))
+    return each.select("p", "slot", (F.col("r") + F.col("i")).alias("r"), "v", (F.col("k") + F.col("i")).alias("k"))
 
 
 def best_fit(items: DataFrame, capacities: list[int], most: int = RANKED_ROWS) -> DataFrame:
     """(p, v, k, container): where the k-th item (from 1) of size v > 0 goes. ``items``: p (place in ``capacities``), v, n."""
     spark = items.sparkSession
-    left = stored(items.withColumn("used", F.lit(0).cast("long")), "sizes")
+    left = stored(items.select("p", "v", "n", F.lit(0).cast("long").alias("used")), "sizes")
     gaps = spark.createDataFrame([], "p int, container long, gap long")
     opened = [0] * len(capacities)
     placed: list[DataFrame] = []
     while True:
-        totals = {r["p"]: r for r in left.filter("n > 0").groupBy("p").agg(F.max("v").alias("largest"), F.min("v").alias("smallest"), F.sum("n").alias("left"), F.sum(F.col("n") * F.col("v")).alias("tokens")).collect()}
-        if not totals:
+        totals = left.groupBy("p").agg(F.max("v").alias("largest"), F.min("v").alias("smallest"), F.sum("n").alias("left"), F.sum(F.col("n") * F.col("v")).alias("tokens"))
+        fit = gaps.join(totals.select("p", "smallest"), "p").filter("gap >= smallest").groupBy("p").agg(F.count("*").alias("n_gaps"))
+        state = totals.join(fit, "p", "left").collect()
+        if not state:
             break
-        smallest = F.create_map(*[F.lit(x) for p, r in totals.items() for x in (p, r["smallest"])])
-        open_ = {r["p"]: r["k"] for r in gaps.filter(F.col("gap") >= F.try_element_at(smallest, F.col("p"))).groupBy("p").agg(F.count("*").alias("k")).collect()}
-        for p, r in totals.items():
-            if p not in open_:
-                more = -(-r["tokens"] // capacities[p])
-                gaps = gaps.unionByName(spark.range(opened[p], opened[p] + more).select(F.lit(p).alias("p"), F.col("id").alias("container"), F.lit(capacities[p]).cast("long").alias("gap")))
-                opened[p] += more
-                open_[p] = more
-        state = spark.createDataFrame([(p, r["largest"], r["smallest"], r["left"], open_[p]) for p, r in totals.items()], "p int, largest long, smallest long, left long, n_gaps long")
-        slots = slots_of(gaps, state)
-        runs = stored(swept(left, slots.groupBy("p", "v").agg(F.count("*").alias("ns"))), "sweep")
-        taken = ranked(slots.join(runs.filter("ms > 0").select("p", "v", "ms", "at_s"), ["p", "v"]), ["p", "v"], ["container", "slot"], "r", most).filter("r <= ms")
-        pairs = stored(taken.select("p", (F.col("at_s") + F.col("r")).alias("j"), "container").join(units(runs), ["p", "j"]).select("p", "v", "k", "container"), "placed")
+        rows = []
+        for r in state:
+            p, n_gaps = r["p"], r["n_gaps"]
+            if not n_gaps:
+                n_gaps = -(-r["tokens"] // capacities[p])
+                gaps = gaps.unionByName(spark.range(opened[p], opened[p] + n_gaps).select(F.lit(p).alias("p"), F.col("id").alias("container"), F.lit(capacities[p]).cast("long").alias("gap")))
+                opened[p] += n_gaps
+            rows.append((p, r["largest"], r["smallest"], r["left"], n_gaps))
+        slots = slots_of(gaps, spark.createDataFrame(rows, "p int, largest long, smallest long, left long, n_gaps long"))
+        sweep = stored(swept(left, slots.groupBy("p", "v").agg(F.count("*").alias("ns"))), "sweep")
+        numbered = ranked(slots.withColumnRenamed("v", "at"), ["p", "at"], ["container", "slot"], "r", most, sum(2 * r[3] + r[4] for r in rows)).select("p", F.col("at").alias("slot"), "r", "container")
+        pairs = stored(numbered.join(units(sweep.filter("kind = 'match'")), ["p", "slot", "r"]).select("p", "v", "k", "container"), "placed")
         placed.append(pairs)
         filled = pairs.groupBy("p", "container").agg(F.sum("v").alias("__t"))
         # full containers have nothing to offer any more
         gaps = stored(gaps.join(filled, ["p", "container"], "left").select("p", "container", (F.col("gap") - F.coalesce("__t", F.lit(0))).alias("gap")).filter("gap > 0"), "gaps")
-        left = runs.filter("n > mi").select("p", "v", (F.col("n") - F.col("mi")).alias("n"), (F.col("used") + F.col("mi")).alias("used"))
+        left = sweep.filter("kind = 'left'").select("p", "v", "n", F.col("k").alias("used"))
     out = spark.createDataFrame([], "p int, v long, k long, container long")
     for pairs in placed:
         out = out.unionByName(pairs)

@@ -38,14 +38,25 @@ def test_sweep_takes_successors(spark):
     cases = [([rng.randint(1, 12) for _ in range(rng.randint(0, 15))], [rng.randint(1, 14) for _ in range(rng.randint(0, 15))]) for _ in range(60)]
     items = spark.createDataFrame([(p, v, n, 0) for p, (i, _) in enumerate(cases) for v, n in Counter(i).items()], "p int, v long, n long, used long")
     slots = spark.createDataFrame([(p, v, n) for p, (_, s) in enumerate(cases) for v, n in Counter(s).items()], "p int, v long, ns long")
-    got = {p: ([], []) for p in range(len(cases))}
+    got, left = {p: ([], []) for p in range(len(cases))}, Counter()
     for r in packing.swept(items, slots).collect():
-        got[r["p"]][0].extend([r["v"]] * r["mi"])
-        got[r["p"]][1].extend([r["v"]] * r["ms"])
+        if r["kind"] == "match":
+            assert r["slot"] >= r["v"]
+            got[r["p"]][0].extend([r["v"]] * r["n"])
+            got[r["p"]][1].extend([r["slot"]] * r["n"])
+        else:
+            left[r["p"]] += r["n"]
     for p, (i, s) in enumerate(cases):
-        # the greedy may prefer a slot of equal rank to a later item; sets of items agree, slots pairwise hold them
         took, free = sweep(i, s)
-        assert sorted(got[p][0]) == took and sorted(got[p][1]) == free, p
+        assert sorted(got[p][0]) == took and sorted(got[p][1]) == free and left[p] == len(i) - len(took), p
+
+
+@pytest.mark.parametrize("most", [3, 40])
+def test_ranks_are_alike_in_any_number_of_parts(spark, most):
+    rows = spark.range(200).select(F.when(F.col("id") < 150, 0).otherwise(F.col("id")).alias("g"), "id")
+    want = {r["id"]: r["r"] for r in packing.ranked(rows, ["g"], ["id"], "r", 1000, 200).collect()}
+    got = {r["id"]: r["r"] for r in packing.ranked(rows, ["g"], ["id"], "r", most).collect()}
+    assert got == want and sorted(got[i] for i in range(150)) == list(range(1, 151))
 
 
 @pytest.mark.parametrize("most", [500_000, 7])
