@@ -10,8 +10,9 @@ import unicodedata
 PLAIN_LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ı": "i", "ħ": "h", "ŧ": "t", "ŋ": "n", "ĸ": "k"})
 
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|([nrtbf])|([\"'/\\]))")
-_TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>")
-_LINK = re.compile(r"\]\([^()\s]{0,500}\)")
+#: A tag: short text, and quoted values of any length (an inline image). All scans stop at the next tag or blank, so they are linear.
+_TAG = re.compile(r"""</?[A-Za-z!](?:(?:[^<>"']|"[^"<>]*+"|'[^'<>]*+'){0,300}+>|[^<>]{0,300}>)""")
+_LINK = re.compile(r"\]\([^()\s]*+\)")
 _SURROGATES = re.compile("[\ud800-\udbff][\udc00-\udfff]")
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
 

@@ -41,8 +41,7 @@ def longest(a, b):
 
 
 def found(texts, items, min_words=12):
-    ix = leakage.build_index(items, set(), min_words)
-    return {(n, ix.items[k].id) for n, k in leakage.leaks(texts, ix)}
+    return set(leakage.leaks(texts, leakage.build_index(items, set(), min_words)))
 
 
 def test_dress_does_not_matter():
@@ -89,18 +88,59 @@ def test_very_long_text_and_blocks(spark, monkeypatch):
     long = " ".join(["filler words only"] * 6_500)
     text = long + " " + items[2][1] + " " + long + items[4][1]
     assert found([text, long], items) == {(0, "i2"), (0, "i4")}
-    monkeypatch.setattr(leakage, "ITEMS_PER_PASS", 2)
+    monkeypatch.setattr(leakage, "ITEMS_PER_BLOCK", 2)
     docs = spark.createDataFrame([(1, items[0][1], "x"), (2, None, "x"), (3, items[1][1] + items[3][1], "x"), (1, items[0][1], "x")], "doc_id long, text string, id string")
     ev = spark.createDataFrame([*items, (None, items[0][1]), ("short", "too short"), ("null", None)], "id string, narrative string")
+    assert leakage.with_stock(ev.filter("id is not null and narrative is not null")).filter("size(stock) > 0").count() == 0
     assert sorted(tuple(r) for r in leakage.find_leaks(docs, ev).collect()) == [(1, "i0"), (3, "i1"), (3, "i3")]
     assert leakage.find_leaks(docs.limit(0), ev).count() == 0 and leakage.find_leaks(docs, ev.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_short_and_repeated_words_and_long_insertions(seed, monkeypatch):
+    """One-letter words, words that repeat, added words of hundreds of letters, index entries in small slices."""
+    rng = random.Random(100 + seed)
+    pool = [list("abcdefgh123"), ["a", "b", "aa", "ab"], ["of", "the", "of", "lamp", "lampshade"], WORDS][seed % 4]
+    if seed > 3:
+        monkeypatch.setattr(leakage, "MOST_HITS", 50)
+        monkeypatch.setattr(leakage, "PIECE", 90)
+    items = [(f"i{k}", " ".join(rng.choice(pool) for _ in range(rng.randint(12, 30)))) for k in range(6)]
+    texts = []
+    for _ in range(120):
+        w = rng.choice(items)[1].split()
+        n = rng.randint(9, 20)
+        at = rng.randint(0, max(0, len(w) - n))
+        w = w[at : at + n]
+        for _ in range(rng.choice([0, 1, 1, 1, 2])):
+            k = rng.randrange(len(w))
+            how = rng.choice("rdal")
+            w[k : k + 1] = [] if how == "d" and len(w) > 1 else ["zz"] if how == "r" else [w[k], "q" * 300 if how == "l" else "yy"]
+        texts.append(" ".join([rng.choice(pool) for _ in range(rng.randint(0, 3))] + w + [rng.choice(pool) for _ in range(rng.randint(0, 3))]))
+    want = {(n, i) for n, t in enumerate(texts) for i, x in items if longest(words(x), words(t)) >= 12}
+    assert found(texts, items) == want
+
+
+def test_every_word_and_edit_of_short_items():
+    for w in ("1 2 3 4 5 6 7 8 9 4 2 7".split(), "a b c d e f g h i j k l m n".split()):
+        for k in range(len(w)):
+            for edit in (["x"], [w[k], "https" + "z" * 260]):
+                text = w[:k] + edit + w[k + 1 :]
+                assert bool(found([" ".join(text)], [("i", " ".join(w))])) == (longest(w, text) >= 12), text
+
+
+def test_long_markup_does_not_matter():
+    w = "the caretaker of the old harbor mill saw a torn ribbon near the quartz saddle".split()
+    image = '<img alt="x" src="data:image/png;base64,' + "A" * 5000 + '">'
+    link = "[note](https://example.test/" + "b" * 3000 + ")"
+    assert found([" ".join([*w[:6], image, *w[6:]]), " ".join([*w[:6], link, *w[6:]])], [("i", " ".join(w))]) == {(0, "i"), (1, "i")}
+    fold("<a \"" * 100_000), fold("](" * 100_000), fold("<a '\"" * 50_000)
+
+
 def test_stock_sentences_alone_are_no_leak():
     stock = "kindly confirm by letter that you got this and keep it safe for all of the coming years"
     items = [(k, f"{stock}. {narrative(random.Random(k), 20)}") for k in ("a", "b")]
     ix = leakage.build_index(items, {" ".join(words(stock))}, 12)
-    assert list(leakage.leaks([stock], ix)) == [] and {k for _, k in leakage.leaks([items[0][1]], ix)} == {0}
+    assert list(leakage.leaks([stock], ix)) == [] and {k for _, k in leakage.leaks([items[0][1]], ix)} == {"a"}
 
 
 def test_fold():
