@@ -2,14 +2,17 @@
 
 Per source, text lengths follow a log-normal distribution that a field limit censors from the
 right: a record subject to limit L shows L if its true length is more. Candidate limits are lengths
-that far too many records share; distribution, shares and censoring posteriors are fitted by
-maximum likelihood (EM). A record's log-odds of being cut add up its posterior at the limit, if
-it stands at one, the declared length, and what its ending looks like once footers and markers that
-may follow a cut are taken off. Footers are learned: last lines that many documents share.
+that far too many records share. One maximum likelihood fit (EM) for each source finds the
+distribution, the share of records under each limit, how often records are cut in transfer, and how
+cut and whole records end and declare their length. A record counts as cut if its posterior is over one
+half: that of being censored at the limit it stands at, or cut elsewhere, given its ending. Endings are looked
+at once footers and markers that may follow a cut are taken off. Footers are learned: last lines
+that many different texts share.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -24,20 +27,25 @@ from pyspark.sql.types import BooleanType, LongType, StringType, StructField, St
 from lodestrand.llm.sources import source_name
 from lodestrand.session import arrow_type, spread, stored
 
-#: A last line that at least this share of all documents has, and FOOTER_LEAST of them, is a footer, if it has a word; so there are at most 500.
+#: A last line that at least this share of all documents has, and FOOTER_LEAST different texts, is a footer, if it has a word; so there are at most 500.
 FOOTER_SHARE = 0.002
 FOOTER_LEAST = 4
-FOOTER_CHARS = 120
 #: Characters in which an ending's marker, open mark-up or address is looked for.
 TAIL = 500
-#: Lengths counted one by one; longer ones in bins of 1 %.
-EXACT_LENGTHS = 1 << 16
-
-#: Log-odds of the kinds of ending, of a declared length above the real one, and of any record at first.
-ENDINGS = {"open": 7.0, "unfinished": 6.0, "marked": 8.0, "apart": -2.0, "whole": -9.0, "blank": -12.0}
-DECLARED = 6.0
-PRIOR = -2.5
-LIMIT_RANGE = (-1.0, 5.0)
+#: Least records of a candidate limit, and deviations by which they exceed what lengths about it lead to expect.
+SPIKE_LEAST = 5
+SPIKE_SIGMAS = 5.0
+
+KINDS = ("open", "unfinished", "marked", "apart", "whole", "blank")
+#: What is presumed before any record is seen: how cut and whole records end, declare more than they have, and what share is cut in transfer.
+#: It is worth PRIOR_RECORDS records, for endings and the share also PRIOR_SHARE times the source's: endings
+#: alone can't tell a source that cuts many records from one whose whole records end that way.
+CUT_ENDS = (0.25, 0.60, 0.13, 0.015, 0.004, 0.001)
+WHOLE_ENDS = (0.002, 0.004, 0.001, 0.10, 0.873, 0.02)
+DECLARED = (0.15, 0.002)
+CUT_SHARE = 0.08
+PRIOR_RECORDS = 50.0
+PRIOR_SHARE = 3.0
 
 # --- endings -----------------------------------------------------------------------------------
 
@@ -60,6 +68,10 @@ def shape(line: str) -> str:
     return _DIGITS.sub("0", line.strip())
 
 
+def shape_digest(line: str) -> str:
+    return hashlib.md5(shape(line).encode("utf-8", "surrogatepass")).hexdigest()
+
+
 _JSON_START = re.compile(r"(?m)^(?=\{|\[\s*[\{\[\"\d])")
 _JSON_TOKEN = re.compile(r"\\.|[\"{}\[\]]", re.DOTALL)
 
@@ -82,7 +94,7 @@ def _open_json(text: str) -> bool:
 
 
 def ending(text: str | None, footers: frozenset[str]) -> tuple[str, int]:
-    """(kind of ending, length of the text before footers and markers)."""
+    """(kind of ending, length of the text before footers and markers). ``footers`` are digests of shapes of lines."""
     rest = (text or "").rstrip()
     if not rest:
         return "blank", 0
@@ -90,13 +102,13 @@ def ending(text: str | None, footers: frozenset[str]) -> tuple[str, int]:
     for _ in range(4):
         at = rest.rfind("\n") + 1
         line = rest[at:].strip()
-        if at and line and (shape(line) in footers or _FOOTER.fullmatch(line)):
+        if at and line and (shape_digest(line) in footers or _FOOTER.fullmatch(line)):
             rest, dropped = rest[:at].rstrip(), True
             if not rest:
                 return "whole", 0
         else:
             break
-    if not dropped and "\n" not in rest and (shape(rest) in footers or _FOOTER.fullmatch(rest)):
+    if not dropped and "\n" not in rest and (shape_digest(rest) in footers or _FOOTER.fullmatch(rest)):
         return "whole", len(rest)
     marked = _MARKER.search(rest[-TAIL:])
     if marked and len(rest) > len(marked[0]):
@@ -159,50 +171,72 @@ def _survival(z: np.ndarray) -> np.ndarray:
     return np.array([0.5 * math.erfc(x / math.sqrt(2)) for x in np.atleast_1d(z)])
 
 
-def fit_censored(lengths: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[float, float, dict[int, float]]:
-    """(mu, sigma of the log length, censoring posterior at each candidate limit), by EM.
+def bin_of(length: Column) -> Column:
+    """Number of the length's bin; bins are 10 characters wide at first, then 4 % of the length."""
+    return F.floor(F.log1p(length / F.lit(250.0)) / math.log(1.04)).cast("long")
+
+
+def bin_width(number: np.ndarray) -> np.ndarray:
+    edge = lambda k: np.ceil(250.0 * np.expm1(k * math.log(1.04)) - 1e-9)
+    return np.maximum(edge(number + 1) - edge(number), 1.0)
+
+
+def fit_source(kind: np.ndarray, declared: np.ndarray, at: np.ndarray, bins: np.ndarray, mean: np.ndarray, counts: np.ndarray, rounds: int = 300) -> tuple[float, float, np.ndarray]:
+    """(mu, sigma of the log length, posterior of being cut for each cell), by EM over one source's cells.
 
-    A candidate is a length that at least 5 records have and that stands 5 deviations over the
-    mean of its neighbours. At a limit the posterior weighs the survival function, times the
-    fitted share of records under that limit, against the density.
+    A cell holds ``counts`` records of a kind of ending (place in KINDS), declared length above the real one
+    or not, candidate limit they stand at (``at``, 0 for none), bin and mean length. Classes are whole,
+    cut at the limit and cut in transfer. At a limit the survival function times the fitted share of records
+    under it stands against the density of lengths there.
     """
-    keep = lengths > 0
-    lengths, counts = lengths[keep].astype(float), counts[keep].astype(float)
     n = counts.sum()
-    if n < 20 or len(lengths) < 3:
-        return float("nan"), float("nan"), {}
-    order = np.argsort(lengths)
-    lengths, counts = lengths[order], counts[order]
-    total = np.append(0, np.cumsum(counts))
-    reach = np.maximum(10, 0.04 * lengths)
-    low, high = np.searchsorted(lengths, lengths - reach, "left"), np.searchsorted(lengths, lengths + reach, "right")
-    around = (total[high] - total[low] - counts) / (2 * reach)
-    spikes = np.flatnonzero((counts >= 5) & (counts > around + 5 * np.sqrt(around + 0.25)) & (lengths < EXACT_LENGTHS))
-    x = np.log(lengths)
-    mu, sigma = float((counts * x).sum() / n), 0.0
-    sigma = max(0.05, math.sqrt(float((counts * (x - mu) ** 2).sum() / n)))
-    at = x[spikes]
-    posterior = np.full(len(spikes), 0.5)
+    x = np.log(np.maximum(mean, 1.0))
+    sized = (mean > 0) & (kind != KINDS.index("blank"))
+    m = max(float(counts[sized].sum()), 1.0)
+    mu = float((counts * x)[sized].sum() / m)
+    sigma = max(0.05, math.sqrt(float((counts * (x - mu) ** 2)[sized].sum() / m)))
+    limits, of = np.unique(at, return_inverse=True)
+    has = at > 0
+    log_limit = np.log(np.maximum(limits.astype(float), 1.0))
+    # records of the limit's bin that stand at no limit, a character
+    number = np.array([bins[at == v][0] if v else 0 for v in limits])
+    around = np.array([counts[(bins == k) & ~has].sum() for k in number]) / bin_width(number) / n
+    cut_ends, whole_ends, share_cut, said = np.array(CUT_ENDS), np.array(WHOLE_ENDS), CUT_SHARE, np.array(DECLARED)
+    share = np.full(len(limits), 0.5)
+    r = np.zeros(len(counts))
     for _ in range(rounds):
-        z = (at - mu) / sigma
+        z = (log_limit - mu) / sigma
         beyond = np.maximum(_survival(z), 1e-12)
-        # share of the records of at least this length that the limit cuts
-        share = np.clip(posterior * counts[spikes] / np.maximum(beyond * n, 1e-9), 1e-6, 1.0)
-        density = np.maximum(_phi(z) / sigma / lengths[spikes], np.maximum(around[spikes] / n, 1e-12))
-        moved = share * beyond / (share * beyond + density)
-        cut = np.zeros(len(x))
-        cut[spikes] = counts[spikes] * moved
+        density = np.maximum(np.maximum(_phi(z) / sigma / np.maximum(limits, 1), around), 1e-12)
+        q = np.where(limits > 0, share * beyond / (share * beyond + density), 0.0)[of]
+        cut = cut_ends[kind] * np.where(declared, said[0], 1 - said[0])
+        whole = whole_ends[kind] * np.where(declared, said[1], 1 - said[1])
+        parts = np.stack([q * cut, (1 - q) * share_cut * cut, (1 - q) * (1 - share_cut) * whole])
+        at_limit, in_transfer, _ = parts / parts.sum(0)
+        moved = at_limit + in_transfer
+        change = float(np.abs(moved - r).max()) if len(r) else 0.0
+        r = moved
+        cut_n, whole_n = counts * r, counts * (1 - r)
+        cut_ends, whole_ends = (
+            (np.bincount(kind, w, len(KINDS)) + (prior := PRIOR_RECORDS + PRIOR_SHARE * w.sum()) * np.array(told)) / (w.sum() + prior) for w, told in ((cut_n, CUT_ENDS), (whole_n, WHOLE_ENDS))
+        )
+        said = np.array([((w * declared).sum() + PRIOR_RECORDS * d) / (w.sum() + PRIOR_RECORDS) for w, d in zip((cut_n, whole_n), DECLARED)])
+        free_n = (counts * (1 - at_limit)).sum()
+        prior = PRIOR_RECORDS + PRIOR_SHARE * free_n
+        share_cut = ((counts * in_transfer).sum() + prior * CUT_SHARE) / (free_n + prior)
+        censored = np.bincount(of, counts * at_limit, len(limits))
+        share = np.clip(censored / np.maximum(beyond * n, 1e-9), 1e-6, 1.0)
+        # moments of the true lengths: those at a limit lie beyond it
         ratio = _phi(z) / beyond
-        first, second = mu + sigma * ratio, mu**2 + sigma**2 + sigma * ratio * (at + mu)
-        whole = counts - cut
-        new_mu = float((whole * x).sum() + (cut[spikes] * first).sum()) / n
-        new_var = float((whole * x * x).sum() + (cut[spikes] * second).sum()) / n - new_mu**2
-        new_sigma = max(0.05, math.sqrt(max(new_var, 0)))
-        still = abs(new_mu - mu) + abs(new_sigma - sigma) + (float(np.abs(moved - posterior).max()) if len(spikes) else 0)
-        mu, sigma, posterior = new_mu, new_sigma, moved
-        if still < 1e-7:
+        first, second = mu + sigma * ratio, mu**2 + sigma**2 + sigma * ratio * (log_limit + mu)
+        free = np.where(sized, counts * (1 - at_limit), 0.0)
+        total = max(float(free.sum() + censored.sum()), 1e-9)
+        new_mu = float((free * x).sum() + (censored * first).sum()) / total
+        new_var = float((free * x * x).sum() + (censored * second).sum()) / total - new_mu**2
+        mu, sigma = new_mu, max(0.05, math.sqrt(max(new_var, 0.0)))
+        if change < 1e-6:
             break
-    return mu, sigma, {int(lengths[s]): float(p) for s, p in zip(spikes, posterior)}
+    return mu, sigma, np.where(kind == KINDS.index("blank"), 0.0, r)
 
 
 # --- Spark -----------------------------------------------------------------------------------------
@@ -211,13 +245,15 @@ EVIDENCE = StructType([StructField("source", StringType()), StructField("kind",
 
 
 def learned_footers(documents: DataFrame, text: str = "text") -> frozenset[str]:
-    """Shapes of last lines that many documents end with, from all documents."""
+    """Digests of the shapes of last lines that many different texts end with, from all documents; copies of a text count once."""
     whole = F.rtrim(F.col(text), F.lit(" \t\n\r\f"))
     line = F.trim(F.substring_index(whole, "\n", -1))
-    last = documents.select(F.when(F.length(line).between(1, FOOTER_CHARS), F.regexp_replace(line, "[0-9]+", "0")).alias("line")).filter(F.col("line").rlike(r"\p{L}{3}"))
+    last = documents.select(F.xxhash64(whole).alias("of"), line.alias("line")).filter(F.col("line").rlike(r"\p{L}{3}"))
+    shapes = last.select("of", F.md5(F.regexp_replace("line", "[0-9]+", "0").cast("binary")).alias("shape")).groupBy("shape", "of").agg(F.count("*").alias("k"))
     n = documents.count()
     least = max(FOOTER_LEAST, math.ceil(FOOTER_SHARE * n))
-    return frozenset(r[0] for r in last.groupBy("line").count().filter(F.col("count") >= least).collect())
+    many = shapes.groupBy("shape").agg(F.count("*").alias("texts"), F.sum("k").alias("n")).filter((F.col("n") >= least) & (F.col("texts") >= FOOTER_LEAST))
+    return frozenset(r[0] for r in many.select("shape").collect())
 
 
 def evidence(documents: DataFrame, footers: frozenset[str], doc_id: str = "doc_id", text: str = "text", source: str = "source", declared: str = "n_chars") -> DataFrame:
@@ -239,40 +275,42 @@ def evidence(documents: DataFrame, footers: frozenset[str], doc_id: str = "doc_i
     return spread(documents.select(doc_id, text, source_name(F.col(source)).alias("source"), F.col(declared).cast("long").alias("declared"))).mapInArrow(look, out)
 
 
-def _binned(length: Column) -> Column:
-    step = F.floor(F.log(length.cast("double")) / math.log(1.01))
-    return F.when(length < EXACT_LENGTHS, length).otherwise(F.ceil(F.exp(step * math.log(1.01))).cast("long"))
+def candidate_limits(shown: DataFrame) -> DataFrame:
+    """(source, rest) of lengths, before footers and markers, that far more records of a source share than lengths about them."""
+    lengths = shown.filter("rest > 0").groupBy("source", "rest").agg(F.count("*").alias("n")).withColumn("bin", bin_of(F.col("rest")))
+    about = lengths.groupBy("source", "bin").agg(F.sum("n").alias("total"))
+    edge = lambda k: F.ceil(250.0 * F.expm1(k * math.log(1.04)) - 1e-9)
+    width = F.greatest(edge(F.col("bin") + 1) - edge(F.col("bin")), F.lit(2))
+    around = (F.col("total") - F.col("n")) / (width - 1)
+    many = lengths.filter(F.col("n") >= SPIKE_LEAST).join(about, ["source", "bin"])
+    return many.filter(F.col("n") > around + SPIKE_SIGMAS * F.sqrt(around + 0.25)).select("source", "rest", F.col("rest").alias("at"))
 
 
-def length_limits(shown: DataFrame) -> DataFrame:
-    """(source, at, posterior, mu, sigma) of each candidate limit of each source.
+def fitted(shown: DataFrame) -> DataFrame:
+    """(source, kind, declared, at, posterior, mu, sigma) of each kind of record of each source; ``shown`` has ``at``, 0 for none.
 
-    Lengths are those before footers and markers; a source's histogram, of a bounded number of
-    bins, is all that is fitted in one task.
+    A source's cells are of six kinds, a bounded number of bins, and its limits, whatever the number of its records.
     """
-    bins = shown.select("source", _binned(F.col("rest")).alias("length")).groupBy("source", "length").agg(F.count("*").alias("n"))
+    cells = shown.withColumn("bin", bin_of(F.col("rest"))).groupBy("source", "kind", "declared", "at", "bin").agg(F.count("*").alias("n"), F.sum("rest").alias("total"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        mu, sigma, limits = fit_censored(pdf["length"].to_numpy(), pdf["n"].to_numpy())
-        return pd.DataFrame({"source": pdf["source"].iloc[0], "at": list(limits), "posterior": list(limits.values()), "mu": mu, "sigma": sigma}, columns=["source", "at", "posterior", "mu", "sigma"])
+        place = {k: i for i, k in enumerate(KINDS)}
+        counts = pdf["n"].to_numpy().astype(float)
+        mu, sigma, r = fit_source(pdf["kind"].map(place).to_numpy(), pdf["declared"].to_numpy().astype(bool), pdf["at"].to_numpy(), pdf["bin"].to_numpy(), pdf["total"].to_numpy() / counts, counts)
+        return pdf[["source", "kind", "declared", "at"]].assign(posterior=r, mu=mu, sigma=sigma).drop_duplicates(["kind", "declared", "at"])
 
-    return bins.groupBy("source").applyInPandas(fit, "source string, at long, posterior double, mu double, sigma double")
+    return cells.groupBy("source").applyInPandas(fit, "source string, kind string, declared boolean, at long, posterior double, mu double, sigma double")
 
 
 def scored(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, kind, log_odds, cut) of every document.
+    """(doc_id, source, kind, posterior, cut) of every document.
 
-    Null and blank texts are never cut. A source of fewer than 20 documents has no fitted limit;
-    its documents are judged by ending and declared length alone.
+    Null and blank texts are never cut. A source of few documents is judged by what is presumed (CUT_ENDS and so on) more than by its own.
     """
     shown = stored(evidence(documents, learned_footers(documents)), "endings")
-    limits = length_limits(shown)
-    joined = shown.join(limits.select("source", F.col("at").alias("rest"), "posterior"), ["source", "rest"], "left")
-    p = F.least(F.greatest("posterior", F.lit(1e-9)), F.lit(1 - 1e-9))
-    at_limit = F.coalesce(F.least(F.greatest(F.log(p / (1 - p)), F.lit(LIMIT_RANGE[0])), F.lit(LIMIT_RANGE[1])), F.lit(0.0))
-    by_ending = F.coalesce(*[F.when(F.col("kind") == k, F.lit(w)) for k, w in ENDINGS.items()])
-    odds = F.lit(PRIOR) + by_ending + F.when(F.col("declared"), F.lit(DECLARED)).otherwise(0.0) + at_limit
-    return joined.select("doc_id", "source", "kind", odds.alias("log_odds"), (odds > 0).alias("cut"))
+    placed = shown.join(candidate_limits(shown), ["source", "rest"], "left").withColumn("at", F.coalesce("at", F.lit(0).cast("long")))
+    posterior = fitted(placed).select("source", "kind", "declared", "at", "posterior")
+    return placed.join(posterior, ["source", "kind", "declared", "at"], "left").select("doc_id", "source", "kind", "posterior", (F.col("posterior") > 0.5).alias("cut"))
 
 
 def truncated(documents: DataFrame) -> DataFrame:

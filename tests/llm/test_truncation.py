@@ -9,7 +9,7 @@ import pytest
 
 from lodestrand.llm import truncation as t
 
-FOOTERS = frozenset({"Exported from the store", "Internal use only"})
+FOOTERS = frozenset(map(t.shape_digest, ("Exported from the store", "Internal use only")))
 
 
 @pytest.mark.parametrize(
@@ -25,17 +25,56 @@ def test_endings(text, kind):
     assert t.ending(text, FOOTERS)[0] == kind
 
 
+def cells(lengths, kinds, limit=0, declared=0.0):
+    """One cell a length, kind and place, as the fit takes them."""
+    bins = np.floor(np.log1p(lengths / 250) / np.log(1.04)).astype(int)
+    said = np.zeros(len(lengths), bool) | (np.arange(len(lengths)) < declared * len(lengths))
+    rows, counts = np.unique(np.stack([kinds, said, np.where(lengths == limit, limit, 0), bins, lengths]), axis=1, return_counts=True)
+    return rows[0], rows[1].astype(bool), rows[2], rows[3], rows[4].astype(float), counts.astype(float)
+
+
 def test_fit_recovers_distribution_and_limit():
     rng = np.random.default_rng(1)
     x = np.exp(rng.normal(6.2, 0.7, 20_000))
-    under = rng.random(20_000) < 0.3
-    y = np.where(under & (x > 400), 400, x).astype(int)
-    lengths, counts = np.unique(y, return_counts=True)
-    mu, sigma, limits = t.fit_censored(lengths, counts)
-    assert abs(mu - 6.2) < 0.05 and abs(sigma - 0.7) < 0.05 and set(limits) == {400} and limits[400] > 0.95
-    whole = np.unique(x.astype(int), return_counts=True)
-    assert t.fit_censored(*whole)[2] == {}
-    assert t.fit_censored(np.array([]), np.array([]))[2] == {} and t.fit_censored(np.array([5]), np.array([100]))[2] == {}
+    cut = (rng.random(20_000) < 0.3) & (x > 400)
+    lengths = np.where(cut, 400, x).astype(int)
+    # endings say little here: nearly all are of the one kind that may be either
+    kinds = np.where(rng.random(20_000) < 0.9, t.KINDS.index("apart"), t.KINDS.index("whole"))
+    args = cells(lengths, kinds, 400)
+    mu, sigma, r = t.fit_source(*args)
+    at = (args[2] == 400) & (args[0] == t.KINDS.index("apart"))
+    assert abs(mu - 6.2) < 0.05 and abs(sigma - 0.7) < 0.05 and r[at].min() > 0.9 and r[(args[2] == 0) & (args[0] == t.KINDS.index("apart"))].max() < 0.5
+
+
+def test_posterior_at_the_limit_carries_the_score():
+    """The same ending is cut at a limit and whole elsewhere; a whole ending is cut at a limit if more was declared."""
+    rng = np.random.default_rng(2)
+    lengths = np.append(rng.integers(50, 900, 3000), np.full(600, 500))
+    apart, whole = t.KINDS.index("apart"), t.KINDS.index("whole")
+    kinds = np.append(np.where(rng.random(3000) < 0.1, apart, whole), np.where(np.arange(600) < 500, t.KINDS.index("unfinished"), np.where(np.arange(600) < 550, apart, whole)))
+    bins = np.floor(np.log1p(lengths / 250) / np.log(1.04)).astype(int)
+    said = np.append(np.zeros(3000, bool), np.arange(600) % 2 == 0)
+    rows, counts = np.unique(np.stack([kinds, said, np.where(lengths == 500, 500, 0), bins, lengths]), axis=1, return_counts=True)
+    _, _, r = t.fit_source(rows[0], rows[1].astype(bool), rows[2], rows[3], rows[4].astype(float), counts.astype(float))
+    of = lambda k, d, a: r[(rows[0] == k) & (rows[1] == d) & (rows[2] == a)].max()
+    assert of(apart, 0, 500) > 0.5 > of(apart, 0, 0) and of(whole, 1, 500) > 0.5 > of(whole, 0, 0)
+
+
+def test_endings_are_fitted_by_source():
+    """Where most complete records end without a full stop, such an ending says less."""
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(50, 900, 4000)
+    unfinished, whole = t.KINDS.index("unfinished"), t.KINDS.index("whole")
+    few = t.fit_source(*cells(lengths, np.where(rng.random(4000) < 0.05, unfinished, whole)))
+    assert few[2].max() > 0.5
+    assert t.fit_source(*[a[:0] if i < 5 else a[:0] for i, a in enumerate(cells(lengths[:1], np.array([whole])))])[2].size == 0
+
+
+def test_limits_of_any_length(spark):
+    rng = np.random.default_rng(4)
+    rows = [("s", int(v)) for v in rng.integers(1000, 300_000, 3000)] + [("s", 100_000)] * 40 + [("s", 70_000)] * 30
+    found = {r["at"] for r in t.candidate_limits(spark.createDataFrame(rows, "source string, rest long")).collect()}
+    assert found == {100_000, 70_000}
 
 
 def documents(rng, n):
