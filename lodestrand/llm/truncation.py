@@ -241,7 +241,7 @@ def fit_source(kind: np.ndarray, declared: np.ndarray, at: np.ndarray, bins: np.
 
 # --- Spark -----------------------------------------------------------------------------------------
 
-EVIDENCE = StructType([StructField("source", StringType()), StructField("kind", StringType()), StructField("chars", LongType()), StructField("rest", LongType()), StructField("declared", BooleanType())])
+EVIDENCE = StructType([StructField("source", StringType()), StructField("kind", StringType()), StructField("chars", LongType()), StructField("rest", LongType()), StructField("declared", BooleanType()), StructField("of", LongType())])
 
 
 def learned_footers(documents: DataFrame, text: str = "text") -> frozenset[str]:
@@ -257,7 +257,7 @@ def learned_footers(documents: DataFrame, text: str = "text") -> frozenset[str]:
 
 
 def evidence(documents: DataFrame, footers: frozenset[str], doc_id: str = "doc_id", text: str = "text", source: str = "source", declared: str = "n_chars") -> DataFrame:
-    """(doc_id, source, kind, chars, rest, declared): what each record shows."""
+    """(doc_id, source, kind, chars, rest, declared, of): what each record shows; ``of`` is the text's hash."""
     known = documents.sparkSession.sparkContext.broadcast(footers)
     id_type = arrow_type(documents, doc_id)
     out = StructType([StructField("doc_id", documents.schema[doc_id].dataType), *EVIDENCE])
@@ -268,16 +268,17 @@ def evidence(documents: DataFrame, footers: frozenset[str], doc_id: str = "doc_i
             ends = [ending(t, known.value) for t in texts]
             short = [s is not None and t is not None and s > len(t) and s not in (len(t.encode("utf-8", "replace")), len(t) + t.count("\n") - t.count("\r\n")) for t, s in zip(texts, said)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(id_type), batch.column(2).cast(pa.string()), pa.array([e[0] for e in ends], pa.string()), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([e[1] for e in ends], pa.int64()), pa.array(short, pa.bool_())],
+                [batch.column(0).cast(id_type), batch.column(2).cast(pa.string()), pa.array([e[0] for e in ends], pa.string()), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([e[1] for e in ends], pa.int64()), pa.array(short, pa.bool_()), batch.column(4).cast(pa.int64())],
                 ["doc_id", *EVIDENCE.names],
             )
 
-    return spread(documents.select(doc_id, text, source_name(F.col(source)).alias("source"), F.col(declared).cast("long").alias("declared"))).mapInArrow(look, out)
+    return spread(documents.select(doc_id, text, source_name(F.col(source)).alias("source"), F.col(declared).cast("long").alias("declared"), F.xxhash64(text).alias("of"))).mapInArrow(look, out)
 
 
 def candidate_limits(shown: DataFrame) -> DataFrame:
-    """(source, rest) of lengths, before footers and markers, that far more records of a source share than lengths about them."""
-    lengths = shown.filter("rest > 0").groupBy("source", "rest").agg(F.count("*").alias("n")).withColumn("bin", bin_of(F.col("rest")))
+    """(source, rest) of lengths, before footers and markers, that far more texts of a source share than lengths about them; copies count once."""
+    texts = shown.filter("rest > 0").groupBy("source", "rest", "of").agg(F.lit(1).alias("one"))
+    lengths = texts.groupBy("source", "rest").agg(F.count("*").alias("n")).withColumn("bin", bin_of(F.col("rest")))
     about = lengths.groupBy("source", "bin").agg(F.sum("n").alias("total"))
     edge = lambda k: F.ceil(250.0 * F.expm1(k * math.log(1.04)) - 1e-9)
     width = F.greatest(edge(F.col("bin") + 1) - edge(F.col("bin")), F.lit(2))

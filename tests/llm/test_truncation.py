@@ -73,7 +73,8 @@ def test_endings_are_fitted_by_source():
 def test_limits_of_any_length(spark):
     rng = np.random.default_rng(4)
     rows = [("s", int(v)) for v in rng.integers(1000, 300_000, 3000)] + [("s", 100_000)] * 40 + [("s", 70_000)] * 30
-    found = {r["at"] for r in t.candidate_limits(spark.createDataFrame(rows, "source string, rest long")).collect()}
+    rows = [(*r, i) for i, r in enumerate(rows)] + [("s", 50_000, -1)] * 40
+    found = {r["at"] for r in t.candidate_limits(spark.createDataFrame(rows, "source string, rest long, of long")).collect()}
     assert found == {100_000, 70_000}
 
 
