@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions.canon import column_address, json_canonical
+from lodestrand.functions.rawjson import list_items
 from lodestrand.operators.drift import version_order
 from lodestrand.operators.nested import usable
+from lodestrand.session import spread
 
 
 def version_rows(captures: DataFrame) -> DataFrame:
@@ -22,6 +28,24 @@ def listing(tools: Column) -> Column:
     return F.when(F.ltrim(tools).startswith("["), tools).otherwise(F.get_json_object(tools, "$.tools"))
 
 
+def tool_texts(captures: DataFrame) -> DataFrame:
+    """(package, version, tool): every tool of the usable captures as it is spelled."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for package, version, text in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    json.loads(text)
+                    out += [(package, version, t) for t in list_items(text, "tools")[0]]
+                except (ValueError, RecursionError):
+                    continue
+            columns = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["package", "version", "tool"])
+
+    return spread(usable(captures).select("package", "version", "tools")).mapInArrow(split, "package string, version string, tool string")
+
+
 def tool_rows(versions: DataFrame) -> DataFrame:
     """(package, version, name, addr, description, schema_addr) of each tool; of one name the first in text order counts."""
     items = F.from_json(listing(F.col("tools")), "array<string>")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,18 +27,10 @@ def lexical_cosine(spark: SparkSession, d: str) -> DataFrame:
     return found.select("item_id", "record_id", F.round("score", 4).alias("score"))
 
 
-#: Copies are made on the driver; the items are few at every scale.
-MOST_PLANTED = 10_000
-
-
 def _planted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The evaluation items, few at any scale, and copies of them under each transformation."""
+    """The evaluation items and copies of them under each transformation."""
     items = _items(spark, d)
-    if items.count() > MOST_PLANTED:
-        raise ValueError(f"copies are planted of at most {MOST_PLANTED} items")
-    rows = [(r["item_id"], json.loads(r["payload"])) for r in items.orderBy("item_id").collect()]
-    made = variants.planted(rows)
-    corpus = spark.createDataFrame(made or [("", "{}", "unrelated", None)], "record_id string, payload string, relation string, leak_of string").withColumn("raw", F.col("payload"))
+    corpus = stored(variants.planted(items).withColumn("raw", F.col("payload")), "planted")
     return contamination.addressed(items), contamination.addressed(corpus)
 
 
@@ -169,9 +159,10 @@ def spread_versions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relation_conformance(spark: SparkSession, d: str) -> DataFrame:
-    """Declared against observed stability of a record under twelve variants, for both relations."""
-    sample = {"name": "look_up", "description": "Finds José's claim.\nReturns one record.", "inputSchema": {"type": "object", "properties": {"n": {"type": "integer", "maximum": 100}}, "required": ["n"]}}
-    return variants.conformance(spark, [sample])
+    """Declared against observed stability of every distinct tool of the usable captures under twelve variants, for both relations."""
+    tools = releases.tool_texts(table(spark, d, "captures")).select("tool").distinct()
+    records = tools.select(F.sha2("tool", 256).alias("record_id"), F.col("tool").alias("payload"))
+    return variants.conformance_summary(variants.conformance(records))
 
 
 def relation_bakeoff(spark: SparkSession, d: str) -> DataFrame:

@@ -170,15 +170,30 @@ def test_ed25519_vector():
 def test_relation_suites(spark):
     s = {r["identity"]: (r["correct"], r["false_blocks"], r["false_accepts"], r["refused"]) for r in variants.relation_scores(variants.compare_relations(spark)).collect()}
     assert s == {"raw_bytes": (5, 4, 0, 0), "naive_canonical": (6, 1, 2, 0), "strict": (8, 1, 0, 0), "eval": (8, 0, 1, 0), "policy": (9, 0, 0, 0), "integral_safe": (7, 0, 1, 1)}
-    rows = variants.conformance(spark, [{"name": "é\na", "n": 1, "b": 2, "c": 3, "d": 4}])
-    assert rows.filter("not ok").count() == 0 and variants.conformance_summary(rows).collect()[0]["n_informative"] == 10
+    texts = [(1, json.dumps([{"name": "é\na", "n": 1, "b": 2, "c": 3, "d": 4}])), (2, '{"n": 1.50, "m": {}, "k": [], "é": "x"}'), (3, "nope"), (4, None), (5, '{"name": "z"}'), (6, "[]")]
+    rows = variants.conformance(spark.createDataFrame(texts, "record_id int, payload string"))
+    assert rows.filter("not ok").count() == 0 and rows.select("record_id").distinct().count() == 4
+    of_one = {(r["variant"], r["relation"]): r for r in variants.conformance_summary(rows.filter("record_id = 1")).collect()}
+    assert len(of_one) == 24 and sum(r["n_informative"] for r in of_one.values()) == 20 and sum(r["byte_false_alarms"] for (_, rel), r in of_one.items() if rel == "strict") == 3
+
+
+def test_variants_keep_what_they_do_not_mean_to_change():
+    text = '{"a": 1.50, "b": [1, {"c": "x\\u00e9", "name": "n"}], "d": {}, "e": -2e5}'
+    for v in variants.VARIANTS:
+        json.loads(variants.varied(text, v.name))
+    assert variants.varied(text, "key_reorder") == '{"e": -2e5, "d": {}, "b": [1, {"name": "n", "c": "x\\u00e9"}], "a": 1.50}'
+    assert variants.varied(text, "int_to_float") == '{"a": 1.50, "b": [1.0, {"c": "x\\u00e9", "name": "n"}], "d": {}, "e": -2e5}'
+    assert variants.varied('{"name": "n"}', "field_removed") == '{"name": "n"}' and json.loads(variants.varied('[{"name": "n", "x": 1}]', "field_removed")) == [{"name": "n"}]
+    assert json.loads(variants.varied(text, "field_removed")) == {k: v for k, v in json.loads(text).items() if k != "a"}
+    assert variants.varied("{}", "element_added") == '{"further": true}' and variants.varied("[1]", "element_added") == '[1, {"name": "further"}]'
 
 
 def test_contamination_levels(spark):
     items = [(f"e{i}", {"id": f"e{i}", "text": f"the claimant José number {i} reports water in room {i * 7}, invoice {i}", "n": i}) for i in range(10)]
-    made = variants.planted(items)
     ev = contamination.addressed(spark.createDataFrame([(i, json.dumps(v, ensure_ascii=False)) for i, v in items], "item_id string, payload string").withColumn("raw", F.col("payload")))
-    co = contamination.addressed(spark.createDataFrame(made, "record_id string, payload string, relation string, leak_of string").withColumn("raw", F.col("payload")))
+    co = contamination.addressed(variants.planted(ev.select("item_id", "payload")).withColumn("raw", F.col("payload")))
+    with pytest.raises(ValueError):
+        variants.planted(ev.limit(0))
     found = contamination.equal_records(ev, co, "byte_addr", "byte").unionByName(contamination.equal_records(ev, co, "eval_addr", "structural"))
     s = {r["method"]: (r["found"], r["missed"], r["false_positives"]) for r in contamination.method_scores(found, co, ["byte", "structural", "lexical"]).collect()}
     assert s == {"byte": (2, 8, 0), "structural": (8, 2, 0), "lexical": (0, 10, 0)}
