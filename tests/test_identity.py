@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.functions import ed25519
-from lodestrand.functions.canon import address, short, text_address
+from lodestrand.functions.canon import address, text_address
 from lodestrand.functions.rawjson import list_items, member_text
 from lodestrand.operators import contamination, delegation, jsondiff, manifest, membership, receipts, releases, variants
 from lodestrand.sources import configs
@@ -54,18 +53,6 @@ def test_manifest_order_scope_and_violations(spark):
     assert {tuple(r)[1:] for r in manifest.member_drift(manifest.members(a), manifest.members(b)).collect()} == {("tools", "b", "removed"), ("tools", "c", "added"), ("corpus", "d1", "changed"), ("corpus", "d2", "removed")}
 
 
-def test_published_addresses(spark):
-    """With DEMO_CONFIG naming the public demo configuration, the addresses published for it."""
-    folder = os.environ.get("DEMO_CONFIG")
-    if not folder:
-        pytest.skip("DEMO_CONFIG is not set")
-    a = configs.configuration(spark, folder, "demo")
-    read = a.filter("component = 'corpus'").select("config_id", "name")
-    r = manifest.manifests(a, "strict", read).collect()[0]
-    want = {"model": "bb7f8909", "prompt": "3d61c95c", "procedure": "b83f38f6", "tools": "d8c41de2", "corpus": "ac168caf", "permissions": "c7e07b60", "eval_set": "cda66f55", "configuration_address": "8cabf767"}
-    assert {k: short(r[k]) for k in want} == want
-
-
 def test_configuration_folder(spark, tmp_path):
     (tmp_path / "corpus").mkdir()
     for name, text in {"agent.json": '{"model": "m"}', "tools.json": '{"tools": [{"name": "a", "n": 1.50}], "hint": 1}', "eval.jsonl": '{"id": "1"}\n\n  {"id": "2"}\n', "corpus/d.md": "x", "prompt.txt": "p"}.items():
