@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrand.functions.canon import EVAL, column_text_address
 from lodestrand.operators import contamination, delegation, manifest, receipts, releases, snapshots, variants
+from lodestrand.plans.identity import _NODES, _delegation_nodes
 from lodestrand.session import spread, stored, table
 
 
@@ -128,19 +130,47 @@ def package_drift(spark: SparkSession, d: str) -> DataFrame:
     return manifest.component_drift(before, after).select("config_id", "component", F.col("before").isNull().alias("appeared"), F.col("after").isNull().alias("vanished"))
 
 
+def _evidence(spark: SparkSession, d: str, states: DataFrame) -> DataFrame:
+    """Evidence for every state: each tool is an outcome, failed without a description; the corpus is the package's documents, scanned for whole narratives by folded text."""
+    tools = table(spark, d, "tool_snapshots").filter("name is not null").groupBy("package", "name", "snap_no").agg(F.max(F.struct("delivered_at", "description")).alias("m")).join(states, ["package", "snap_no"])
+    results = tools.select("config_id", (F.coalesce(F.trim("m.description"), F.lit("")) != "").alias("ok"), F.array("name").alias("used"))
+    scores = receipts.evaluation_scores(results).select("config_id", "passed", "failed", "gate_passed")
+    items = table(spark, d, "eval_items").filter("id is not null and narrative is not null").select(F.col("id").alias("item_id"), column_text_address("narrative", EVAL).alias("addr"))
+    docs = table(spark, d, "documents").filter("package is not null and text is not null").select("package", "doc_id", column_text_address("text", EVAL).alias("addr"))
+    n_eval = table(spark, d, "eval_items").filter("id is not null").agg(F.count_distinct("id").alias("n_eval"))
+    scans = docs.join(items, "addr", "left").groupBy("package").agg(F.count_distinct("doc_id").alias("n_corpus"), F.count("item_id").alias("structural"))
+    n = n_eval.collect()[0][0]
+    rows = states.select("package", "config_id").join(scores, "config_id", "left").join(scans, "package", "left")
+    return rows.select("config_id", "package", "passed", "failed", "gate_passed", F.lit(n).cast("long").alias("n_eval"), F.coalesce("n_corpus", F.lit(0)).alias("n_corpus"), F.coalesce("structural", F.lit(0)).alias("structural"))
+
+
+def _issued(spark: SparkSession, d: str, secret: bytes) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """States, their manifests, and a receipt for each from its evidence."""
+    states, every = _state_manifests(spark, d)
+    every = stored(every.select("config_id", "configuration_address"), "manifests")
+    known = _evidence(spark, d, states).join(every, "config_id")
+    rows = known.select(F.col("config_id").alias("receipt_id"), F.col("package").alias("agent"), F.lit("strict").alias("profile"), "configuration_address", "passed", "failed", "gate_passed", "n_eval", "n_corpus", "structural", F.lit("full").alias("scope"), F.lit("2026-01-01T00:00:00Z").alias("issued_at"))
+    return states, every, stored(receipts.issue(spread(rows), secret), "receipts")
+
+
+#: A key for these queries, which sign nothing that anyone should trust.
+_SECRET = bytes(range(32))
+
+
+def receipts_issue(spark: SparkSession, d: str) -> DataFrame:
+    """The outcome of issuing a receipt for every state of every package."""
+    return _issued(spark, d, _SECRET)[2].select("receipt_id", "status", F.array_join("reasons", "; ").alias("reasons"))
+
+
 def receipts_verify(spark: SparkSession, d: str) -> DataFrame:
     """Receipts issued for every state, presented with the package's next one: what still holds. After a package's last state nothing is presented."""
     from lodestrand.functions import ed25519
 
-    secret = bytes(range(32))
-    states, every = _state_manifests(spark, d)
-    every = stored(every.select("config_id", "configuration_address"), "manifests")
-    evidence = every.join(states, "config_id").select(F.col("config_id").alias("receipt_id"), F.col("package").alias("agent"), F.lit("strict").alias("profile"), "configuration_address", F.lit(20).alias("passed"), F.lit(0).alias("failed"), F.lit(True).alias("gate_passed"), F.lit(20).alias("n_eval"), F.lit(32).alias("n_corpus"), F.lit(0).alias("structural"), F.lit("full").alias("scope"), F.lit("2026-01-01T00:00:00Z").alias("issued_at"))
-    issued = receipts.issue(spread(evidence), secret)
+    states, every, issued = _issued(spark, d, _SECRET)
     following = states.filter("next_id is not null").select(F.col("config_id").alias("receipt_id"), F.col("next_id").alias("config_id"))
-    presented = following.join(every, "config_id").select("receipt_id", "configuration_address", F.lit(None).cast("boolean").alias("inside"))
+    presented = following.join(every, "config_id", "left").select("receipt_id", "configuration_address")
     last = states.filter("next_id is null").select(F.col("config_id").alias("receipt_id"), F.lit("NOT PRESENTED").alias("verdict"), F.lit(False).alias("permitted"), F.lit("nothing").alias("licenses"))
-    return receipts.verify(issued, presented, [ed25519.public_key(secret).hex()]).unionByName(last)
+    return receipts.verify(issued, presented, [ed25519.public_key(_SECRET).hex()]).drop("outside").unionByName(last)
 
 
 def gate_decision(spark: SparkSession, d: str) -> DataFrame:
@@ -171,18 +201,18 @@ def relation_bakeoff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Which delegation graphs may run when every node is permitted: widened authority blocks."""
-    from lodestrand.plans.identity import _delegation_nodes
-
+    """Which delegation graphs may run: suppliers in debt aren't permitted, and widened authority blocks."""
     nodes = _delegation_nodes(spark, d)
-    return delegation.run_admissible(nodes, nodes.select("graph_id", "node", F.lit(True).alias("permitted"))).select("graph_id", "admissible", F.size("blocked").alias("n_blocked"))
+    debts = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), (F.col("s_acctbal") >= 0).alias("paid"))
+    permitted = nodes.select("graph_id", "node").join(debts, "node", "left").select("graph_id", "node", F.coalesce("paid", F.lit(True)).alias("permitted"))
+    return delegation.run_admissible(nodes, permitted).select("graph_id", "admissible", F.size("blocked").alias("n_blocked"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         contamination_lines, lexical_cosine, planted_scores, planted_tau_sweep, consecutive_pairs, release_classes, release_summary, description_rewrites, rewrites_topk, capture_counts,
-        package_manifests, package_drift, receipts_verify, gate_decision, spread_versions, relation_conformance, relation_bakeoff, run_gate,
+        package_manifests, package_drift, receipts_issue, receipts_verify, gate_decision, spread_versions, relation_conformance, relation_bakeoff, run_gate,
     )
 }
 
@@ -205,6 +235,30 @@ vers AS (
   WHERE a.description <> b.description
 )"""
 
+_PLAIN = "replace(replace(nfc_normalize({0}), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+_FOLDED = "regexp_replace(regexp_replace(" + _PLAIN + ", '[\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]+', ' ', 'g'), '^ | $', '', 'g')"
+_STATES = f"""
+listed AS (
+  SELECT package, snap_no FROM tool_snapshots WHERE package IS NOT NULL AND snap_no IS NOT NULL
+  GROUP BY ALL HAVING count(name) > 0 AND NOT bool_or(coalesce(trim(error), '') <> '')
+), states AS (
+  SELECT package, snap_no, package || '@' || snap_no AS config_id, package || '@' || lead(snap_no) OVER (PARTITION BY package ORDER BY snap_no) AS next_id FROM listed
+), latest AS (
+  SELECT * FROM tool_snapshots WHERE name IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY package, name, snap_no ORDER BY delivered_at DESC, description DESC NULLS LAST, input_schema DESC NULLS LAST) = 1
+), sets AS (
+  SELECT s.config_id, list_sort(list([{_PLAIN.format("name")}, coalesce({_PLAIN.format("description")}, '<null>'), coalesce({_PLAIN.format("input_schema")}, '<null>')])) AS tools,
+    count(*) FILTER (coalesce(trim(description), '') <> '') AS passed, count(*) AS n
+  FROM states s JOIN latest l ON l.package = s.package AND l.snap_no = s.snap_no GROUP BY 1
+), scans AS (
+  SELECT package, count(DISTINCT doc_id) AS n_corpus, count(item_id) AS structural FROM (SELECT package, doc_id, {_FOLDED.format("text")} AS t FROM documents WHERE package IS NOT NULL AND text IS NOT NULL) d
+  LEFT JOIN (SELECT id AS item_id, {_FOLDED.format("narrative")} AS t FROM eval_items WHERE id IS NOT NULL AND narrative IS NOT NULL) i USING (t) GROUP BY 1
+), outcomes AS (
+  SELECT s.config_id, s.next_id, coalesce(t.passed >= 0.75 * t.n, false) AS gate, coalesce(c.n_corpus, 0) AS n_corpus, coalesce(c.structural, 0) AS structural,
+    coalesce(t.passed >= 0.75 * t.n, false) AND coalesce(c.n_corpus, 0) > 0 AND coalesce(c.structural, 0) = 0 AND (SELECT count(DISTINCT id) FROM eval_items) > 0 AS approved
+  FROM states s LEFT JOIN sets t USING (config_id) LEFT JOIN scans c ON c.package = s.package
+)"""
+
 SQL = {
     "contamination_lines": f"""
 WITH a AS ({_SENTENCES.format("id", "narrative", "eval_items")}), b AS ({_SENTENCES.format("doc_id", "text", "documents")})
@@ -221,4 +275,20 @@ WITH {_RELEASES}, ranked AS (
 )
 SELECT package, version FROM ranked WHERE n <= 4 OR r IN (0, round_even((n - 1) / 3, 0), round_even(2 * (n - 1) / 3, 0), n - 1)""",
     "capture_counts": "SELECT count(DISTINCT package) AS n_packages, count(DISTINCT (package, version)) AS n_versions, count(*) FILTER (coalesce(trim(error), '') <> '' OR tools IS NULL) AS n_failed, count(raw) AS n_raw, count(*) AS n_rows FROM captures",
+    "package_drift": f"""WITH {_STATES}
+SELECT s.next_id AS config_id, 'tools' AS component, false AS appeared, false AS vanished FROM states s JOIN sets b USING (config_id) JOIN sets a ON a.config_id = s.next_id WHERE a.tools <> b.tools""",
+    "receipts_issue": f"""WITH {_STATES}
+SELECT config_id AS receipt_id, CASE WHEN approved THEN 'APPROVED' ELSE 'REFUSED' END AS status,
+  concat_ws('; ', CASE WHEN NOT gate THEN 'the evaluation gate isn''t passed' END, CASE WHEN n_corpus > 0 AND structural > 0 THEN structural || ' structural matches in the corpus' END,
+    CASE WHEN n_corpus = 0 THEN 'the evaluation items were not compared with a corpus' END) AS reasons FROM outcomes""",
+    "receipts_verify": f"""WITH {_STATES}, told AS (
+  SELECT o.config_id AS receipt_id, CASE WHEN o.next_id IS NULL THEN 'NOT PRESENTED' WHEN NOT o.approved THEN 'BLOCKED (receipt was never approved)' WHEN a.tools = b.tools THEN 'VERIFIED' ELSE 'BLOCKED (configuration drift)' END AS verdict
+  FROM outcomes o LEFT JOIN sets b ON b.config_id = o.config_id LEFT JOIN sets a ON a.config_id = o.next_id
+)
+SELECT receipt_id, verdict, verdict = 'VERIFIED' AS permitted, CASE WHEN verdict = 'VERIFIED' THEN 'the evaluated configuration' ELSE 'nothing' END AS licenses FROM told""",
+    "run_gate": f"""WITH {_NODES}, judged AS (
+  SELECT graph_id, node, len(list_filter(operations, lambda x: NOT list_contains(['1','2','3','4','5'], x))) = 0 AND coalesce(s.s_acctbal >= 0, true) AS ok
+  FROM nodes LEFT JOIN supplier s ON node = 's' || s.s_suppkey
+)
+SELECT graph_id, bool_and(ok) AS admissible, (count(*) FILTER (NOT ok))::INT AS n_blocked FROM judged GROUP BY 1""",
 }

@@ -9,7 +9,7 @@ from lodestrand.operators import receipts
 
 
 def decisions(presented: DataFrame, issued: DataFrame, trusted: list[str] | None = None) -> DataFrame:
-    """(receipt_id, verdict, permitted, licenses) for each row of the stream ``presented``."""
+    """(receipt_id, verdict, permitted, licenses, outside) for each row of the stream ``presented``."""
     return receipts.verify(issued, presented, trusted)
 
 

@@ -41,11 +41,11 @@ def test_stream_of_presented_configurations(spark, tmp_path):
     secret = bytes(32)
     fields = "receipt_id string, agent string, profile string, configuration_address string, passed int, failed int, gate_passed boolean, n_eval int, n_corpus int, structural int, scope string, issued_at string"
     issued = receipts.issue(spark.createDataFrame([("r", "a", "strict", "A", 2, 0, True, 1, 1, 0, "full", "t")], fields), secret)
-    shown = spark.createDataFrame([("r", "A", None), ("r", "B", None)], "receipt_id string, configuration_address string, inside boolean")
+    shown = spark.createDataFrame([("r", "A"), ("r", "B"), ("x", "A")], "receipt_id string, configuration_address string")
     shown.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(shown.schema).parquet(str(tmp_path / "in"))
     gate.to_table(gate.decisions(stream, issued, [ed25519.public_key(secret).hex()]), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    assert sorted(r["verdict"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["BLOCKED (configuration drift)", "VERIFIED"]
+    assert sorted(r["verdict"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["BLOCKED (configuration drift)", "BLOCKED (no receipt)", "VERIFIED"]
 
 
 def test_sinks(spark, tmp_path):

@@ -24,6 +24,7 @@ def snapshot_dir(spark, tmp_path_factory):
     df.withColumn("delivered_at", F.lit("2026-01-01").cast("timestamp_ntz")).select(*[c.split()[0] for c in SNAPSHOTS.split(", ")]).write.parquet(f"{d}/tool_snapshots.parquet")
     docs = [(1, "a", "p"), (2, "b", "p"), (3, "c", "late"), (4, "d", None), (5, None, "p")]
     spark.createDataFrame(docs, "doc_id long, text string, package string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([("i", "no such text")], "id string, narrative string").write.parquet(f"{d}/eval_items.parquet")
     return str(d)
 
 
@@ -45,6 +46,7 @@ def test_drift_and_receipts_over_consecutive_states(spark, snapshot_dir):
     verdicts = {r["receipt_id"]: r["verdict"] for r in entry.queries()["receipts_verify"](spark, snapshot_dir).collect()}
     drifted = "BLOCKED (configuration drift)"
     assert verdicts == {"p@1": drifted, "p@2": drifted, "p@3": "VERIFIED", "p@12": "NOT PRESENTED", "late@2": drifted, "late@3": "NOT PRESENTED", "once@5": "NOT PRESENTED"}
+    assert {r["receipt_id"]: r["status"] for r in entry.queries()["receipts_issue"](spark, snapshot_dir).collect()} == {**dict.fromkeys(("p@1", "p@2", "p@3", "p@12", "late@2", "late@3"), "APPROVED"), "once@5": "REFUSED"}
 
 
 def test_tool_changes_of_every_step(spark, snapshot_dir):
