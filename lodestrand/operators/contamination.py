@@ -22,11 +22,12 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from lodestrand.functions.canon import EVAL, Refused, column_address, json_canonical, json_value
 from lodestrand.session import arrow_type, spread, stored
 
+#: Relations that count as a leak, and thresholds of the sweep (fixed values: published results are told by them).
 LEAK_RELATIONS = ("exact", "serialization", "structural", "paraphrase")
 TAUS = (0.50, 0.60, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95)
 GRAMS = (3, 4, 5)
-#: Items whose vectors are sent to the tasks at once.
-ITEMS_PER_PASS = 2_000
+#: Items whose vectors are gathered and sent to the tasks together; all blocks meet the corpus in the same scan.
+ITEMS_PER_BLOCK = 2_000
 
 
 def flat_text(value: object) -> str:
@@ -164,67 +165,83 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
 def lexical_matches(items: DataFrame, corpus: DataFrame, least: float) -> DataFrame:
     """(method, item_id, record_id, score) of pairs with cosine >= ``least`` > 0, unrounded.
 
-    ``items``: item_id, flat; ``corpus``: record_id, flat. Null and blank texts match nothing.
+    ``items``: item_id, flat; ``corpus``: record_id, flat. Null and blank texts match nothing. A record id with
+    several texts is judged by each of them.
     """
     if least <= 0:
         raise ValueError("all pairs have a cosine of 0 or more; state a threshold above 0")
     spark = corpus.sparkSession
-    corpus = spread(corpus.select("record_id", "flat"))
-    n = items.count() + corpus.count()
+    n_all = items.count()
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "flat").filter("item_id is not null and flat is not null")
+    corpus = spread(corpus.select("record_id", F.md5("flat").alias("digest"), "flat"))
+    n_items = items.count()
+    n = n_all + corpus.count()
     df = stored(document_frequencies(items.select("flat").unionByName(corpus.select("flat"))), "df")
     idf = df.select("gram", (F.log(F.lit(1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    weights = _gram_rows(items.select("item_id", "flat"), "item_id").join(idf, "gram")
-    result = None
-    n_blocks = max(1, -(-(n_items := items.count()) // ITEMS_PER_PASS))
-    for block in range(n_blocks if n_items else 0):
-        rows = weights.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).collect()
-        part = _matches(spark, rows, corpus, idf, least)
-        result = part if result is None else result.unionByName(part)
-    empty = "method string, item_id string, record_id string, score double"
-    return spark.createDataFrame([], empty) if result is None else result
-
-
-def _matches(spark, rows: list, corpus: DataFrame, idf: DataFrame, least: float) -> DataFrame:
-    ids = sorted({r["item_id"] for r in rows})
-    at = {x: i for i, x in enumerate(ids)}
-    grams = {g: i for i, g in enumerate(sorted({r["gram"] for r in rows}))}
-    weight = np.zeros(len(grams))
-    entries = np.array([(grams[r["gram"]], at[r["item_id"]]) for r in rows], np.int64).reshape(-1, 2)
-    values = np.array([r["tf"] * r["idf"] for r in rows])
-    weight[entries[:, 0]] = [r["idf"] for r in rows]
-    values /= np.maximum(np.sqrt(np.bincount(entries[:, 1], values**2, len(ids))), 1e-300)[entries[:, 1]]
-    order = np.argsort(entries[:, 0], kind="stable")
-    first = np.searchsorted(entries[order, 0], np.arange(len(grams) + 1))
-    # by n-gram: the items that have it and their weights
-    sent = spark.sparkContext.broadcast((ids, grams, first, entries[order, 1], values[order], weight))
+    n_blocks = -(-n_items // ITEMS_PER_BLOCK)
+    blocks = [_vectors(spark, items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block), idf) for block in range(n_blocks)]
+    near = stored(_near(corpus, blocks, least), "near")
+    candidates = corpus.join(near.select("record_id", "digest").distinct(), ["record_id", "digest"], "left_semi").dropDuplicates(["record_id", "digest"])
+    keyed = candidates.select(F.struct("record_id", "digest").alias("k"), F.xxhash64("record_id", "digest").alias("h"), "flat")
+    norms = _gram_rows(keyed.select("h", "flat"), "h").join(idf, "gram").groupBy("h").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
+    sized = keyed.join(norms, "h").select("k.record_id", "k.digest", "norm")
+    scored = near.join(sized, ["record_id", "digest"]).select(F.lit("lexical").alias("method"), "item_id", "record_id", (F.col("dot") / F.col("norm")).alias("score"))
+    return scored.filter(F.col("score") >= least).groupBy("method", "item_id", "record_id").agg(F.max("score").alias("score"))
+
+
+def _vectors(spark, items: DataFrame, idf: DataFrame):
+    """One block's items as a broadcast sparse matrix: by n-gram the items that have it and their weights. The n-grams come to the driver as Arrow columns."""
+    rows = [(r["item_id"], r["flat"]) for r in items.collect()]
+    grams = _gram_rows(items, "item_id").select("gram").distinct()
+    known = idf.join(grams, "gram").toArrow()
+    index = {g: i for i, g in enumerate(known.column("gram").to_pylist())}
+    weight = known.column("idf").to_numpy()
+    numbers = GramNumbers(index)
+    gram, owner, value, ids = [], [], [], []
+    for id_, flat in sorted(rows):
+        ix, tf = numbers.counts(flat)
+        if len(ix):
+            v = tf * weight[ix]
+            gram.append(ix)
+            owner.append(np.full(len(ix), len(ids)))
+            value.append(v / np.sqrt((v**2).sum()))
+            ids.append(id_)
+    gram, owner, value = (np.concatenate(x) if x else np.zeros(0) for x in (gram, owner, value))
+    order = np.argsort(gram, kind="stable")
+    first = np.searchsorted(gram[order], np.arange(len(index) + 1))
+    return spark.sparkContext.broadcast((ids, index, first, owner[order].astype(np.int64), value[order], weight))
+
+
+def _near(corpus: DataFrame, blocks: list, least: float) -> DataFrame:
+    """(item_id, record_id, digest, dot) of pairs whose cosine can reach ``least``, by one scan of the corpus."""
     id_type = arrow_type(corpus, "record_id")
-    out = StructType([StructField("item_id", StringType()), corpus.schema["record_id"], StructField("dot", DoubleType())])
+    out = StructType([StructField("item_id", StringType()), corpus.schema["record_id"], StructField("digest", StringType()), StructField("dot", DoubleType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, index, starts, owner, value, w = sent.value
-        numbers = GramNumbers(index)
+        numbers: dict[int, GramNumbers] = {}
         for batch in batches:
-            found: list[tuple[int, int, float]] = []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                ix, tf = numbers.counts(text or "")
-                if not len(ix):
-                    continue
-                v = tf * w[ix]
-                n = starts[ix + 1] - starts[ix]
-                at = np.repeat(starts[ix] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                dots = np.bincount(owner[at], value[at] * np.repeat(v, n), len(names))
-                # the whole norm is at least that over the items' n-grams
-                for j in np.flatnonzero(dots >= (least - 1e-9) * np.sqrt((v**2).sum())):
-                    found.append((int(j), k, float(dots[j])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[f[0]] for f in found], pa.string()), batch.column(0).take(pa.array([f[1] for f in found], pa.int64())).cast(id_type), pa.array([f[2] for f in found], pa.float64())], out.names
-            )
-
-    near = stored(corpus.select("record_id", "flat").mapInArrow(scan, out), "near")
-    candidates = corpus.select("record_id", "flat").join(near.select("record_id").distinct(), "record_id", "left_semi").dropDuplicates(["record_id"])
-    norms = _gram_rows(candidates, "record_id").join(idf, "gram").groupBy("record_id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
-    scored = near.join(norms, "record_id").select(F.lit("lexical").alias("method"), "item_id", "record_id", (F.col("dot") / F.col("norm")).alias("score"))
-    return scored.filter(F.col("score") >= least)
+            texts = batch.column(2).to_pylist()
+            for b, block in enumerate(blocks):
+                names, index, starts, owner, value, w = block.value
+                known = numbers.setdefault(b, GramNumbers(index))
+                found: list[tuple[int, int, float]] = []
+                for k, text in enumerate(texts):
+                    ix, tf = known.counts(text or "")
+                    if not len(ix) or not names:
+                        continue
+                    v = tf * w[ix]
+                    n = starts[ix + 1] - starts[ix]
+                    at = np.repeat(starts[ix] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    dots = np.bincount(owner[at], value[at] * np.repeat(v, n), len(names))
+                    # the whole norm is at least that over the items' n-grams
+                    for j in np.flatnonzero(dots >= (least - 1e-9) * np.sqrt((v**2).sum())):
+                        found.append((int(j), k, float(dots[j])))
+                at = pa.array([f[1] for f in found], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[f[0]] for f in found], pa.string()), batch.column(0).take(at).cast(id_type), batch.column(1).take(at).cast(pa.string()), pa.array([f[2] for f in found], pa.float64())], out.names
+                )
+
+    return corpus.select("record_id", "digest", "flat").mapInArrow(scan, out)
 
 
 # --- scores --------------------------------------------------------------------------------------
@@ -261,10 +278,50 @@ def tau_sweep(scores: DataFrame, corpus: DataFrame, taus: tuple[float, ...] = TA
     return at.groupBy("tau").agg(F.count_if(hit & F.col("leak")).alias("found"), F.count_if(hit & ~F.col("leak")).alias("false_positives"))
 
 
+METHODS = ("byte", "structural", "lexical")
+
+
+def detections(items: DataFrame, corpus: DataFrame, tau: float, backend=lexical_matches) -> DataFrame:
+    """(method, item_id, record_id, score) of all three levels. ``backend`` gives the third: any function (items, corpus, tau) -> (method, item_id, record_id, score)."""
+    levels = [equal_records(items, corpus, "byte_addr", "byte"), equal_records(items, corpus, "eval_addr", "structural"), backend(items, corpus, tau)]
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return stored(out, "detections")
+
+
+def scan_report(items: DataFrame, corpus: DataFrame, tau: float = 0.8, backend=lexical_matches) -> dict[str, DataFrame]:
+    """What a scan says, as tables: ``scores`` by method, ``by_relation`` (method, relation, n) of detections,
+    ``missed`` (method, item_id, record_id, relation) of labelled leaks not found, ``gain`` (structural less byte detections) and ``detections``.
+
+    ``items``: item_id, payload, raw; ``corpus``: record_id, payload, raw and, where known, relation and leak_of. A scan with
+    an empty side is refused: nothing compared with nothing isn't clean. Items without an id are numbered.
+    """
+    numbered = items.withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.concat(F.lit("item-"), F.sha2("payload", 256))))
+    ev, co = addressed(numbered), addressed(_labelled(corpus))
+    if ev.isEmpty() or co.isEmpty():
+        raise ValueError("a scan needs items and a corpus; nothing was compared")
+    found = detections(ev, co, tau, backend)
+    truth = co.select("record_id", "relation", "leak_of")
+    by_relation = found.join(truth, "record_id").groupBy("method", F.coalesce("relation", F.lit("unlabelled")).alias("relation")).agg(F.count("*").alias("n"))
+    leaks = truth.filter(F.col("relation").isin(*LEAK_RELATIONS) & F.col("leak_of").isNotNull()).select(F.explode(F.array(*map(F.lit, METHODS))).alias("method"), F.col("leak_of").alias("item_id"), "record_id", "relation")
+    missed = leaks.join(found.select("method", "item_id", "record_id"), ["method", "item_id", "record_id"], "left_anti")
+    n = lambda m: F.count_if(F.col("method") == m)
+    return {"scores": method_scores(found, co, list(METHODS)), "by_relation": by_relation, "missed": missed, "gain": found.agg((n("structural") - n("byte")).alias("gain")), "detections": found}
+
+
+def _labelled(corpus: DataFrame) -> DataFrame:
+    return corpus.withColumns({c: F.lit(None).cast("string") for c in ("relation", "leak_of") if c not in corpus.columns})
+
+
 def shared_lines(items: DataFrame, corpus: DataFrame, item_id: str, item_text: str, record_id: str, record_text: str, least: int = 20) -> DataFrame:
-    """(item_id, record_id, n_lines): records that have whole sentences or lines of an item, of at least ``least`` characters."""
+    """(item_id, record_id, n_lines): records that have whole sentences or lines of an item, of at least ``least`` characters, that no other item has.
+
+    A stock sentence tells no item from another and would pair every record with every item.
+    """
     cut = lambda df, i, t, out: df.select(F.col(i).alias(out), F.explode(F.array_distinct(F.transform(F.split(t, r"(?<=[.!?;])\s+|\n"), F.trim))).alias("line")).filter(F.char_length("line") >= least)
-    pairs = cut(items, item_id, item_text, "item_id").join(cut(corpus, record_id, record_text, "record_id"), "line")
+    own = cut(items, item_id, item_text, "item_id").groupBy("line").agg(F.min("item_id").alias("item_id"), F.max("item_id").alias("__last")).filter("item_id = __last").drop("__last")
+    pairs = own.join(cut(corpus, record_id, record_text, "record_id"), "line")
     return pairs.groupBy("item_id", "record_id").agg(F.count("*").alias("n_lines"))
 
 

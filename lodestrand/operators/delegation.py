@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.session import stored
+
 
 def widened_authority(nodes: DataFrame, scope: str = "root") -> DataFrame:
     """(graph_id, node, widened) of every node: operations that its superior lacks.
@@ -33,16 +35,18 @@ def undeclared(nodes: DataFrame) -> DataFrame:
 
 
 def depths(nodes: DataFrame) -> DataFrame:
-    """(graph_id, node, depth): least number of delegations from the root, by a recursive query; cycles end at 100."""
-    spark = nodes.sparkSession
-    nodes.filter("is_root").select("graph_id", "node").createOrReplaceTempView("__roots")
-    nodes.select("graph_id", "node", F.explode("delegates_to").alias("child")).createOrReplaceTempView("__edges")
-    return spark.sql("""
-        WITH RECURSIVE walk(graph_id, node, depth) AS (
-          SELECT graph_id, node, 0 FROM __roots
-          UNION ALL
-          SELECT w.graph_id, e.child, w.depth + 1 FROM walk w JOIN __edges e ON w.graph_id = e.graph_id AND w.node = e.node WHERE w.depth < 99
-        ) SELECT graph_id, node, min(depth) AS depth FROM walk GROUP BY graph_id, node""")
+    """(graph_id, node, depth): least number of delegations from the root, of nodes it reaches at any depth.
+
+    A frontier moves on from nodes not seen before, so a shared delegate is met once and a cycle ends.
+    """
+    edges = stored(nodes.select("graph_id", "node", F.explode("delegates_to").alias("child")).distinct(), "edges")
+    frontier = stored(nodes.filter("is_root").select("graph_id", "node").distinct().withColumn("depth", F.lit(0)), "frontier")
+    seen = frontier
+    while not frontier.isEmpty():
+        onward = frontier.join(edges, ["graph_id", "node"]).select("graph_id", F.col("child").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+        frontier = stored(onward.join(seen.select("graph_id", "node"), ["graph_id", "node"], "left_anti"), "frontier")
+        seen = seen.unionByName(frontier)
+    return seen
 
 
 def run_admissible(nodes: DataFrame, permitted: DataFrame, scope: str = "root") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.functions.canon import json_canonical
+
 RELATIONS = ("pin", "any_of", "subset_of")
 #: Components whose members may vary within a set (fixed values).
 SUBSET_COMPONENTS = ("tools", "corpus", "permissions")
@@ -63,6 +65,32 @@ def class_decisions(rules: DataFrame, presented: DataFrame) -> DataFrame:
     )
 
 
+def outside_class(rules: list[tuple[str, str, list[str]]], shown: dict[str, tuple[Column | None, Column | None]]) -> Column:
+    """Sorted array of the components outside one class, as an expression over columns: no row is spread out or gathered.
+
+    ``rules``: (component, relation, members); ``shown``: by component the columns of its address and of its members.
+    """
+    null = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    fails = []
+    for component, relation, members in rules:
+        address, present = (given if given is not None else none for given, none in zip(shown.get(component, (None, None)), null))
+        fails.append(F.when(~satisfied(F.lit(relation), F.array(*map(F.lit, members)), address, present), F.lit(component)))
+    return F.array_sort(F.array_compact(F.array(*fails)))
+
+
+def uncovered_members(declared: DataFrame, exercised: DataFrame) -> DataFrame:
+    """(class_id, component, member): members of rules, a row each, that no evaluated configuration exercised; nothing is gathered by class."""
+    keys = ["class_id", "component", "member"]
+    return declared.select(keys).distinct().join(exercised.select(keys).distinct(), keys, "left_anti")
+
+
+def class_addresses(rules: DataFrame) -> DataFrame:
+    """(class_id, declared, class_address): the canonical declaration of each class and its address; the order of rules and members doesn't matter."""
+    per = rules.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("component", "relation", F.array_sort(_members("members")).alias("members")))).alias("rules"))
+    c = json_canonical(F.to_json(F.struct(F.col("class_id").alias("name"), "rules")))
+    return per.select("class_id", c.alias("c")).select("class_id", F.col("c.canon").alias("declared"), F.col("c.addr").alias("class_address"))
+
+
 def uncovered(rules: DataFrame, exercised: DataFrame) -> DataFrame:
     """(class_id, component, missing): members of rules that no evaluated configuration exercised."""
     seen = exercised.groupBy("class_id", "component").agg(F.collect_set("member").alias("seen"))

@@ -200,8 +200,8 @@ def issue(evidence: DataFrame, secret: bytes, envelopes: DataFrame | None = None
     return told.select("receipt_id", "status", "reasons", "s.*")
 
 
-def verify(receipts: DataFrame, presented: DataFrame, trusted: list[str] | None = None) -> DataFrame:
-    """(receipt_id, verdict, permitted, licenses, outside) of every presented configuration, one without a receipt among them.
+def verify(receipts: DataFrame, presented: DataFrame, trusted: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(receipt_id, *keep, verdict, permitted, licenses, outside) of every presented configuration, one without a receipt among them.
 
     ``presented``: receipt_id, configuration_address, and for envelopes components (addresses by name), members (arrays
     by component) and conditions. Only what the payload says counts, and only if its signature holds; with
@@ -238,7 +238,7 @@ def verify(receipts: DataFrame, presented: DataFrame, trusted: list[str] | None
     )
     permitted = known & ok & approved & holds & (anchored if trusted else F.lit(True))
     licenses = F.when(~permitted, "nothing").when(point, "the evaluated configuration").otherwise("a member of the evaluated class under its declared conditions")
-    return both.select("receipt_id", verdict.alias("verdict"), permitted.alias("permitted"), licenses.alias("licenses"), "outside")
+    return both.select("receipt_id", *(keep or []), verdict.alias("verdict"), permitted.alias("permitted"), licenses.alias("licenses"), "outside")
 
 
 #: What a verification can and can't support, whatever its verdict; the last three are never supported by it.

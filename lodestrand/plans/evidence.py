@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.functions.canon import EVAL, column_text_address
+from lodestrand.functions.canon import EVAL, column_address, column_text_address
 from lodestrand.operators import contamination, delegation, manifest, receipts, releases, snapshots, variants
 from lodestrand.plans.identity import _NODES, _delegation_nodes
 from lodestrand.session import spread, stored, table
@@ -29,26 +29,40 @@ def lexical_cosine(spark: SparkSession, d: str) -> DataFrame:
     return found.select("item_id", "record_id", F.round("score", 4).alias("score"))
 
 
-def _planted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The evaluation items and copies of them under each transformation."""
+def _planted_raw(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     items = _items(spark, d)
-    corpus = stored(variants.planted(items).withColumn("raw", F.col("payload")), "planted")
-    return contamination.addressed(items), contamination.addressed(corpus)
+    return items, stored(variants.planted(items).withColumn("raw", F.col("payload")), "planted")
 
 
 def planted_scores(spark: SparkSession, d: str) -> DataFrame:
     """Recall and precision of the three levels on planted copies."""
-    items, corpus = _planted(spark, d)
-    found = contamination.equal_records(items, corpus, "byte_addr", "byte").unionByName(contamination.equal_records(items, corpus, "eval_addr", "structural")).unionByName(contamination.lexical_matches(items, corpus, 0.8))
-    scores = contamination.method_scores(found, corpus, ["byte", "structural", "lexical"])
+    scores = contamination.scan_report(*_planted_raw(spark, d))["scores"]
     return scores.select("method", "found", "missed", "false_positives", "unlabelled", F.round("recall", 4).alias("recall"), F.round("precision", 4).alias("precision"))
 
 
+def planted_by_relation(spark: SparkSession, d: str) -> DataFrame:
+    """Detections of each level by how the copy was made."""
+    return contamination.scan_report(*_planted_raw(spark, d))["by_relation"]
+
+
+def planted_missed(spark: SparkSession, d: str) -> DataFrame:
+    """Copies that a level doesn't find."""
+    return contamination.scan_report(*_planted_raw(spark, d))["missed"]
+
+
 def planted_tau_sweep(spark: SparkSession, d: str) -> DataFrame:
-    items, corpus = _planted(spark, d)
+    items, corpus = (contamination.addressed(x) for x in _planted_raw(spark, d))
     return contamination.tau_sweep(contamination.lexical_matches(items, corpus, min(contamination.TAUS)), corpus)
 
 
+def narrative_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are an item's narrative whole: by bytes and by folded text."""
+    items = table(spark, d, "eval_items").filter("id is not null").select(F.col("id").alias("item_id"), column_address(F.col("narrative"), "bytes").alias("byte_addr"), column_text_address("narrative", EVAL).alias("eval_addr"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("record_id"), column_address(F.col("text"), "bytes").alias("byte_addr"), column_text_address("text", EVAL).alias("eval_addr"))
+    both = contamination.equal_records(items, docs, "byte_addr", "byte").unionByName(contamination.equal_records(items, docs, "eval_addr", "structural"))
+    return both.select("method", "item_id", "record_id")
+
+
 # --- releases ---------------------------------------------------------------------------------
 
 
@@ -211,7 +225,7 @@ def run_gate(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        contamination_lines, lexical_cosine, planted_scores, planted_tau_sweep, consecutive_pairs, release_classes, release_summary, description_rewrites, rewrites_topk, capture_counts,
+        contamination_lines, lexical_cosine, planted_scores, planted_by_relation, planted_missed, planted_tau_sweep, narrative_copies, consecutive_pairs, release_classes, release_summary, description_rewrites, rewrites_topk, capture_counts,
         package_manifests, package_drift, receipts_issue, receipts_verify, gate_decision, spread_versions, relation_conformance, relation_bakeoff, run_gate,
     )
 }
@@ -262,7 +276,7 @@ listed AS (
 SQL = {
     "contamination_lines": f"""
 WITH a AS ({_SENTENCES.format("id", "narrative", "eval_items")}), b AS ({_SENTENCES.format("doc_id", "text", "documents")})
-SELECT a.i AS item_id, b.i AS record_id, count(*) AS n_lines FROM a JOIN b USING (line) WHERE length(line) >= 20 GROUP BY ALL""",
+SELECT a.i AS item_id, b.i AS record_id, count(*) AS n_lines FROM (SELECT line, min(i) AS i FROM a GROUP BY 1 HAVING count(DISTINCT i) = 1) a JOIN b USING (line) WHERE length(line) >= 20 GROUP BY ALL""",
     "consecutive_pairs": f"WITH {_RELEASES} SELECT package, version_from, version_to FROM pairs",
     "description_rewrites": f"WITH {_RELEASES} SELECT * FROM rewrites",
     "rewrites_topk": f"WITH {_RELEASES} SELECT * FROM rewrites ORDER BY abs(delta) DESC, package, version_from, tool LIMIT 10",
@@ -291,4 +305,7 @@ SELECT receipt_id, verdict, verdict = 'VERIFIED' AS permitted, CASE WHEN verdict
   FROM nodes LEFT JOIN supplier s ON node = 's' || s.s_suppkey
 )
 SELECT graph_id, bool_and(ok) AS admissible, (count(*) FILTER (NOT ok))::INT AS n_blocked FROM judged GROUP BY 1""",
+    "narrative_copies": f"""
+WITH a AS (SELECT id, narrative, {_FOLDED.format("narrative")} AS t FROM eval_items WHERE id IS NOT NULL), b AS (SELECT doc_id, text, {_FOLDED.format("text")} AS t FROM documents)
+SELECT 'byte' AS method, id AS item_id, doc_id AS record_id FROM a JOIN b ON narrative = text UNION ALL SELECT 'structural', id, doc_id FROM a JOIN b ON a.t = b.t""",
 }

@@ -109,9 +109,11 @@ def _tool_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataF
 
 
 def drift_fields(spark: SparkSession, d: str) -> DataFrame:
-    """Snapshot 1 against snapshot 12 of the tools, field by field, as its SQL has it: failed listings count as empty, what lies between is in ``drift_steps``."""
+    """The tools field by field between the first and the last snapshot that lists their package without error."""
     rows = _latest_tools(spark, d)
-    return _tool_changes(rows.filter("snap_no = 1"), rows.filter("snap_no = 12"), ["package", "name"])
+    listed = snapshots.listed_snapshots(table(spark, d, "tool_snapshots").filter("package is not null and snap_no is not null")).filter("size(listed) > 1")
+    at = lambda i: rows.join(listed.select("package", F.element_at("listed", i).alias("snap_no")), ["package", "snap_no"])
+    return _tool_changes(at(1), at(-1), ["package", "name"])
 
 
 def drift_steps(spark: SparkSession, d: str) -> DataFrame:
@@ -156,44 +158,24 @@ def granted_revoked(spark: SparkSession, d: str) -> DataFrame:
 # --- membership and conditions ----------------------------------------------------------------------
 
 
-def _flag_rules(spark: SparkSession) -> DataFrame:
-    rows = [("closed", "status", "pin", ["F"]), ("closed", "priority", "any_of", ["1-URGENT", "2-HIGH"]), ("closed", "tools", "subset_of", ["AIR", "A-R", "N-O", "R-F", "A-F"])]
-    return spark.createDataFrame(rows, "class_id string, component string, relation string, members array<string>")
+#: A class of orders: (class, component, relation, members).
+_FLAG_RULES = (("closed", "status", "pin", ["F"]), ("closed", "priority", "any_of", ["1-URGENT", "2-HIGH"]), ("closed", "tools", "subset_of", ["AIR", "A-R", "N-O", "R-F", "A-F"]))
 
 
 def class_membership(spark: SparkSession, d: str) -> DataFrame:
     """Orders against a class: pinned status, one of two priorities, flags of their lines within a set."""
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.concat_ws("-", "l_returnflag", "l_linestatus")).alias("flags"))
     orders = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    none = F.lit(None).cast("array<string>")
-    claims = orders.select(
-        F.lit("closed").alias("class_id"), F.col("o_orderkey").alias("config_id"),
-        F.explode(F.array(
-            F.struct(F.lit("status").alias("component"), F.col("o_orderstatus").alias("address"), none.alias("present")),
-            F.struct(F.lit("priority").alias("component"), F.col("o_orderpriority").alias("address"), none.alias("present")),
-            F.struct(F.lit("tools").alias("component"), F.lit(None).cast("string").alias("address"), F.col("flags").alias("present")),
-        )).alias("c"),
-    ).select("class_id", "config_id", "c.*")
-    return membership.class_decisions(_flag_rules(spark), claims).select("config_id", "inside", F.array_join("outside", ",").alias("outside"))
+    shown = {"status": (F.col("o_orderstatus"), None), "priority": (F.col("o_orderpriority"), None), "tools": (None, F.col("flags"))}
+    outside = membership.outside_class([tuple(r)[1:] for r in _FLAG_RULES], shown)
+    return orders.select(F.col("o_orderkey").alias("config_id"), outside.alias("o")).select("config_id", (F.size("o") == 0).alias("inside"), F.array_join("o", ",").alias("outside"))
 
 
 def class_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Rule members (parts of a brand) that no line of number 7 or more exercised, as its SQL has it; ``nation_coverage`` takes every line."""
-    part = table(spark, d, "part")
-    rules = part.groupBy(F.col("p_brand").alias("class_id")).agg(F.array_sort(F.collect_set(F.col("p_partkey").cast("string"))).alias("members")).select("class_id", F.lit("tools").alias("component"), F.lit("subset_of").alias("relation"), "members")
-    shipped = table(spark, d, "lineitem").filter(F.col("l_linenumber") >= 7).select(F.col("l_partkey").alias("p_partkey")).distinct().join(part, "p_partkey")
-    exercised = shipped.select(F.col("p_brand").alias("class_id"), F.lit("tools").alias("component"), F.col("p_partkey").cast("string").alias("member")).distinct()
-    return membership.uncovered(rules, exercised).select("class_id", F.size("missing").alias("n_missing"))
-
-
-def nation_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Rule members (every part, for each nation of customers) that no line of an order of that nation exercised."""
-    line, order, customer = table(spark, d, "lineitem"), table(spark, d, "orders"), table(spark, d, "customer")
-    parts = table(spark, d, "part").agg(F.array_sort(F.collect_set(F.col("p_partkey").cast("string"))).alias("members"))
-    rules = customer.select(F.col("c_nationkey").alias("class_id")).filter("class_id is not null").distinct().crossJoin(parts).select("class_id", F.lit("tools").alias("component"), F.lit("subset_of").alias("relation"), "members")
-    lines = line.join(order, line.l_orderkey == order.o_orderkey).join(customer, order.o_custkey == customer.c_custkey)
-    exercised = lines.select(F.col("c_nationkey").alias("class_id"), F.lit("tools").alias("component"), F.col("l_partkey").cast("string").alias("member")).distinct()
-    return membership.uncovered(rules, exercised).select("class_id", F.size("missing").alias("n_missing"))
+    """For each supplier, the parts it shipped before 1996 (the class as declared) that no later line exercised."""
+    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("class_id"), F.lit("tools").alias("component"), F.col("l_partkey").cast("string").alias("member"), (F.year("l_shipdate") < 1996).alias("early"))
+    missing = membership.uncovered_members(lines.filter("early").drop("early"), lines.filter("not early").drop("early"))
+    return missing.groupBy("class_id").agg(F.count("*").alias("n_missing"))
 
 
 def class_widening(spark: SparkSession, d: str) -> DataFrame:
@@ -241,7 +223,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         doc_byte_addr, doc_text_addr, doc_eval_addr, doc_identity_groups, structural_gain, set_address_by_source, json_canonical_props, refused_captures, manifest_by_customer, two_level_drift,
-        drift_fields, drift_steps, json_field_diffs, description_notes, granted_revoked, class_membership, class_coverage, nation_coverage, class_widening, envelope_conditions, authority_root, authority_delegator, delegation_depths,
+        drift_fields, drift_steps, json_field_diffs, description_notes, granted_revoked, class_membership, class_coverage, class_widening, envelope_conditions, authority_root, authority_delegator, delegation_depths,
     )
 }
 
@@ -289,10 +271,14 @@ SELECT method, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS n_twins, count(*) F
     "manifest_by_customer": f"SELECT o_custkey, count(*) AS n_members, {_SET.format('a')} AS set_addr FROM (SELECT o_custkey, {_order_sql('o_totalprice')} AS a FROM orders) GROUP BY 1",
     "two_level_drift": f"SELECT o_custkey, count(*) AS n_changed FROM orders WHERE {_order_sql('o_totalprice')} <> {_order_sql(_NEW_PRICE)} GROUP BY 1",
     "drift_fields": f"""
-WITH latest AS ({_LATEST}), pairs AS (
+WITH latest AS ({_LATEST}), listed AS (
+  SELECT package, snap_no FROM tool_snapshots WHERE package IS NOT NULL AND snap_no IS NOT NULL
+  GROUP BY ALL HAVING count(name) > 0 AND NOT bool_or(coalesce(trim(error), '') <> '')
+), ends AS (SELECT package, min(snap_no) AS lo, max(snap_no) AS hi FROM listed GROUP BY 1 HAVING min(snap_no) < max(snap_no)), pairs AS (
   SELECT coalesce(b.package, a.package) AS package, coalesce(b.name, a.name) AS name, b.name IS NULL AS is_new, a.name IS NULL AS is_gone,
     b.description IS DISTINCT FROM a.description AS d, b.input_schema IS DISTINCT FROM a.input_schema AS s
-  FROM (SELECT * FROM latest WHERE snap_no = 1) b FULL JOIN (SELECT * FROM latest WHERE snap_no = 12) a ON a.package = b.package AND a.name = b.name
+  FROM (SELECT l.* FROM latest l JOIN ends e ON e.package = l.package AND e.lo = l.snap_no) b
+  FULL JOIN (SELECT l.* FROM latest l JOIN ends e ON e.package = l.package AND e.hi = l.snap_no) a ON a.package = b.package AND a.name = b.name
 )
 SELECT package, name, 'tool' AS field, CASE WHEN is_new THEN 'added' ELSE 'removed' END AS change FROM pairs WHERE is_new OR is_gone
 UNION ALL SELECT package, name, 'description', 'changed' FROM pairs WHERE NOT is_new AND NOT is_gone AND d
@@ -327,12 +313,8 @@ WITH flags AS (SELECT l_orderkey, bool_and(l_returnflag || '-' || l_linestatus I
 SELECT o_orderkey AS config_id, s AND p AND t AS inside,
   concat_ws(',', CASE WHEN NOT p THEN 'priority' END, CASE WHEN NOT s THEN 'status' END, CASE WHEN NOT t THEN 'tools' END) AS outside FROM tests""",
     "class_coverage": """
-SELECT p_brand AS class_id, count(DISTINCT p_partkey)::INT AS n_missing FROM part p
-WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_linenumber >= 7 AND l_partkey = p.p_partkey) GROUP BY 1""",
-    "nation_coverage": """
-WITH seen AS (SELECT DISTINCT c_nationkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)
-SELECT n.c_nationkey AS class_id, count(DISTINCT p_partkey)::INT AS n_missing FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey IS NOT NULL) n CROSS JOIN part p
-WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.c_nationkey = n.c_nationkey AND s.l_partkey = p.p_partkey) GROUP BY 1""",
+WITH e AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE year(l_shipdate) < 1996), r AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE year(l_shipdate) >= 1996)
+SELECT l_suppkey AS class_id, count(*) AS n_missing FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.l_suppkey = e.l_suppkey AND r.l_partkey = e.l_partkey) GROUP BY 1""",
     "class_widening": f"""
 WITH p AS ({_SUPPLIER_PARTS}), g AS (SELECT l_suppkey, len(list_filter(coalesce(running, []), lambda x: NOT list_contains(coalesce(approved, []), x)))::INT AS n, approved, running FROM p)
 SELECT l_suppkey AS class_id, n AS n_gained FROM g WHERE n > 0 OR approved IS NULL OR running IS NULL""",

@@ -245,6 +245,24 @@ def test_contamination_levels(spark):
     assert s == {"byte": (2, 8, 0), "structural": (8, 2, 0), "lexical": (0, 10, 0)}
 
 
+def test_scan_report(spark):
+    items = spark.createDataFrame([(f"e{i}", json.dumps({"id": f"e{i}", "text": f"please cancel the invoice number {i} of José in room {i * 7}", "n": i})) for i in range(10)], "item_id string, payload string").withColumn("raw", F.col("payload"))
+    corpus = variants.planted(items).withColumn("raw", F.col("payload"))
+    report = contamination.scan_report(items, corpus)
+    relations = {(r["method"], r["relation"]): r["n"] for r in report["by_relation"].collect()}
+    assert relations["byte", "exact"] == 2 and relations["structural", "serialization"] == 4 and relations["structural", "structural"] == 2 and ("structural", "paraphrase") not in relations
+    missed = {(r["method"], r["relation"]) for r in report["missed"].collect()}
+    assert ("structural", "paraphrase") in missed and ("structural", "exact") not in missed and ("byte", "serialization") in missed
+    assert report["gain"].collect()[0]["gain"] == 6
+    for empty in ((items.limit(0), corpus), (items, corpus.limit(0))):
+        with pytest.raises(ValueError):
+            contamination.scan_report(*empty)
+    twice = spark.createDataFrame([("r", "nothing alike at all"), ("r", "water in the cellar")], "record_id string, flat string")
+    assert contamination.lexical_matches(spark.createDataFrame([("i", "water in the cellar")], "item_id string, flat string"), twice, 0.9).count() == 1
+    lines = contamination.shared_lines(spark.createDataFrame([("a", "This is a stock sentence. Only the first item says this."), ("b", "This is a stock sentence. The second says another thing.")], "i string, t string"), spark.createDataFrame([(1, "This is a stock sentence. Only the first item says this.")], "r int, t string"), "i", "t", "r", "t")
+    assert [tuple(r) for r in lines.collect()] == [("a", 1, 1)]
+
+
 def test_lexical_against_all_pairs(spark):
     import math
     from collections import Counter

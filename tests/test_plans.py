@@ -53,11 +53,11 @@ def test_tool_changes_of_every_step(spark, snapshot_dir):
     assert run(spark, "drift_steps", snapshot_dir) == [("late", "u", 3, "tool", "added"), ("p", "t", 2, "description", "changed"), ("p", "t", 3, "description", "changed")]
 
 
-def test_lines_of_any_number_exercise_a_part(spark, tmp_path):
-    made = {
-        "part": ([(1, "B"), (2, "B"), (3, "B")], "p_partkey long, p_brand string"), "customer": ([(1, 0), (2, 1), (3, 2)], "c_custkey long, c_nationkey int"),
-        "orders": ([(1, 1), (2, 2)], "o_orderkey long, o_custkey long"), "lineitem": ([(1, 1, 1), (1, 2, 7), (2, 3, 2), (2, 1, 3), (2, 2, 4)], "l_orderkey long, l_partkey long, l_linenumber int"),
-    }
-    for name, (rows, schema) in made.items():
-        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
-    assert run(spark, "nation_coverage", str(tmp_path)) == [(0, 1), (2, 3)]
+def test_tool_changes_between_a_packages_own_ends(spark, snapshot_dir):
+    assert run(spark, "drift_fields", snapshot_dir) == [("late", "u", "tool", "added")]
+
+
+def test_every_line_counts_for_coverage(spark, tmp_path):
+    rows = [(1, 1, "1995-01-01"), (1, 2, "1995-06-01"), (1, 1, "1997-01-01"), (2, 3, "1994-01-01"), (3, 3, "1998-01-01")]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, d string").withColumn("l_shipdate", F.col("d").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert run(spark, "class_coverage", str(tmp_path)) == [(1, 1), (2, 1)]
