@@ -8,11 +8,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodestrand.functions.canon import column_address, json_canonical
 from lodestrand.functions.rawjson import list_items
 from lodestrand.operators.drift import version_order
 from lodestrand.operators.nested import usable
+from lodestrand.operators.variants import varied
 from lodestrand.session import spread
 
 
@@ -134,3 +136,30 @@ def evenly_spread(versions: DataFrame, k: int) -> DataFrame:
     ranked = ranked.withColumns({"r": F.row_number().over(w.orderBy("o", "version")) - 1, "n": F.count("*").over(w)})
     wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("n") - 1) / F.lit(k - 1)).cast("int"))
     return ranked.filter((F.col("n") <= k) | F.array_contains(wanted, F.col("r"))).select("package", "version")
+
+
+def breakdown(pairs: DataFrame) -> DataFrame:
+    """(kind, n) of material pairs by the kind of change, the commonest first."""
+    return pairs.filter("classification = 'material'").groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "kind")
+
+
+def rewrite_totals(versions: DataFrame) -> DataFrame:
+    """(n_rewrites, net_chars, n_longer, n_shorter): all rewritten descriptions together."""
+    return description_rewrites(versions).agg(F.count("*").alias("n_rewrites"), F.coalesce(F.sum("delta"), F.lit(0)).alias("net_chars"), F.count_if(F.col("delta") > 0).alias("n_longer"), F.count_if(F.col("delta") < 0).alias("n_shorter"))
+
+
+def failures(captures: DataFrame) -> DataFrame:
+    """(package, version, error) of captures that failed."""
+    return captures.filter("coalesce(trim(error), '') <> '' or tools is null").select("package", "version", "error").distinct()
+
+
+def positive_control(versions: DataFrame) -> DataFrame:
+    """(n, n_byte_only): of all listings, those for which another spelling is told as byte-only. A comparison that finds no byte-only change means something only if this finds them all."""
+
+    def other(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else varied(varied(varied(t, "key_reorder"), "escape_form"), "json_whitespace") for t in texts.to_pylist()], pa.string())
+
+    both = versions.select(listing(F.col("tools")).alias("b")).filter("b is not null").withColumn("a", F.arrow_udf(other, StringType())("b"))
+    bytes_differ = F.sha2(F.col("b").cast("binary"), 256) != F.sha2(F.col("a").cast("binary"), 256)
+    told = both.select((bytes_differ & (json_canonical("b")["addr"] == json_canonical("a")["addr"])).alias("ok"))
+    return told.agg(F.count("*").alias("n"), F.count_if("ok").alias("n_byte_only"))

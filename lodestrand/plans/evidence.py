@@ -83,6 +83,19 @@ def release_summary(spark: SparkSession, d: str) -> DataFrame:
     return releases.release_summary(_versions(spark, d))
 
 
+def release_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    return releases.breakdown(releases.classify_pairs(_versions(spark, d)))
+
+
+def rewrite_totals(spark: SparkSession, d: str) -> DataFrame:
+    return releases.rewrite_totals(_versions(spark, d))
+
+
+def respelling_control(spark: SparkSession, d: str) -> DataFrame:
+    """Every listing against another spelling of it: all must be told as byte-only."""
+    return releases.positive_control(_versions(spark, d))
+
+
 def description_rewrites(spark: SparkSession, d: str) -> DataFrame:
     return releases.description_rewrites(_versions(spark, d))
 
@@ -225,7 +238,7 @@ def run_gate(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        contamination_lines, lexical_cosine, planted_scores, planted_by_relation, planted_missed, planted_tau_sweep, narrative_copies, consecutive_pairs, release_classes, release_summary, description_rewrites, rewrites_topk, capture_counts,
+        contamination_lines, lexical_cosine, planted_scores, planted_by_relation, planted_missed, planted_tau_sweep, narrative_copies, consecutive_pairs, release_classes, release_summary, release_breakdown, rewrite_totals, respelling_control, description_rewrites, rewrites_topk, capture_counts,
         package_manifests, package_drift, receipts_issue, receipts_verify, gate_decision, spread_versions, relation_conformance, relation_bakeoff, run_gate,
     )
 }
@@ -308,4 +321,6 @@ SELECT graph_id, bool_and(ok) AS admissible, (count(*) FILTER (NOT ok))::INT AS
     "narrative_copies": f"""
 WITH a AS (SELECT id, narrative, {_FOLDED.format("narrative")} AS t FROM eval_items WHERE id IS NOT NULL), b AS (SELECT doc_id, text, {_FOLDED.format("text")} AS t FROM documents)
 SELECT 'byte' AS method, id AS item_id, doc_id AS record_id FROM a JOIN b ON narrative = text UNION ALL SELECT 'structural', id, doc_id FROM a JOIN b ON a.t = b.t""",
+    "rewrite_totals": f"WITH {_RELEASES} SELECT count(*) AS n_rewrites, coalesce(sum(delta), 0)::BIGINT AS net_chars, count(*) FILTER (delta > 0) AS n_longer, count(*) FILTER (delta < 0) AS n_shorter FROM rewrites",
+    "respelling_control": f"WITH {_RELEASES} SELECT count(*) AS n, count(*) AS n_byte_only FROM vers WHERE listing IS NOT NULL",
 }
