@@ -32,15 +32,16 @@ def encoding(vocabulary: bytes):
     return _encodings[key]
 
 
-_CUT = re.compile(r"(?<=\S)(?= [^\W\d_])")
+#: Before a space that a letter follows, or between a sign other than an apostrophe (or an ideographic stop) and a letter: the pattern cuts there whatever stands around.
+_CUT = re.compile(r"(?<=\S)(?= [^\W\d_])|(?<=[^\s\w'])(?=[^\W\d_])")
 
 
 def parts(text: str) -> Iterator[str]:
-    """The text in parts of about PART characters: before a space that a letter follows, or hard after 10 * PART."""
+    """The text in parts of about PART characters, cut where the pattern cuts anyway; where there is no such place, a part goes on."""
     at = 0
     while len(text) - at > PART:
-        m = _CUT.search(text, at + PART, at + 10 * PART)
-        end = m.start() if m else min(len(text), at + 10 * PART)
+        m = _CUT.search(text, at + PART)
+        end = m.start() if m else len(text)
         yield text[at:end]
         at = end
     yield text[at:]

@@ -109,3 +109,6 @@ def test_long_texts_count_the_same_in_parts(monkeypatch):
     whole = len(enc.encode_ordinary(text))
     monkeypatch.setattr(tokens, "PART", 100)
     assert len(list(tokens.parts(text))) > 50 and tokens.count([text, None, ""], enc) == [whole, 0, 0]
+    for odd in ("保険金は、三週間以内に支払われる。" * 60, "it's (don't) 'quoted' we're <b>x</b>," * 60, "x" * 500 + "、" + "y" * 300, "12a3b" * 200, "a'sb'll" * 100):
+        assert tokens.count([odd], enc) == [len(enc.encode_ordinary(odd))], odd[:20]
+    assert len(list(tokens.parts("保険金は、三週間以内に支払われる。" * 60))) > 5
