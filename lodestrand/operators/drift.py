@@ -439,7 +439,8 @@ def field_changes(pairs: DataFrame, others: DataFrame, fields: tuple[str, ...] =
     """
     own = F.array(*[F.struct(F.lit(path_hash(f)).cast("bigint").alias("h"), F.lit(f).alias("path"), F.lit(f).alias("field")) for f in fields])
     rows = pairs.join(field_keys(others, fields), "package", "left").withColumn("keys", F.concat(own, F.coalesce("keys", F.array().cast("array<struct<h bigint, path string, field string>>"))))
-    hold = lambda side: f"array_max(flatten(transform(filter(keys, k -> k.field = f), k -> transform(filter({side}, x -> x.h = k.h), x -> named_struct('own', k.path = f, 'n', x.n, 'path', k.path, 'type', x.t)))))"
+    found = lambda side: f"element_at({side}, cast(array_position({side}.h, k.h) AS int))"
+    hold = lambda side: f"array_max(transform(filter(keys, k -> k.field = f and array_contains({side}.h, k.h)), k -> named_struct('own', k.path = f, 'n', {found(side)}.n, 'path', k.path, 'type', {found(side)}.t)))"
     held = F.expr(f"transform(array({', '.join(repr(f) for f in fields)}), f -> named_struct('field', f, 'p', {hold('p')}, 'c', {hold('c')}))")
     both = rows.select("package", "version", F.explode(held).alias("x")).select("package", "version", "x.*").filter("p is not null or c is not null")
     kinds = F.array_compact(
