@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.operators.nested import tools_of, usable
-from lodestrand.operators.segmented import cut_hot_keys, following, previous
+from lodestrand.operators.segmented import cut_hot_keys, previous
 from lodestrand.session import spread, stored
 
 FIELDS = ("title", "execution.taskSupport", "outputSchema.type", "annotations.readOnlyHint")
@@ -184,7 +184,7 @@ def version_order(version: Column) -> Column:
     return F.transform(F.split(version, r"\."), lambda p: F.coalesce(F.try_to_number(F.regexp_extract(p, r"^(\d{1,18})", 1), F.lit("9" * 18)).cast("bigint"), F.lit(0).cast("bigint")))
 
 
-def _position(order: Column) -> Column:
+def version_position(order: Column) -> Column:
     """A number that never falls as the version rises, for cutting long histories."""
     part = lambda i: F.least(F.coalesce(F.get(order, F.lit(i)), F.lit(0).cast("bigint")), F.lit(999_999).cast("bigint")).cast("double")
     first = F.coalesce(F.get(order, F.lit(0)), F.lit(0).cast("bigint")).cast("double")
@@ -197,7 +197,7 @@ def version_pairs(paths: DataFrame, rows_per_chunk: int = 500_000) -> DataFrame:
     Spellings of one version order by text.
     """
     every = paths.withColumn("__order", F.struct(version_order(F.col("version")).alias("o"), F.col("version").alias("v")))
-    every, seg = cut_hot_keys(every, "package", "__order", _position(F.col("__order.o")), rows_per_chunk)
+    every, seg = cut_hot_keys(every, "package", "__order", version_position(F.col("__order.o")), rows_per_chunk)
     every = previous(every.withColumn("__own", F.struct("version", "paths")), seg, "__own", "__was", ignore_nulls=False)
     return every.filter("__was is not null").select("package", "version", F.col("__was.version").alias("before"), F.col("__was.paths").alias("p"), F.col("paths").alias("c"), F.array_except("__was.paths.h", "paths.h").alias("gone_h"), F.array_except("paths.h", "__was.paths.h").alias("come_h"))
 

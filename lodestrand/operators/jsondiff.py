@@ -96,9 +96,6 @@ def first_different_line(before: Column | str, after: Column | str) -> Column:
     return F.when(at.isNotNull(), F.struct((at + 1).alias("line_no"), F.get(a, at).alias("before"), F.get(b, at).alias("after")))
 
 
-_SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "HEBREW", "ARABIC", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "FULLWIDTH")
-
-
 def character_note(before: str | None, after: str | None, most: int = 3) -> str | None:
     """What a reader can't see: for texts of one length that differ in a few characters, their code points, names and scripts."""
     if before is None or after is None or len(before) != len(after):
@@ -109,7 +106,8 @@ def character_note(before: str | None, after: str | None, most: int = 3) -> str
 
     def tell(c: str) -> tuple[str, str]:
         name = unicodedata.name(c, "unnamed")
-        return f"U+{ord(c):04X} {name}", next((s for s in _SCRIPTS if name.startswith(s)), "")
+        # the name of a letter begins with its script
+        return f"U+{ord(c):04X} {name}", name.partition(" ")[0] if c.isalpha() else ""
 
     notes = []
     for i in at:

@@ -12,8 +12,9 @@ from pyspark.sql.types import StringType
 
 from lodestrand.functions.canon import column_address, json_canonical
 from lodestrand.functions.rawjson import list_items
-from lodestrand.operators.drift import version_order
+from lodestrand.operators.drift import version_order, version_position
 from lodestrand.operators.nested import usable
+from lodestrand.operators.segmented import cut_hot_keys, previous
 from lodestrand.operators.variants import varied
 from lodestrand.session import spread
 
@@ -57,11 +58,11 @@ def tool_rows(versions: DataFrame) -> DataFrame:
     return best.select("package", "version", "name", "m.*")
 
 
-def version_pairs(versions: DataFrame) -> DataFrame:
-    """(package, version_from, version_to): consecutive versions in version order."""
-    w = Window.partitionBy("package").orderBy(F.col("o"), F.col("version"))
-    named = versions.select("package", "version").distinct().withColumn("o", version_order(F.col("version")))
-    return named.select("package", F.lag("version").over(w).alias("version_from"), F.col("version").alias("version_to")).filter("version_from is not null")
+def version_pairs(versions: DataFrame, rows_per_chunk: int = 500_000) -> DataFrame:
+    """(package, version_from, version_to): consecutive versions in version order; a package of very many is cut into chunks of its order."""
+    named = versions.select("package", "version").distinct().withColumn("__order", F.struct(version_order(F.col("version")).alias("o"), F.col("version").alias("v")))
+    named, seg = cut_hot_keys(named, "package", "__order", version_position(F.col("__order.o")), rows_per_chunk)
+    return previous(named, seg, "version", "version_from").filter("version_from is not null").select("package", "version_from", F.col("version").alias("version_to"))
 
 
 def paired_tools(tools: DataFrame, pairs: DataFrame) -> DataFrame:

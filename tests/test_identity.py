@@ -223,6 +223,21 @@ def test_relation_suites(spark):
     assert len(of_one) == 24 and sum(r["n_informative"] for r in of_one.values()) == 20 and sum(r["byte_false_alarms"] for (_, rel), r in of_one.items() if rel == "strict") == 3
 
 
+def test_private_members_and_classes(spark):
+    rows = spark.createDataFrame([('{"_id": "x", "a": 1.50, "b": {"_c": 2}, "_z": [1]}',), ('{"_only": 1}',), ("[1]",), (None,)], "t string")
+    assert [r[0] for r in rows.select(variants.payload_column("t")).collect()] == ['{"a": 1.50, "b": {"_c": 2}}', "{}", "[1]", None]
+    rules = [("c", "model", "pin", ["m"]), ("c", "tools", "subset_of", ["a", "b"])]
+    schema = "class_id string, component string, relation string, members array<string>"
+    one = membership.class_addresses(spark.createDataFrame(rules, schema)).collect()[0]
+    same = membership.class_addresses(spark.createDataFrame([("c", "tools", "subset_of", ["b", "a"]), rules[0]], schema)).collect()[0]
+    assert one["class_address"] == same["class_address"] and "model" in one["declared"]
+    shown = spark.createDataFrame([("m", ["a"]), ("m", ["z"]), (None, None)], "m string, t array<string>")
+    outside = membership.outside_class([r[1:] for r in rules], {"model": (F.col("m"), None), "tools": (None, F.col("t"))})
+    assert [r[0] for r in shown.select(outside).collect()] == [[], ["tools"], ["model", "tools"]]
+    pairs = releases.version_pairs(spark.createDataFrame([("p", f"1.{i}") for i in range(12)], "package string, version string"), 4)
+    assert {(r["version_from"], r["version_to"]) for r in pairs.collect()} == {(f"1.{i}", f"1.{i + 1}") for i in range(11)}
+
+
 def test_variants_keep_what_they_do_not_mean_to_change():
     text = '{"a": 1.50, "b": [1, {"c": "x\\u00e9", "name": "n"}], "d": {}, "e": -2e5}'
     for v in variants.VARIANTS:
