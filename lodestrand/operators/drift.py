@@ -113,6 +113,27 @@ def walk(tool: dict, root: Place) -> Iterator[tuple[Place, object]]:
                     stack.append((child, value))
 
 
+def _kinds(tool: dict, root: Place) -> set[tuple[Place, type]]:
+    """``walk`` without the values: each place with the kinds of value it has in the tool."""
+    seen: set[tuple[Place, type]] = set()
+    stack: list[tuple[Place, object]] = [(root, tool)]
+    while stack:
+        place, node = stack.pop()
+        if type(node) is list:
+            inner = place.items()
+            stack.extend([(inner, x) for x in node if type(x) is dict or type(x) is list])
+            continue
+        below, named = place.below, place.named
+        for key, value in node.items():
+            if value is not None:
+                child = below.get("*" if named else key) or place.at(key)
+                kind = type(value)
+                seen.add((child, kind))
+                if kind is dict or kind is list:
+                    stack.append((child, value))
+    return seen
+
+
 def members(tool: dict, wanted: set[int] | None = None, root: Place | None = None) -> dict[str, str | None]:
     """Values of the tool's paths (with a hash in ``wanted``); null where a path with ``*`` or ``[]`` has several."""
     out: dict[str, str | None] = {}
@@ -143,10 +164,10 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             counts: Counter = Counter()
             for _, tool in tools:
-                counts.update({(place.hash, _TYPES.get(type(value), 0)) for place, value in walk(tool, root)})
+                counts.update(_kinds(tool, root))
             best: dict[int, tuple[int, int]] = {}
-            for (h, t), n in counts.items():
-                best[h] = max(best.get(h, (0, 0)), (n, t))
+            for (place, kind), n in counts.items():
+                best[place.hash] = max(best.get(place.hash, (0, 0)), (n, _TYPES.get(kind, 0)))
             heads.append((package, version))
             for h in sorted(best):
                 n, t = best[h]

@@ -41,7 +41,10 @@ def cut_hot_keys(df: DataFrame, key: str, order: str, position: Column, rows_per
     chunks whatever the input's size: that bounds what is gathered and broadcast here.
     """
     sizes = df if sizes is None else sizes
-    limit = max(rows_per_chunk, -(-sizes.count() // MAX_CHUNKS))
+    n_rows = sizes.count()
+    limit = max(rows_per_chunk, -(-n_rows // MAX_CHUNKS))
+    if n_rows <= limit:
+        return df.withColumn(chunk, F.lit(0)), Segments(key, chunk, order, False)
     hot = [(r[0], r[1]) for r in sizes.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > limit).collect()]
     if not hot:
         return df.withColumn(chunk, F.lit(0)), Segments(key, chunk, order, False)
