@@ -72,8 +72,8 @@ def _document_rest(col: Column, rel: Relation) -> Column:
 def members(artifacts: DataFrame, rel: str | Relation = STRICT) -> DataFrame:
     """(config_id, component, member, member_addr, canon, refused): every tool, corpus document, eval item."""
     rel = relation(rel)
-    tools = artifacts.filter("component = 'tool'")
-    tools = tools.join(tools.select("content").filter("content is not null").distinct().withColumn("c", json_canonical("content", rel)), "content", "left")
+    # canonicalized where they are: to find repeated texts first would shuffle every text twice
+    tools = artifacts.filter("component = 'tool'").withColumn("c", json_canonical("content", rel))
     tools = tools.select("config_id", F.lit("tools").alias("component"), F.coalesce(F.get_json_object("content", "$.name"), F.lit("")).alias("member"), F.col("c.addr").alias("member_addr"), "c.canon", "c.refused")
     docs = artifacts.filter("component = 'corpus'").select("config_id", F.lit("corpus").alias("component"), F.col("name").alias("member"), column_text_address("content", rel).alias("member_addr"))
     docs = docs.withColumn("c", json_canonical(F.to_json(F.struct(F.col("member").alias("name"), F.col("member_addr").alias("addr"))), rel))
