@@ -223,6 +223,23 @@ def test_relation_suites(spark):
     assert len(of_one) == 24 and sum(r["n_informative"] for r in of_one.values()) == 20 and sum(r["byte_false_alarms"] for (_, rel), r in of_one.items() if rel == "strict") == 3
 
 
+def test_conformance_is_told_from_parts(spark, monkeypatch):
+    tool = {"name": "é\na", "n": 7, "inputSchema": {"type": "object", "properties": {"a": {"maximum": 10**20}, "ü": {"type": ["x", 1.5]}}}}
+    deep = '{"a":' * 300 + "1" + "}" * 300
+    # keys that are one under a relation, shadowed or respelled members, numbers out of range, names that a variant adds
+    odd = ['{"é": 1, "e\u0301": 2}', '{"a b": 1, "a  b": 2}', '{"a": "\\ud800", "a": 1}', '{"a": "x", "a": 2}', '{"x": 1e400}', '{"further": true}', '{"x": {"further": true}}', '{"name" :"\\u0061\\/\x7f"}', '{"a": "\\r\\nb", "-": -0}', '[{"name": 1}]', "[[{}]]", "[]", "{}", "5", '"x"', "9" * 320, deep, f"[{deep}]", json.dumps({f"k{i}": "ü" * 1200 for i in range(80)})]
+    plain = [json.dumps(tool), json.dumps(tool, ensure_ascii=False, indent=1), json.dumps([tool, 1])]
+    outcomes = variants.Outcomes()
+    assert [outcomes.of(t) for t in plain + odd] == [variants.outcome(t) for t in plain + odd]
+    assert [outcomes.of(t) for t in (None, "nope", "", '{"a": NaN}', '{"a": "\\ud800"}')] == [None] * 5
+    made = variants.conformance(spark.createDataFrame(list(enumerate([*plain, *odd, '{"a": NaN}'])), "record_id int, payload string"))
+    assert made.count() == 24 * len(plain + odd) and made.filter("record_id < 3 and not ok").count() == 0
+    # members known from other records aren't canonicalized again
+    again = []
+    monkeypatch.setattr(variants, "canonical_bytes", lambda *a: again.append(a))
+    assert outcomes.of(json.dumps({**tool, "inputSchema": {"properties": {"ü": {"maximum": 7}}}})) and not again
+
+
 def test_private_members_and_classes(spark):
     rows = spark.createDataFrame([('{"_id": "x", "a": 1.50, "b": {"_c": 2}, "_z": [1]}',), ('{"_only": 1}',), ("[1]",), (None,)], "t string")
     assert [r[0] for r in rows.select(variants.payload_column("t")).collect()] == ['{"a": 1.50, "b": {"_c": 2}}', "{}", "[1]", None]
